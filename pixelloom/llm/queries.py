@@ -5,14 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pixelloom.llm import chat, exact_dedup, mixing, packing, quality, token_store
+from pixelloom.llm import bag_minhash, chat, exact_dedup, lm_scoring, mixing, packing, quality, repeats, token_store
+from pixelloom.llm.blocks import bound_batches
 from pixelloom.llm.common import table
 from pixelloom.llm.sql import ORACLE  # noqa: F401
 
 
 def docs_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     # Python workers get bounded batches, whatever the length of texts.
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    bound_batches(spark)
     return table(spark, sf_dir, "documents")
 
 
@@ -28,6 +29,10 @@ def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixing_plan(docs_of(spark, sf_dir))
 
 
+def op4_bag_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bag_minhash.near_dedup(docs_of(spark, sf_dir))
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(docs_of(spark, sf_dir))
 
@@ -36,6 +41,14 @@ def op6_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.token_store(docs_of(spark, sf_dir)).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.lm_scores(docs_of(spark, sf_dir))
+
+
+def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.repeated_substrings(docs_of(spark, sf_dir))
+
+
 def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "</s>[INST] ok [/INST]"
     extra = spark.range(2).select(
@@ -52,8 +65,11 @@ QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_exact_dedup": op2_exact_dedup,
     "op3_source_mixing": op3_source_mixing,
+    "op4_bag_minhash": op4_bag_minhash,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op6_token_store": op6_token_store,
+    "op7_lm_scoring": op7_lm_scoring,
+    "op9_suffix_array_dedup": op9_suffix_array_dedup,
     "op10_chat_formatting": op10_chat_formatting,
 }
 

@@ -28,38 +28,39 @@ from pyspark.sql import functions as F
 from pixelloom.llm.common import fresh_path
 from pixelloom.llm.tokens import encoder, text_slices, tokenizer_path
 
-ROLL, MASK_BITS, LEAST, MOST = 16, 9, 64, 4096
+ROLL, MASK_BITS, LEAST, MOST = 16, 10, 128, 8192
 ADDRESS_BYTES = 16
 #: Addresses a task remembers to leave out payloads it has already sent.
 REMEMBERED = 200_000
 
 
-def chunk_ends(ids: np.ndarray, roll: int = ROLL, bits: int = MASK_BITS, least: int = LEAST, most: int = MOST) -> list[int]:
-    """End positions of the chunks of an id stream."""
-    n = len(ids)
-    if n <= least:
-        return [n]
-    x = ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+def chunk_ends(docs: list[np.ndarray], roll: int = ROLL, bits: int = MASK_BITS, least: int = LEAST, most: int = MOST) -> list[list[int]]:
+    """End positions of the chunks of each id stream, hashed in one pass over all of them.
+
+    A cut needs ``least`` >= ``roll`` ids before it in its document, so no window that
+    decides one reaches into the document before.
+    """
+    x = np.concatenate(docs).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     x ^= x >> np.uint64(29)
-    total = np.cumsum(x)  # sums wrap; a window's sum is a difference
-    window = total.copy()
-    window[roll:] -= total[:-roll]
+    window = np.cumsum(x)  # sums wrap; a window's sum is a difference
+    window[roll:] -= window[:-roll].copy()
     window *= np.uint64(0xBF58476D1CE4E5B9)
     cuts = np.flatnonzero((window >> np.uint64(64 - bits)) == 0) + 1
-    ends, last = [], 0
-    for c in cuts.tolist():
-        while c - last > most:
-            last += most
-            ends.append(last)
-        if c - last >= least:
-            ends.append(c)
-            last = c
-    while n - last > most:
-        last += most
-        ends.append(last)
-    if last < n:
-        ends.append(n)
-    return ends
+    stops = np.cumsum([len(d) for d in docs])
+    first = np.searchsorted(cuts, np.r_[0, stops], "right").tolist()
+    cuts, out, start = cuts.tolist(), [], 0
+    for k, stop in enumerate(stops.tolist()):
+        ends, last = [], start
+        for c in [*cuts[first[k] : first[k + 1]], stop]:
+            while c - last > most:
+                last += most
+                ends.append(last - start)
+            if c - last >= least or c == stop and c > last:
+                ends.append(c - start)
+                last = c
+        out.append(ends)
+        start = stop
+    return out
 
 
 def pack_ids(ids: np.ndarray, compressor) -> bytes:
@@ -79,16 +80,17 @@ def chunked(df: DataFrame, key: str, text: str, path: str) -> DataFrame:
         import zstandard
         from pyspark import TaskContext
 
-        press = zstandard.ZstdCompressor(level=3)
+        press = zstandard.ZstdCompressor(level=1)
         sent: set[bytes] = set()
         row = TaskContext.get().partitionId() << 40
         kinds = [pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
         for batch in batches:
             for doc_ids, texts in text_slices(batch):
                 out = []
-                for i, ids in zip(doc_ids.to_pylist(), encoder(path).encode(texts)):
+                encoded = encoder(path).encode(texts)
+                for i, ids, ends in zip(doc_ids.to_pylist(), encoded, chunk_ends(encoded)):
                     start = 0
-                    for seq, end in enumerate(chunk_ends(ids)):
+                    for seq, end in enumerate(ends):
                         part = ids[start:end]
                         address = blake2b(part, digest_size=ADDRESS_BYTES).digest()
                         payload = None if address in sent else pack_ids(part, press)
