@@ -150,3 +150,10 @@ def quality(df: DataFrame, *, text: str = "text", key: str = "doc_id", rules=RUL
             "n_stop_words", "n_lines", "base_failed", "kept",
         )
     )
+
+
+def keep_documents(df: DataFrame, *, text: str = "text", rules=RULES, stop_words=STOP_WORDS) -> DataFrame:
+    """The rows of ``df`` that the base and the rules keep, with all their columns."""
+    boxed = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("__row"), F.col(f"`{text}`").alias("__text"))
+    counted = measures(boxed, "__text", stop_words)
+    return counted.where(~base_failed() & passes(rules)).select("__row.*")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pixelloom.llm import bag_minhash, chat, exact_dedup, lm_scoring, mixing, packing, quality, repeats, token_store
+from pixelloom.llm import bag_minhash, chat, exact_dedup, line_dedup, lm_scoring, mixing, packing, quality, repeats, token_store
 from pixelloom.llm.blocks import bound_batches
 from pixelloom.llm.common import table
 from pixelloom.llm.sql import ORACLE  # noqa: F401
@@ -45,6 +45,11 @@ def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scoring.lm_scores(docs_of(spark, sf_dir))
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = line_dedup.line_dedup(docs_of(spark, sf_dir))
+    return cleaned.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.repeated_substrings(docs_of(spark, sf_dir))
 
@@ -69,6 +74,7 @@ QUERIES = {
     "op5_best_fit_packing": op5_best_fit_packing,
     "op6_token_store": op6_token_store,
     "op7_lm_scoring": op7_lm_scoring,
+    "op8_line_dedup": op8_line_dedup,
     "op9_suffix_array_dedup": op9_suffix_array_dedup,
     "op10_chat_formatting": op10_chat_formatting,
 }
