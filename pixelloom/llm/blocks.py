@@ -122,7 +122,7 @@ def range_bits(blocks: DataFrame) -> int:
     return max(5, int(max(1, blocks.count()) / 2).bit_length())
 
 
-def ask(blocks: DataFrame, keys_of: Callable, bits: int) -> DataFrame:
+def ask(blocks: DataFrame, keys_of: Callable, bits: int, kind: str = "<u4") -> DataFrame:
     """(range, block, keys, said): ``keys_of(ids, offsets, data)`` gives sorted distinct keys and a number for each."""
 
     def run(batches):
@@ -135,7 +135,7 @@ def ask(blocks: DataFrame, keys_of: Callable, bits: int) -> DataFrame:
                 keys, said = keys_of(ids, offsets, data)
                 borders = np.searchsorted(keys, np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits))
                 rows = [
-                    (r, block, pack_keys(keys[a:b]), press.compress(said[a:b].astype("<u4").tobytes()))
+                    (r, block, pack_keys(keys[a:b]), press.compress(said[a:b].astype(kind).tobytes()))
                     for r, (a, b) in enumerate(zip(borders.tolist(), [*borders[1:].tolist(), len(keys)]))
                     if b > a
                 ]
@@ -145,9 +145,10 @@ def ask(blocks: DataFrame, keys_of: Callable, bits: int) -> DataFrame:
     return blocks.mapInArrow(run, "range int, block long, keys binary, said binary")
 
 
-def answer(asked: DataFrame, judge: Callable) -> DataFrame:
-    """Per question its answer. ``judge(keys, totals, asking)`` gives an array of answers
-    for the distinct keys of a range, and two figures that are added up over ranges."""
+def answer(asked: DataFrame, judge: Callable, kind: str = "<u4") -> DataFrame:
+    """Per question its answer. ``judge(keys, where, said)`` gets a range's distinct keys and,
+    per question, the place of its key and what was said; it gives an answer for each key,
+    and two figures to be added up over ranges."""
 
     def run(table: pa.Table) -> pa.Table:
         import zstandard
@@ -155,12 +156,10 @@ def answer(asked: DataFrame, judge: Callable) -> DataFrame:
         up, press = zstandard.ZstdDecompressor(), zstandard.ZstdCompressor(level=3)
         table = table.combine_chunks()
         keys = [unpack_keys(x.as_buffer()) for x in table.column("keys")]
-        said = [np.frombuffer(up.decompress(x.as_buffer()), "<u4") for x in table.column("said")]
+        said = [np.frombuffer(up.decompress(x.as_buffer()), kind) for x in table.column("said")]
         sizes = np.array([len(k) for k in keys])
         distinct, where = np.unique(np.concatenate(keys), return_inverse=True)
-        totals = np.bincount(where, np.concatenate(said), len(distinct)).astype(np.int64)
-        asking = np.bincount(where, minlength=len(distinct))
-        values, a, b = judge(distinct, totals, asking)
+        values, a, b = judge(distinct, where, np.concatenate(said))
         said_back = values[where]
         ends = np.cumsum(sizes)
         blobs = [press.compress(said_back[e - n : e].tobytes()) for e, n in zip(ends, sizes)]

@@ -83,8 +83,9 @@ def keys_of(ids: np.ndarray, offsets: np.ndarray, data: np.ndarray):
     return keys, np.bincount(where, np.concatenate([train, train]), len(keys))
 
 
-def judge(keys: np.ndarray, totals: np.ndarray, asking: np.ndarray):
+def judge(keys: np.ndarray, where: np.ndarray, said: np.ndarray):
     """Answers are corpus counts; figures are V and N over the unigrams of the range."""
+    totals = np.bincount(where, said, len(keys)).astype(np.int64)
     single = (keys & np.uint64(1)) == 0
     return totals.astype("<u8"), int((single & (totals > 0)).sum()), int(totals[single].sum())
 
