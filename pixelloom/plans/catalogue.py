@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
+from pixelloom.plans import pixel_queries  # noqa: F401
+from pixelloom.plans.registry import ORACLE, QUERIES
+
+__all__ = ["ORACLE", "QUERIES", "entry"]
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    """Embeddings as images, over white, fitted and printed as ANSI rows."""
+    return QUERIES["ansi_rows"](spark, sf_dir)
