@@ -100,7 +100,10 @@ def straight(prefix: str = "") -> tuple[Column, ...]:
 
 def packed(r: Column, g: Column, b: Column, a: Column) -> list[Column]:
     """Premultiplied bytes of straight channels in 0..1."""
-    return [*(F.round(c * a * 255.0).cast("int").alias(n) for n, c in zip(RGB, (r, g, b))), F.round(a * 255.0).cast("int").alias("a")]
+    return [
+        *(F.round(F.round(c * a * 255.0, 6)).cast("int").alias(n) for n, c in zip(RGB, (r, g, b))),
+        F.round(F.round(a * 255.0, 6)).cast("int").alias("a"),
+    ]
 
 
 def saturate(s: float) -> list[float]:
