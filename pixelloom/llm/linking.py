@@ -1,31 +1,66 @@
 """From candidate groups to classes, without all pairs of a group.
 
 Rows (grp, node) say which nodes may be alike. Only the classes that verified links
-join matter, so a group need not be expanded: its most popular member is compared
-with every other one (a star), classes are joined, and only pairs of members that
-are still in different classes are left. Groups that are one family collapse in the
-first round. What is left after the stars is compared pair by pair, so no link
-between two classes is lost, whatever the group's size.
+join matter, so a group need not be expanded. First its most popular member is
+compared with every other one (a star) and classes are joined. Then members outside
+the group's largest class are compared with some of that class, drawn by a hash: 16,
+then 64. A family whose members are alike with some probability collapses so in
+rounds of linear size. What is left, members whose group still holds other classes,
+is compared pair by pair across classes, so no link between classes is lost.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pixelloom.llm.common import stage
 
-STAR_ROUNDS = 4
-#: Stars go on while the pairs left outnumber the members left by this factor.
+#: Members of the largest class that the others meet, by round; the first is a star.
+DELEGATES = (1, 16, 64)
+#: Edges that one task contracts, 16 bytes each.
+EDGES_PER_TASK = 1_000_000
+#: Rounds go on while the pairs left outnumber the members left by this factor.
 PAIRS_PER_MEMBER = 4
 
 
+def forest(edges: DataFrame) -> DataFrame:
+    """Per partition of (u, v), edges (node, smallest node of its class in the partition)."""
+
+    def run(batches):
+        us, vs = [], []
+        for batch in batches:
+            us.append(batch.column(0).to_numpy())
+            vs.append(batch.column(1).to_numpy())
+        if not us:
+            return
+        names, ends = np.unique(np.concatenate([*us, *vs]), return_inverse=True)
+        u, v = np.split(ends, 2)
+        root = np.arange(len(names))
+        while True:
+            # Hook each root to the smallest neighbouring root, then jump pointers to their ends.
+            a, b = root[u], root[v]
+            if (a == b).all():
+                break
+            np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+            while (root[root] != root).any():
+                root = root[root]
+        inner = np.flatnonzero(root != np.arange(len(names)))
+        yield pa.RecordBatch.from_arrays([pa.array(names[inner]), pa.array(names[root[inner]])], ["u", "v"])
+
+    return edges.mapInArrow(run, "u long, v long")
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, comp) for every node of ``links`` (a, b): comp is the smallest node of its class.
 
-    Alternating large-star and small-star rounds; each round's edges are a written table.
+    Edges are contracted to forests in parts of at most ``EDGES_PER_TASK``. If that took
+    one part it is done; else alternating large-star and small-star rounds join the
+    parts' forests, each round's edges being a written table.
     """
 
     def both(e: DataFrame) -> DataFrame:
@@ -34,9 +69,11 @@ def components(links: DataFrame) -> DataFrame:
     def mark(e: DataFrame):
         return e.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
 
-    edges = stage(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
-    seen = mark(edges)
-    while seen[0]:
+    edges = links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
+    parts = -(-edges.count() // EDGES_PER_TASK)
+    edges = stage(forest(edges.repartition(max(1, parts))), "forest")
+    seen = mark(edges) if parts > 1 else None
+    while seen and seen[0]:
         sides = both(edges)
         low = sides.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("c"), F.least("m", "u").alias("m"))
         large = sides.where("v > u").join(low, F.col("u") == F.col("c")).select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -54,17 +91,26 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("comp")).union(roots)
 
 
-def link(members: DataFrame, verify: Callable[[DataFrame], DataFrame], star_rounds: int = STAR_ROUNDS) -> DataFrame:
+def link(
+    members: DataFrame,
+    verify: Callable[[DataFrame], DataFrame],
+    sketches: DataFrame | None = None,
+    close: Callable[[Column, Column], Column] | None = None,
+) -> DataFrame:
     """Classes of ``members`` (grp, node): (node, comp) of the nodes that have a verified link.
 
     ``verify`` takes distinct pairs (a, b), a < b, and returns those that are alike.
+    ``close`` may tell by two sketches, of ``sketches`` (node, sketch), that a pair can't
+    be; it is part of the join condition, so such pairs are never rows.
     """
+    if sketches is None:
+        sketches, close = members.select("node", F.lit(0).alias("sketch")).distinct(), lambda x, y: F.lit(True)
     sizes = members.groupBy("grp").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     kept = members.join(sizes, "grp")
     popular = kept.groupBy("node").agg(F.sum("n").alias("pop"))
     left = stage(kept.select("grp", "node").join(popular, "node"), "members")
     labels, links, tested = None, None, None
-    for turn in range(star_rounds + 1):
+    for turn in range(len(DELEGATES) + 1):
         if labels is None:
             now = left.withColumn("comp", F.col("node"))
         else:
@@ -72,34 +118,43 @@ def link(members: DataFrame, verify: Callable[[DataFrame], DataFrame], star_roun
         per = now.groupBy("grp", "comp").agg(F.count(F.lit(1)).alias("k"))
         open_groups = (
             per.groupBy("grp")
-            .agg(F.count(F.lit(1)).alias("comps"), F.sum("k").alias("n"), F.sum(F.col("k") * F.col("k")).alias("own"))
+            .agg(
+                F.count(F.lit(1)).alias("comps"),
+                F.sum("k").alias("n"),
+                F.sum(F.col("k") * F.col("k")).alias("own"),
+                F.max(F.struct("k", "comp"))["comp"].alias("main"),
+            )
             .where("comps > 1")
-            .select("grp", "n", ((F.col("n") * F.col("n") - F.col("own")) / 2).alias("cross"))
+            .select("grp", "n", "main", ((F.col("n") * F.col("n") - F.col("own")) / 2).alias("cross"))
         )
-        now = stage(now.join(open_groups, "grp").select("grp", "node", "comp", "pop", "n", "cross"), "open")
+        now = stage(now.join(open_groups, "grp").join(sketches, "node"), "open")
         total = open_total(now)
         if not total[0]:
             break
-        star = turn < star_rounds and total[1] > PAIRS_PER_MEMBER * total[0]
-        if star:
-            # First the most popular member leads, then members in the order of a hash.
-            order = F.col("pop") if turn == 0 else F.xxhash64("node", F.lit(turn))
-            leaders = now.groupBy("grp").agg(F.max(F.struct(order, -F.col("node"), F.col("comp"))).alias("l"))
-            leaders = leaders.select("grp", (-F.col("l.col2")).alias("leader"), F.col("l.comp").alias("leader_comp"))
-            pairs = now.join(leaders, "grp").where("comp <> leader_comp").select("node", F.col("leader").alias("other"))
+        last = turn == len(DELEGATES) or total[1] <= PAIRS_PER_MEMBER * total[0]
+        if last:
+            rest = now.select("grp", F.col("node").alias("other"), F.col("comp").alias("other_comp"), F.col("sketch").alias("seen"))
+            pairs = now.join(rest, "grp").where(F.col("comp") < F.col("other_comp"))
+        elif turn == 0:
+            best = F.max(F.struct("pop", (-F.col("node")).alias("m"), "sketch"))
+            leaders = now.groupBy("grp").agg((-best["m"]).alias("other"), best["sketch"].alias("seen"))
+            pairs = now.join(leaders, "grp").where("node <> other")
         else:
-            rest = now.select("grp", F.col("node").alias("other"), F.col("comp").alias("other_comp"))
-            pairs = now.join(rest, "grp").where("comp < other_comp").select("node", "other")
-        pairs = pairs.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
+            drawn = Window.partitionBy("grp").orderBy(F.xxhash64("node", F.lit(turn)))
+            delegates = now.where("comp = main").withColumn("place", F.row_number().over(drawn)).where(F.col("place") <= DELEGATES[turn])
+            outside = now.where("comp <> main").select("grp", "node", "sketch")
+            pairs = outside.join(delegates.select("grp", F.col("node").alias("other"), F.col("sketch").alias("seen")), "grp")
+        pairs = pairs.where(close(F.col("sketch"), F.col("seen"))).select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = stage(pairs, "pairs")
         found = stage(verify(pairs), "links")
         links = found if links is None else links.unionByName(found)
         tested = pairs if tested is None else tested.unionByName(pairs)
-        labels = stage(components(links), "labels")
+        if labels is None or not found.isEmpty():
+            labels = stage(components(links), "labels")
         left = now.select("grp", "node", "pop")
-        if not star:
+        if last:
             break
     if labels is None:
         return members.select("node", F.col("node").alias("comp")).where("false")

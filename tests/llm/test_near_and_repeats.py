@@ -150,3 +150,15 @@ def test_words_and_hashes():
     assert o.tolist() == [0, 0, 1, 1, 1]
     h = tn.span_hashes(data, s, e)
     assert h[1] == h[2] and len(set(h.tolist())) == 4
+
+
+@pytest.mark.parametrize("edges_per_task", [7, 10**6])
+def test_components(spark, monkeypatch, edges_per_task):
+    from pixelloom.llm import linking
+
+    monkeypatch.setattr(linking, "EDGES_PER_TASK", edges_per_task)
+    rnd = random.Random(edges_per_task)
+    links = [(rnd.randrange(60), rnd.randrange(60)) for _ in range(40)] + [(k, k + 1) for k in range(100, 140)]
+    want = brute.classes(200, links)
+    got = {r.node: r.comp for r in linking.components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert got == {n: want[n] for e in links for n in e if e[0] != e[1]}
