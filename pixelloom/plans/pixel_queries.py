@@ -9,25 +9,31 @@ from pixelloom.operators import compose, predictors, quantize, resample
 from pixelloom.plans.registry import PIXEL, query
 from pixelloom.sources.derived import doc_bytes, emb_px, line_px
 
-R, G, B, A = (F.col(c) for c in "rgba")
 SIZE = (4, 4)
 PALETTE = [(0, 0, 0), (255, 255, 255), (255, 0, 0), (0, 255, 0), (0, 0, 255), (128, 128, 0), (0, 128, 128), (128, 0, 128)]
 _PAL_SQL = "pal(k, pr, pg, pb) AS (VALUES " + ", ".join(f"({k}, {r}, {g}, {b})" for k, (r, g, b) in enumerate(PALETTE)) + ")"
 
 
+def channels():
+    return [F.col(c) for c in "rgba"]
+
+
 @query("alpha_over_white", "img x y r g b", "SELECT img, x, y, (r*a + 255*(255-a)) // 255 AS r, (g*a + 255*(255-a)) // 255 AS g, (b*a + 255*(255-a)) // 255 AS b FROM px")
 def alpha_over_white(spark, sf):
+    _, _, _, A = channels()
     return emb_px(spark, sf).select("img", "x", "y", *(C.over_white(F.col(c), A).alias(c) for c in "rgb"))
 
 
 @query("alpha_over_background", "img x y r g b", "SELECT img, x, y, CASE WHEN a < 255 THEN (r*a + 32*(255-a)) // 255 ELSE r END AS r, CASE WHEN a < 255 THEN (g*a + 64*(255-a)) // 255 ELSE g END AS g, CASE WHEN a < 255 THEN (b*a + 96*(255-a)) // 255 ELSE b END AS b FROM px")
 def alpha_over_background(spark, sf):
+    _, _, _, A = channels()
     shown = {c: F.when(A < 255, C.over(F.col(c), A, F.lit(v))).otherwise(F.col(c)) for c, v in zip("rgb", (32, 64, 96))}
     return emb_px(spark, sf).withColumns(shown)
 
 
 @query("premultiply_round_trip", PIXEL, "SELECT img, x, y, CASE WHEN a = 0 THEN 0 ELSE ((r*255 + a//2) // a) & 255 END AS r, CASE WHEN a = 0 THEN 0 ELSE ((g*255 + a//2) // a) & 255 END AS g, CASE WHEN a = 0 THEN 0 ELSE ((b*255 + a//2) // a) & 255 END AS b, a FROM pm")
 def premultiply_round_trip(spark, sf):
+    _, _, _, A = channels()
     from pixelloom.sources.derived import premultiplied
 
     return premultiplied(emb_px(spark, sf)).withColumns({c: C.unpremultiply(F.col(c), A) for c in "rgb"})
@@ -35,31 +41,37 @@ def premultiply_round_trip(spark, sf):
 
 @query("premultiplied_detection", "img premultiplied:boolean", "SELECT img, bool_and(greatest(r, g, b) <= a) AND bool_or(a < 255) AS premultiplied FROM px GROUP BY img")
 def premultiplied_detection(spark, sf):
+    _, _, _, A = channels()
     return emb_px(spark, sf).groupBy("img").agg((F.bool_and(F.greatest("r", "g", "b") <= A) & F.bool_or(A < 255)).alias("premultiplied"))
 
 
 @query("cmyk_to_rgb", "img x y r g b", "SELECT img, x, y, ((255-r)*(255-a) + 127) // 255 AS r, ((255-g)*(255-a) + 127) // 255 AS g, ((255-b)*(255-a) + 127) // 255 AS b FROM px")
 def cmyk_to_rgb(spark, sf):
+    _, _, _, A = channels()
     return emb_px(spark, sf).withColumns({c: C.cmyk_to_rgb(F.col(c), A) for c in "rgb"})
 
 
 @query("jpeg_cmyk_to_rgb", "img x y r g b", "SELECT img, x, y, greatest(0, least(255, 255-(r+a))) AS r, greatest(0, least(255, 255-(g+a))) AS g, greatest(0, least(255, 255-(b+a))) AS b FROM px")
 def jpeg_cmyk_to_rgb(spark, sf):
+    _, _, _, A = channels()
     return emb_px(spark, sf).withColumns({c: C.inverted_cmyk_to_rgb(F.col(c), A) for c in "rgb"})
 
 
 @query("jpeg_ycck_to_rgb", "img x y r g b", "yc AS (SELECT img, x, y, a AS k, greatest(0, least(255, r + ((91881*(b-128)) >> 16))) AS r, greatest(0, least(255, r - ((22554*(g-128) + 46802*(b-128)) >> 16))) AS g, greatest(0, least(255, r + ((116130*(g-128)) >> 16))) AS b FROM px)\n--\nSELECT img, x, y, greatest(0, least(255, 255-(r+k))) AS r, greatest(0, least(255, 255-(g+k))) AS g, greatest(0, least(255, 255-(b+k))) AS b FROM yc")
 def jpeg_ycck_to_rgb(spark, sf):
+    R, G, B, A = channels()
     return emb_px(spark, sf).withColumns({n: C.inverted_cmyk_to_rgb(v, A) for n, v in zip("rgb", C.ycbcr_fixed(R, G, B))})
 
 
 @query("ycbcr_float", "img x y r g b", "SELECT img, x, y, CAST(trunc(greatest(0.0, least(255.0, CAST(r AS DOUBLE) + CAST(1.402 AS DOUBLE)*(b-128)))) AS INTEGER) AS r, CAST(trunc(greatest(0.0, least(255.0, CAST(r AS DOUBLE) - CAST(0.344136 AS DOUBLE)*(g-128) - CAST(0.714136 AS DOUBLE)*(b-128)))) AS INTEGER) AS g, CAST(trunc(greatest(0.0, least(255.0, CAST(r AS DOUBLE) + CAST(1.772 AS DOUBLE)*(g-128)))) AS INTEGER) AS b FROM px")
 def ycbcr_float(spark, sf):
+    R, G, B, _ = channels()
     return emb_px(spark, sf).withColumns(dict(zip("rgb", C.ycbcr_float(R, G, B))))
 
 
 @query("ycbcr_fixed", "img x y r g b", "SELECT img, x, y, greatest(0, least(255, r + ((91881*(b-128)) >> 16))) AS r, greatest(0, least(255, r - ((22554*(g-128) + 46802*(b-128)) >> 16))) AS g, greatest(0, least(255, r + ((116130*(g-128)) >> 16))) AS b FROM px")
 def ycbcr_fixed(spark, sf):
+    R, G, B, _ = channels()
     return emb_px(spark, sf).withColumns(dict(zip("rgb", C.ycbcr_fixed(R, G, B))))
 
 
@@ -76,17 +88,20 @@ SELECT img, x, y, trunc(greatest(0.0, least(255.0, (vx*CAST(3.2406 AS DOUBLE) +
 
 @query("cielab_to_rgb", "img x y r g b", _LAB)
 def cielab_to_rgb(spark, sf):
+    R, G, B, _ = channels()
     return emb_px(spark, sf).withColumns(dict(zip("rgb", C.cielab(R, G - 128, B - 128))))
 
 
 @query("gray_white_is_zero", "img x y g", "SELECT img, x, y, 255 - g AS g FROM px")
 def gray_white_is_zero(spark, sf):
+    _, G, _, _ = channels()
     return emb_px(spark, sf).withColumn("g", C.gray_inverted(G))
 
 
 @query("palette16_lookup", "img x y r g b", "SELECT img, x, y, (((r % 64) * 1021) % 65536 + 128) // 257 AS r, (((r % 64) * 2039) % 65536 + 128) // 257 AS g, (((r % 64) * 4093) % 65536 + 128) // 257 AS b FROM px")
 def palette16_lookup(spark, sf):
     """A 64-entry colour map of 16-bit values, joined by index."""
+    R, _, _, _ = channels()
     n = F.col("id")
     table = spark.range(64).select(n.cast("int").alias("idx"), *(C.sample16_to_8(n * m % 65536).alias("p" + c) for c, m in zip("rgb", (1021, 2039, 4093))))
     px = emb_px(spark, sf).withColumn("idx", R % 64)
@@ -96,6 +111,7 @@ def palette16_lookup(spark, sf):
 @query("sample_scaling", "img x y s1 s2 s4 s16 w16 f8", "SELECT img, x, y, ((r & 1)*255) // 1 AS s1, ((r & 3)*255 + 1) // 3 AS s2, ((r & 15)*255 + 7) // 15 AS s4, (r*256 + g + 128) // 257 AS s16, ((r*256 + g)*255 + 32767) // 65535 AS w16, CASE WHEN b / 200.0 <= 1 THEN trunc(b / CAST(200 AS DOUBLE) * 255 + 0.5) ELSE trunc(b / CAST(200 AS DOUBLE) + 0.5) END AS f8 FROM px")
 def sample_scaling(spark, sf):
     """Samples of 1, 2, 4, 16 bits and floats to 8 bits."""
+    R, G, B, _ = channels()
     wide, real = R * 256 + G, B / F.lit(200.0)
     f8 = F.floor(F.when(real <= 1.0, real * 255.0 + 0.5).otherwise(real + 0.5))
     return emb_px(spark, sf).select(
@@ -107,6 +123,7 @@ def sample_scaling(spark, sf):
 
 @query("rgb555_565", "img x y r5 g5 b5 r6 g6 b6", "w AS (SELECT img, x, y, r*256 + g AS v FROM px)\n--\nSELECT img, x, y, (((v>>10)&31)*255+15)//31 AS r5, (((v>>5)&31)*255+15)//31 AS g5, ((v&31)*255+15)//31 AS b5, (((v>>11)&31)*255+15)//31 AS r6, (((v>>5)&63)*255+31)//63 AS g6, ((v&31)*255+15)//31 AS b6 FROM w")
 def rgb555_565(spark, sf):
+    R, G, _, _ = channels()
     v = R * 256 + G
     names = ("r5", "g5", "b5", "r6", "g6", "b6")
     return emb_px(spark, sf).select("img", "x", "y", *(c.alias(n) for n, c in zip(names, [*C.rgb555(v), *C.rgb565(v)])))
@@ -114,6 +131,7 @@ def rgb555_565(spark, sf):
 
 @query("bitfield_extract", "img x y lo5 mid6 hi5 wide", "w AS (SELECT img, x, y, r*256 + g AS v, CAST(r AS BIGINT)*16777216 + g*65536 + b*256 + a AS q FROM px)\n--\nSELECT img, x, y, ((v&31)*255+15)//31 AS lo5, (((v>>5)&63)*255+31)//63 AS mid6, (((v>>11)&31)*255+15)//31 AS hi5, ((q & 67107840) >> 10) >> 8 AS wide FROM w")
 def bitfield_extract(spark, sf):
+    R, G, B, A = channels()
     v = R * 256 + G
     q = R.cast("long") * 16777216 + G * 65536 + B * 256 + A
     return emb_px(spark, sf).select(
@@ -124,11 +142,13 @@ def bitfield_extract(spark, sf):
 
 @query("paeth_predictor", "img x y p", "d AS (SELECT img, x, y, r, g, b, abs(g-b) AS pa, abs(r-b) AS pb, abs(r+g-2*b) AS pc FROM px)\n--\nSELECT img, x, y, CASE WHEN pa <= pb AND pa <= pc THEN r WHEN pb <= pc THEN g ELSE b END AS p FROM d")
 def paeth_predictor(spark, sf):
+    R, G, B, _ = channels()
     return emb_px(spark, sf).withColumn("p", C.paeth(R, G, B))
 
 
 @query("scanline_geometry", "img x y rb1 rb4 s1 s2 s4", "SELECT img, x, y, (r + 7) // 8 AS rb1, (r*12 + 7) // 8 AS rb4, (g >> (7 - x)) & 1 AS s1, (g >> ((3 - x % 4)*2)) & 3 AS s2, (g >> ((1 - x % 2)*4)) & 15 AS s4 FROM px")
 def scanline_geometry(spark, sf):
+    R, G, _, _ = channels()
     return emb_px(spark, sf).select(
         "img", "x", "y", C.row_bytes(R, 1, 1).alias("rb1"), C.row_bytes(R, 3, 4).alias("rb4"),
         *(C.packed_sample(G, F.col("x"), n).alias(f"s{n}") for n in (1, 2, 4)),
@@ -158,12 +178,14 @@ def color_correction(spark, sf):
 
 @query("subtract_green", PIXEL, "SELECT img, x, y, (r+g) & 255 AS r, g, (b+g) & 255 AS b, a FROM px")
 def subtract_green(spark, sf):
+    _, G, _, _ = channels()
     return emb_px(spark, sf).withColumns({c: (F.col(c) + G).bitwiseAND(255) for c in "rb"})
 
 
 @query("cross_color", "img x y r b", "s AS (SELECT img, x, y, r, CASE WHEN g > 127 THEN g-256 ELSE g END AS gs, b FROM px), t AS (SELECT img, x, y, gs, (r + ((25*gs) >> 5)) & 255 AS r, b FROM s)\n--\nSELECT img, x, y, r, (b + ((-11*gs) >> 5) + ((7*CASE WHEN r > 127 THEN r-256 ELSE r END) >> 5)) & 255 AS b FROM t")
 def cross_color(spark, sf):
     """Signed multiplies of the lossless colour transform, here with one tile's factors."""
+    R, G, B, _ = channels()
 
     def signed(c):
         return F.when(c > 127, c - 256).otherwise(c)
@@ -176,6 +198,7 @@ def cross_color(spark, sf):
 @query("color_indexing", "img x y idx r g b", _PAL_SQL + ", i AS (SELECT img, x, y, (g >> ((x % 2)*4)) & 15 AS idx FROM px)\n--\nSELECT img, x, y, idx, coalesce(pr, 0) AS r, coalesce(pg, 0) AS g, coalesce(pb, 0) AS b FROM i LEFT JOIN pal ON k = idx")
 def color_indexing(spark, sf):
     """Two packed indices a byte; an index beyond the table gives 0."""
+    _, G, _, _ = channels()
     table = spark.createDataFrame([(k, *p) for k, p in enumerate(PALETTE)], "idx int, r int, g int, b int")
     px = emb_px(spark, sf).select("img", "x", "y", F.call_function("shiftright", G, (F.col("x") % 2 * 4).cast("int")).bitwiseAND(15).alias("idx"))
     return px.join(F.broadcast(table), "idx", "left").fillna(0, ["r", "g", "b"])
@@ -199,6 +222,7 @@ def deinterlace(spark, sf):
 
 @query("palette_blit", PIXEL, _PAL_SQL + ", i AS (SELECT img, x, y, r % 10 AS idx FROM px)\n--\nSELECT px.img, px.x, px.y, coalesce(pr, r) AS r, coalesce(pg, g) AS g, coalesce(pb, b) AS b, CASE WHEN pr IS NULL THEN a ELSE 255 END AS a FROM px JOIN i USING (img, x, y) LEFT JOIN pal ON k = idx AND idx <> 3")
 def palette_blit(spark, sf):
+    R, _, _, _ = channels()
     px = emb_px(spark, sf)
     table = spark.createDataFrame([(k, *p) for k, p in enumerate(PALETTE)], "idx int, pr int, pg int, pb int")
     return compose.palette_blit(px, px.select("img", "x", "y", (R % 10).alias("idx")), table, 3)
@@ -207,6 +231,7 @@ def palette_blit(spark, sf):
 @query("gif_keep_disposal", "grp frame x y v", "f AS (SELECT img // 8 AS grp, img % 8 AS frame, x, y, CASE WHEN a >= 128 THEN r END AS v FROM px)\n--\nSELECT grp, frame, x, y, (SELECT arg_max(v, o.frame) FROM f o WHERE o.grp = f.grp AND o.x = f.x AND o.y = f.y AND o.frame <= f.frame AND o.v IS NOT NULL) AS v FROM f")
 def gif_keep_disposal(spark, sf):
     """Groups of eight images as frames of one animation that is never erased."""
+    R, _, _, A = channels()
     frames = emb_px(spark, sf).select(C.div(F.col("img"), 8).alias("grp"), (F.col("img") % 8).alias("frame"), "x", "y", F.when(A >= 128, R).alias("v"))
     return predictors.last_drawn(frames, ["grp", "x", "y"], "frame", "v")
 
@@ -260,6 +285,7 @@ def predictor_sub(spark, sf):
 @query("predictor_16bit", "img seq v", "l AS (SELECT l_suppkey AS img, l_orderkey*8 + l_linenumber AS seq, (CAST(l_quantity AS BIGINT)*5 % 256)*256 + CAST(floor(l_extendedprice) AS BIGINT) % 256 AS v FROM lineitem), u AS (SELECT img, seq, CAST(sum(v) AS BIGINT) AS v FROM l GROUP BY img, seq)\n--\nSELECT img, seq, (sum(v) OVER (PARTITION BY img ORDER BY seq)) % 65536 AS v FROM u")
 def predictor_16bit(spark, sf):
     """One long row per supplier: windows at scale."""
+    R, _, _, A = channels()
     px = line_px(spark, sf).groupBy("img", "seq").agg(F.sum(R * 256 + A).alias("v"))
     return predictors.undo_sub(px, ["img"], "seq", "v", 65536)
 

@@ -20,7 +20,7 @@ MAX_PIXELS = 1 << 28
 
 
 def files(spark: SparkSession, path: str, *, glob: str | None = None, recursive: bool = True) -> DataFrame:
-    """(path, modificationTime, length, content) of files under ``path``."""
+    """(path, modificationTime, length, content) of files under ``path``; Spark's scan leaves out empty files."""
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower())
     return (reader.option("pathGlobFilter", glob) if glob else reader).load(path)
 
