@@ -68,14 +68,14 @@ def segment_keys(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[
     place = np.concatenate([heads, [len(data)]])
     s = np.searchsorted(heads, start)
     size = np.searchsorted(heads, end) - s
-    # Hash spans by prefix sums, as tn.span_hashes does, but over many span lists.
+    hashed = tn.SpanHasher(data)
     out_line, out_key = [], []
 
     def emit(line, at, length, tag):
         if len(line):
             a, b = place[s[line] + at], place[s[line] + at + length]
             out_line.append(line)
-            out_key.append(tn.mix(tn.span_hashes(data, a, b) * np.uint64(3) + tag.astype(np.uint64)))
+            out_key.append(tn.mix(hashed(a, b) * np.uint64(3) + tag.astype(np.uint64)))
 
     lines = np.arange(len(start))
     for gap in range(MOST_EDITS + 1):
@@ -147,7 +147,7 @@ def judge(keys: np.ndarray, where: np.ndarray, said: np.ndarray):
 
 
 def sharing_lines(blocks: DataFrame) -> DataFrame:
-    """(node, text, grps): lines of blocks with the keys that other lines have too."""
+    """(node, text, grps, histogram): lines of blocks with the keys that other lines have too."""
 
     def run(batches):
         for batch in batches:
@@ -165,11 +165,28 @@ def sharing_lines(blocks: DataFrame) -> DataFrame:
                 groups = [np.unique(g) for g in np.split(key, heads[1:])] if len(heads) else []
                 texts = [raw[a:b].decode() for a, b in zip(start[mine].tolist(), end[mine].tolist())]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(node[mine].view(np.int64)), pa.array(texts, pa.string()), pa.array(groups, pa.list_(pa.int64()))],
-                    ["node", "text", "grps"],
+                    [
+                        pa.array(node[mine].view(np.int64)),
+                        pa.array(texts, pa.string()),
+                        pa.array(groups, pa.list_(pa.int64())),
+                        pa.array([histogram(t).astype(np.int32) for t in texts], pa.list_(pa.int32())),
+                    ],
+                    ["node", "text", "grps", "histogram"],
                 )
 
-    return blocks.mapInArrow(run, "node long, text string, grps array<long>")
+    return blocks.mapInArrow(run, "node long, text string, grps array<long>, histogram array<int>")
+
+
+def may_be_alike(x, y):
+    """An edit changes a histogram of characters by 2 at most, so alike lines differ by 2 x ``MOST_EDITS``."""
+    apart = F.aggregate(F.zip_with(x, y, lambda a, b: F.abs(a - b)), F.lit(0), lambda s, v: s + v)
+    return apart <= 2 * MOST_EDITS
+
+
+def histogram(text: str) -> np.ndarray:
+    """How many of its characters fall in each of 32 classes."""
+    codes = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+    return np.bincount((codes * np.uint32(2654435761)) >> np.uint32(27), minlength=32)
 
 
 def edit_distance(a: str, b: str, most: int) -> int:
@@ -261,7 +278,8 @@ def line_classes(df: DataFrame, key: str, text: str, block_bytes: int = bl.BLOCK
     sharing = stage(sharing_lines(bl.with_answers(blocks, shared)), "sharing-lines")
     texts = sharing.groupBy("node").agg(F.min("text").alias("text"))
     members = stage(sharing.select("node", F.explode("grps").alias("grp")).distinct(), "line-groups")
-    return link(members, lambda pairs: verified(pairs, texts))
+    sketches = sharing.groupBy("node").agg(F.first("histogram").alias("sketch"))
+    return link(members, lambda pairs: verified(pairs, texts), sketches, may_be_alike)
 
 
 def dropped_lines(df: DataFrame, key: str, text: str, block_bytes: int = bl.BLOCK_BYTES) -> DataFrame:
