@@ -22,13 +22,13 @@ from pyspark.sql import functions as F
 from pixelloom.llm import textnum as tn
 from pixelloom.llm.common import stage
 
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 5 << 20
 ANSWER = "block long, range int, answer binary, figure_a long, figure_b long"
 
 
 def bound_batches(spark) -> None:
     """Arrow batches are bounded by bytes, so blocks and long texts pass one or few at a time."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
 
 
@@ -79,6 +79,7 @@ def opened(batch: pa.RecordBatch):
 
     press = zstandard.ZstdDecompressor()
     for k in range(batch.num_rows):
+        tn.free_encoders()
         ends = np.frombuffer(batch.column("ends")[k].as_buffer(), "<i8")
         yield (
             batch.column("block")[k].as_py(),
@@ -88,7 +89,7 @@ def opened(batch: pa.RecordBatch):
         )
 
 
-def slices(offsets: np.ndarray, most_bytes: int = 1 << 21):
+def slices(offsets: np.ndarray, most_bytes: int = 1 << 19):
     """(first document, last document) of parts of a block with at most so many bytes, or one longer document."""
     start = 0
     while start < len(offsets) - 1:

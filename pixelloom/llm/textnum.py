@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
-from functools import lru_cache
+import ctypes
+import sys
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+try:
+    _LIBC = ctypes.CDLL("libc.so.6")
+except OSError:
+    _LIBC = None
+
 BREAK = np.zeros(256, bool)
 BREAK[[0x20, *range(0x09, 0x0E)]] = True
 BASE = 0x9E3779B97F4A7C15 | 1
@@ -24,6 +30,16 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def free_encoders() -> None:
+    """Give back memory before a batch. Workers are reused: a tokenizer's cache that an earlier stage
+    left, and freed arrays that the C library keeps, would count against this one."""
+    tokens = sys.modules.get("pixelloom.llm.tokens")
+    if tokens is not None:
+        tokens.release()
+    if _LIBC is not None:
+        _LIBC.malloc_trim(0)
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string column and the n+1 offsets of its rows; nulls are empty."""
     column = pc.fill_null(column, "").cast(pa.large_string())
@@ -33,8 +49,9 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[ends[0] : ends[-1]], ends - ends[0]
 
 
-def parts_of(batch: pa.RecordBatch, text: int, most_bytes: int = 1 << 21):
+def parts_of(batch: pa.RecordBatch, text: int, most_bytes: int = 1 << 20):
     """Slices of a batch with at most ``most_bytes`` of text each, or a single longer row."""
+    free_encoders()
     if not batch.num_rows:
         return
     sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -47,20 +64,19 @@ def parts_of(batch: pa.RecordBatch, text: int, most_bytes: int = 1 << 21):
         start = end
 
 
-@lru_cache(maxsize=4)
-def _powers(base: int, bits: int) -> np.ndarray:
-    out = np.full(1 << bits, base, np.uint64)
-    out[0] = 1
-    return np.multiply.accumulate(out)
+_TABLES: dict[int, np.ndarray] = {}
 
 
 def powers(base: int, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1), modulo 2**64."""
-    if n <= 1 << 22:
-        return _powers(base, max(16, int(n).bit_length()))[:n]
-    out = np.full(n, base, np.uint64)
-    out[0] = 1
-    return np.multiply.accumulate(out)
+    """base**0 .. base**(n-1), modulo 2**64; one table a base is kept, of 32 MB at most."""
+    table = _TABLES.get(base)
+    if table is None or len(table) < n:
+        table = np.full(max(n, 1 << 16), base, np.uint64)
+        table[0] = 1
+        np.multiply.accumulate(table, out=table)
+        if n <= 1 << 22:
+            _TABLES[base] = table
+    return table[:n]
 
 
 def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -79,13 +95,23 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return starts, ends, np.searchsorted(offsets, starts, "right") - 1
 
 
+class SpanHasher:
+    """64-bit hashes of byte spans of one buffer, from one prefix sum over it."""
+
+    def __init__(self, data: np.ndarray):
+        self.total = np.zeros(len(data) + 1, np.uint64)
+        np.multiply(data.astype(np.uint64) + np.uint64(1), powers(BASE, len(data)), out=self.total[1:])
+        np.cumsum(self.total, out=self.total)
+        self.inverse = powers(BASE_INVERSE, len(data) + 1)
+
+    def __call__(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        h = (self.total[ends] - self.total[starts]) * self.inverse[starts]
+        return mix(h + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+
+
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each byte span, from one prefix sum over the whole buffer."""
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.multiply(data.astype(np.uint64) + np.uint64(1), powers(BASE, len(data)), out=total[1:])
-    np.cumsum(total, out=total)
-    h = (total[ends] - total[starts]) * powers(BASE_INVERSE, len(data) + 1)[starts]
-    return mix(h + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    """A 64-bit hash of each byte span."""
+    return SpanHasher(data)(starts, ends)
 
 
 def shingles(hashes: np.ndarray, owner: np.ndarray, n_texts: int, size: int = 5) -> tuple[np.ndarray, np.ndarray]:

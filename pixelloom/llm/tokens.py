@@ -48,17 +48,23 @@ class Encoder:
     def __init__(self, path: str):
         import regex
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        # Pieces are split already: the same model, without the pattern.
+        self.unsplit = Tokenizer.from_file(path)
+        self.unsplit.encode_special_tokens = True
+        self.unsplit.pre_tokenizer = ByteLevel(add_prefix_space=False, use_regex=False)
         self.split = regex.compile(PATTERN).findall
         self.settled = regex.compile(f"[{SETTLED}]*+").fullmatch
         self.latin = re.compile(f"[{LATIN}]*+").fullmatch
         self.split_latin = re.compile(LATIN_PATTERN).findall
         self.pieces: dict[str, bytes] = {}
 
-    def _whole(self, texts: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def _whole(self, texts: list[str], tokenizer=None) -> list[bytes]:
+        found = (tokenizer or self.tokenizer).encode_batch_fast(texts, add_special_tokens=False)
+        return [array("I", e.ids).tobytes() for e in found]
 
     def _by_pieces(self, texts: list[str]) -> list[bytes]:
         """Ids of settled texts, by cached pieces."""
@@ -68,7 +74,7 @@ class Encoder:
         full = len(known) + len(new) > CACHED
         passing: dict[str, bytes] = {}
         for k in range(0, len(new), 20_000):
-            (passing if full else known).update(zip(new[k : k + 20_000], self._whole(new[k : k + 20_000])))
+            (passing if full else known).update(zip(new[k : k + 20_000], self._whole(new[k : k + 20_000], self.unsplit)))
         get = _Both(known, passing).__getitem__ if full else known.__getitem__
         return [b"".join(map(get, p)) for p in cut]
 
@@ -110,3 +116,8 @@ def text_slices(batch, rows: int = 500):
     for k in range(0, batch.num_rows, rows):
         part = batch.slice(k, rows)
         yield part.column(0), part.column(1).to_pylist()
+
+
+def release() -> None:
+    """Drop the worker's encoders and their pieces; operators that need the memory call this first."""
+    encoder.cache_clear()
