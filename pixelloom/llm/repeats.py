@@ -3,7 +3,7 @@
 A byte goes if a 50-byte string over it also starts in a document with a smaller id.
 
 1. Byte-equal documents: of 50 bytes or more, all but the smallest id go whole.
-2. *Anchors.* Of each run of 31 successive 20-grams the one with the smallest hash
+2. *Anchors.* Of each run of 21 successive 30-grams the one with the smallest hash
    is an anchor, so each 50-byte string holds one, at a place its own bytes decide.
    Blocks ask (``blocks``) which anchors several documents have.
 3. A 50-byte string belongs to its anchor. If that is shared, its key range gets the bytes around the anchor: a context.
@@ -20,7 +20,7 @@ A block sends each distinct context once, for its smallest document, and settles
 its other documents itself, so a passage that a third of all documents hold costs a
 row per block. Nothing is decided by a hash: hashes choose anchors and ranges, and a
 string is compared by its bytes. (Anchors of equal 64-bit hash whose bytes differ
-are told apart, since the 20 bytes are part of the context.)
+are told apart, since the 30 bytes are part of the context.)
 
 Defined results: null text is empty, and has 0 bytes and the hash of nothing; texts
 under 50 bytes stay whole; rows of equal id are one document, whose own repeats
@@ -40,7 +40,7 @@ from pixelloom.llm import blocks as bl
 from pixelloom.llm import textnum as tn
 from pixelloom.llm.common import stage
 
-LENGTH, GRAM = 50, 20
+LENGTH, GRAM = 50, 30
 SPAN = LENGTH - GRAM + 1  # successive grams of a string; also the places an anchor may have in it
 SIDE = LENGTH - GRAM  # bytes a string may have on either side of its anchor
 TOP = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -59,7 +59,7 @@ def strings_of(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.nd
     """Anchors of the texts: (anchor places, their hashes, for each 50-byte string's place the number of its
     anchor or -1). Of equal hashes in a string the first counts."""
     n = len(data)
-    of_string = np.full(n, -1, np.int64)
+    of_string = np.full(n, -1, np.int32)
     if n < LENGTH:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64), of_string
     starts = np.arange(n - GRAM + 1)
@@ -91,14 +91,15 @@ def strings_of(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.nd
 def block_strings(offsets: np.ndarray, data: np.ndarray):
     """``strings_of`` for a whole block, in slices that bound memory: places are the block's."""
     places, hashes, owners, base = [], [], [], 0
-    for a, b in bl.slices(offsets, 1 << 21):
+    for a, b in bl.slices(offsets):
         p, h, o = strings_of(offsets[a : b + 1] - offsets[a], data[offsets[a] : offsets[b]])
         places.append(p + offsets[a])
         hashes.append(h)
-        owners.append(np.where(o >= 0, o + base, -1))
+        o[o >= 0] += base
+        owners.append(o)
         base += len(p)
     if not places:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int32)
     return np.concatenate(places), np.concatenate(hashes), np.concatenate(owners)
 
 
@@ -131,8 +132,7 @@ class Contexts:
         if len(keys) != len(shared):
             raise AssertionError("answers don't match the questions")
         common = shared[where].astype(bool) if len(keys) else np.zeros(0, bool)
-        strings = np.flatnonzero(owner >= 0)
-        strings = strings[common[owner[strings]]]
+        strings = np.flatnonzero(np.append(common, False)[owner])  # -1 is the last one
         mine = owner[strings]
         heads = np.flatnonzero(np.r_[True, mine[1:] != mine[:-1]]) if len(mine) else np.zeros(0, np.int64)
         self.anchor = places[mine[heads]]
@@ -145,9 +145,9 @@ class Contexts:
         # Bytes from the first string's start to the last one's end, at fixed places around the anchor.
         padded = np.concatenate([np.zeros(SIDE, np.uint8), data, np.zeros(LENGTH, np.uint8)])
         self.bytes = np.zeros((len(self.anchor), 2 * SIDE + GRAM), np.uint8)
-        for k in range(0, len(self.anchor), 50_000):
-            span = self.anchor[k : k + 50_000, None] + np.arange(2 * SIDE + GRAM)[None, :]
-            self.bytes[k : k + 50_000] = padded[span]
+        for k in range(0, len(self.anchor), 10_000):
+            span = self.anchor[k : k + 10_000, None] + np.arange(2 * SIDE + GRAM)[None, :]
+            self.bytes[k : k + 10_000] = padded[span]
         column = np.arange(2 * SIDE + GRAM)[None, :]
         outside = (column < (SIDE - self.most)[:, None]) | (column >= (SIDE - self.least + LENGTH)[:, None])
         self.bytes[outside] = 0
@@ -318,24 +318,24 @@ def cut(blocks: DataFrame) -> DataFrame:
                 later = follow & (c.doc > c.doc[c.lead])
                 for a in range(SPAN):
                     masks[later & (c.least <= a) & (a <= c.most)] |= np.uint32(1 << a)
-                gone = np.zeros(len(data) + 1, np.int64)
+                gone = np.zeros(len(data) + 1, np.int32)
                 for a in range(SPAN):
                     s = c.anchor[(masks >> np.uint32(a)) & np.uint32(1) == 1] - a
                     np.add.at(gone, s, 1)
                     np.add.at(gone, s + LENGTH, -1)
-                gone = np.cumsum(gone[:-1]) > 0
+                gone = np.cumsum(gone[:-1], dtype=np.int32) > 0
                 opens = gone.copy()
                 inner = offsets[1:-1][offsets[1:-1] < len(data)]
                 border = np.zeros(len(data), bool)
                 border[inner] = True
                 if len(data):
                     opens[1:] &= ~gone[:-1] | border[1:]
-                removed, spans = np.r_[0, np.cumsum(gone)], np.r_[0, np.cumsum(opens)]
                 rows = []
                 for i, a, b in zip(ids.tolist(), offsets[:-1].tolist(), offsets[1:].tolist()):
-                    part = data[a:b]
-                    left = part[~gone[a:b]] if removed[b] > removed[a] else part
-                    rows.append((None if i == -(1 << 63) else i, b - a, int(removed[b] - removed[a]), int(spans[b] - spans[a]), sha256(left).hexdigest()))
+                    part, off = data[a:b], gone[a:b]
+                    n_off = int(np.count_nonzero(off))
+                    left = part[~off] if n_off else part
+                    rows.append((None if i == -(1 << 63) else i, b - a, n_off, int(np.count_nonzero(opens[a:b])), sha256(left).hexdigest()))
                 if rows:
                     kinds = [pa.int64()] * 4 + [pa.string()]
                     yield pa.RecordBatch.from_arrays(
@@ -345,7 +345,7 @@ def cut(blocks: DataFrame) -> DataFrame:
     return blocks.mapInArrow(run, RESULT)
 
 
-def repeated_substrings(df: DataFrame, *, key: str = "doc_id", text: str = "text", block_bytes: int = bl.BLOCK_BYTES) -> DataFrame:
+def repeated_substrings(df: DataFrame, *, key: str = "doc_id", text: str = "text", block_bytes: int = 2 << 20) -> DataFrame:
     """One row per row of ``df``: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
     rows = df.select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
     digests = stage(rows.select("doc_id", F.unhex(F.md5("text")).alias("digest"), F.octet_length("text").alias("size")), "digests")
@@ -353,9 +353,10 @@ def repeated_substrings(df: DataFrame, *, key: str = "doc_id", text: str = "text
     copies = stage(
         digests.join(groups.where("first < last"), "digest").where("doc_id > first").select(F.col("doc_id").alias("copy"), "size", "digest"), "copies"
     )
-    # A row is a copy by its text, so ids shared by unlike rows stay apart.
+    # A row is a copy by its text, so ids shared by unlike rows stay apart. The copies grow with
+    # the corpus, so this is a merge join at every size.
     digest = F.unhex(F.md5("text"))
-    fresh = rows.join(copies, (rows["doc_id"] == copies["copy"]) & (digest == copies["digest"]), "left_anti")
+    fresh = rows.join(copies.hint("merge"), (rows["doc_id"] == copies["copy"]) & (digest == copies["digest"]), "left_anti")
     gone = copies.select(
         F.col("copy").alias("doc_id"),
         F.col("size").cast("long").alias("n_bytes"),
@@ -364,7 +365,7 @@ def repeated_substrings(df: DataFrame, *, key: str = "doc_id", text: str = "text
         F.lit(sha256(b"").hexdigest()).alias("kept_sha256"),
     )
     blocks = bl.build(fresh, "doc_id", "text", block_bytes)
-    bits = bl.range_bits(blocks)
+    bits = bl.range_bits(blocks) + 1  # contexts are ten times as large as keys
     shared = stage(bl.answer(bl.ask(blocks, keys_of, bits), judge).select("block", "range", "answer"), "shared")
     known = bl.with_answers(blocks, shared)
     settled = stage(settle(send_contexts(known, bits)), "settled")

@@ -57,10 +57,10 @@ def jpeg_cmyk_to_rgb(spark, sf):
     return emb_px(spark, sf).withColumns({c: C.inverted_cmyk_to_rgb(F.col(c), A) for c in "rgb"})
 
 
-@query("jpeg_ycck_to_rgb", "img x y r g b", "yc AS (SELECT img, x, y, a AS k, greatest(0, least(255, r + ((91881*(b-128)) >> 16))) AS r, greatest(0, least(255, r - ((22554*(g-128) + 46802*(b-128)) >> 16))) AS g, greatest(0, least(255, r + ((116130*(g-128)) >> 16))) AS b FROM px)\n--\nSELECT img, x, y, greatest(0, least(255, 255-(r+k))) AS r, greatest(0, least(255, 255-(g+k))) AS g, greatest(0, least(255, 255-(b+k))) AS b FROM yc")
+@query("jpeg_ycck_to_rgb", "img x y r g b", "yc AS (SELECT img, x, y, a AS k, greatest(0, least(255, r + ((91881*(b-128)) >> 16))) AS r, greatest(0, least(255, r - ((22554*(g-128) + 46802*(b-128)) >> 16))) AS g, greatest(0, least(255, r + ((116130*(g-128)) >> 16))) AS b FROM px)\n--\nSELECT img, x, y, greatest(0, r-k) AS r, greatest(0, g-k) AS g, greatest(0, b-k) AS b FROM yc")
 def jpeg_ycck_to_rgb(spark, sf):
     R, G, B, A = channels()
-    return emb_px(spark, sf).withColumns({n: C.inverted_cmyk_to_rgb(v, A) for n, v in zip("rgb", C.ycbcr_fixed(R, G, B))})
+    return emb_px(spark, sf).withColumns({n: F.greatest(F.lit(0), v - A) for n, v in zip("rgb", C.ycbcr_fixed(R, G, B))})
 
 
 @query("ycbcr_float", "img x y r g b", "SELECT img, x, y, CAST(trunc(greatest(0.0, least(255.0, CAST(r AS DOUBLE) + CAST(1.402 AS DOUBLE)*(b-128)))) AS INTEGER) AS r, CAST(trunc(greatest(0.0, least(255.0, CAST(r AS DOUBLE) - CAST(0.344136 AS DOUBLE)*(g-128) - CAST(0.714136 AS DOUBLE)*(b-128)))) AS INTEGER) AS g, CAST(trunc(greatest(0.0, least(255.0, CAST(r AS DOUBLE) + CAST(1.772 AS DOUBLE)*(g-128)))) AS INTEGER) AS b FROM px")
