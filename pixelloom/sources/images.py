@@ -73,12 +73,14 @@ def with_format(df: DataFrame, content: str = "content") -> DataFrame:
 
 def decode_one(data: bytes, kind: str, page: int, **options):
     """One page of one file."""
-    from pixelloom.sources.codecs import ImageError, bmp, gif, ico, jpeg, png, tga, tiff
+    from pixelloom.sources.codecs import ImageError, bmp, gif, ico, jpeg, pdf, png, tga, tiff
 
     if kind in ("ico", "cur"):
         return ico.decode(data, page)
     if kind == "tiff":
         return tiff.decode(data, page)
+    if kind == "pdf":
+        return pdf.decode(data, page, trim=options.get("trim", True))
     if page:
         raise ImageError("page index out of range")
     if kind == "tga":
@@ -90,8 +92,10 @@ def decode_one(data: bytes, kind: str, page: int, **options):
 
 
 def page_count(data: bytes, kind: str) -> int:
-    from pixelloom.sources.codecs import ico, tiff
+    from pixelloom.sources.codecs import ico, pdf, tiff
 
+    if kind == "pdf":
+        return pdf.page_count(data)
     if kind in ("ico", "cur"):
         return len(ico.directory(data)[0])
     return len(tiff.pages(data)[1]) if kind == "tiff" else 1
@@ -194,6 +198,47 @@ def tiff_tags(df: DataFrame) -> DataFrame:
     return df.select("path", "content").mapInArrow(run, "path string, ifd int, tag int, type int, count long, values array<long>")
 
 
+def pdf_operators(df: DataFrame, page: int = 0) -> DataFrame:
+    """(path, seq, op, args) of a page's content, operands as text; unreadable files give no rows."""
+
+    def run(batches):
+        from pixelloom.sources.codecs import pdf
+
+        for batch in batches:
+            rows = []
+            for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                try:
+                    found = list(pdf.operators(pdf.File(content).content(page)))
+                except ValueError:
+                    continue
+                for k, (op, args) in enumerate(found):
+                    rows.append((path, k, op, [a.decode("latin-1") if isinstance(a, bytes) else f"{a:g}" if isinstance(a, float) else str(a) for a in args]))
+            if rows:
+                kinds = [pa.string(), pa.int32(), pa.string(), pa.list_(pa.string())]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], ["path", "seq", "op", "args"])
+
+    return df.select("path", "content").mapInArrow(run, "path string, seq int, op string, args array<string>")
+
+
+def pdf_text(df: DataFrame) -> DataFrame:
+    """(path, page, text, error) of every page."""
+
+    def run(batches):
+        from pixelloom.sources.codecs import pdf
+
+        for batch in batches:
+            rows = []
+            for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                try:
+                    rows += [(path, k, pdf.text(content, k), None) for k in range(pdf.page_count(content))]
+                except ValueError as e:
+                    rows.append((path, None, None, str(e)))
+            kinds = [pa.string(), pa.int32(), pa.string(), pa.string()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], ["path", "page", "text", "error"])
+
+    return df.select("path", "content").mapInArrow(run, "path string, page int, text string, error string")
+
+
 def explode_pixels(images: DataFrame, key: str = "path") -> DataFrame:
     """(key, x, y, r, g, b, a) of decoded images, in Arrow batches of bounded size."""
 
