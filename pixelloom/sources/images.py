@@ -73,7 +73,7 @@ def with_format(df: DataFrame, content: str = "content") -> DataFrame:
 
 def decode_one(data: bytes, kind: str, page: int, **options):
     """One page of one file."""
-    from pixelloom.sources.codecs import ImageError, bmp, gif, ico, jpeg, pdf, png, tga, tiff, webp
+    from pixelloom.sources.codecs import ImageError, bmp, gif, ico, jpeg, pdf, png, svg, tga, tiff, webp
 
     if kind in ("ico", "cur"):
         return ico.decode(data, page)
@@ -85,6 +85,9 @@ def decode_one(data: bytes, kind: str, page: int, **options):
         raise ImageError("page index out of range")
     if kind == "tga":
         return tga.decode(data, options.get("tga_corrections", True))
+    if kind == "svg":
+        names = ("width", "height", "scale", "dpi", "time", "supersampling", "background")
+        return svg.decode(data, **{k: v for k, v in options.items() if k in names})
     decoders = {"bmp": bmp.decode, "png": png.decode, "gif": gif.decode, "jpeg": jpeg.decode, "webp": webp.decode}
     if kind not in decoders:
         raise ImageError(f"{kind} is not supported yet")
