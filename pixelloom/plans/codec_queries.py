@@ -157,3 +157,53 @@ def error_rows(spark, sf):
     fixed = F.when(kind == 3, F.concat(F.substring("content", 1, 2), F.unhex(F.lit("00000000")), F.substring("content", 7, 74))).otherwise(broken)
     df = images.with_format(whole.withColumn("content", fixed)).withColumn("format", F.when(kind == 0, "png").otherwise(F.col("format")))
     return images.decode_images(df).withColumn("img", F.col("path").cast("long"))
+
+
+def svg_rects(px: np.ndarray) -> bytes:
+    """A rectangle for every pixel, its colour by a rule for even rows and by an attribute for odd ones."""
+    cells = [(x, y, "".join(f"{v:02x}" for v in px[y, x, :3])) for y in range(px.shape[0]) for x in range(px.shape[1])]
+    css = "".join(f"#c{x}_{y}{{fill:#{c}}}" for x, y, c in cells if y % 2 == 0)
+    rects = "".join(f'<rect id="c{x}_{y}" x="{x}" y="{y}" width="1" height="1"' + (f' fill="#{c}"' if y % 2 else "") + "/>" for x, y, c in cells)
+    return f'<svg width="{px.shape[1]}" height="{px.shape[0]}"><style>{css}</style><g>{rects}</g></svg>'.encode()
+
+
+round_trip("svg_render", svg_rects, OPAQUE)
+
+
+def pdf_rects(px: np.ndarray) -> bytes:
+    """A page of 3/4 point a pixel, filled rectangle by rectangle."""
+    h, w = px.shape[:2]
+    draw = "\n".join(
+        f"{r / 255:.6f} {g / 255:.6f} {b / 255:.6f} rg {0.75 * x} {0.75 * (h - 1 - y)} 0.75 0.75 re f"
+        for y in range(h) for x in range(w) for r, g, b in [px[y, x, :3].tolist()]
+    )
+    page = f"3 0 obj\n<< /Type /Page /Parent 2 0 R /MediaBox [0 0 {0.75 * w} {0.75 * h}] /Contents 4 0 R >>\nendobj\n"
+    tree = "1 0 obj\n<< /Type /Catalog /Pages 2 0 R >>\nendobj\n2 0 obj\n<< /Type /Pages /Kids [3 0 R] /Count 1 >>\nendobj\n"
+    return f"%PDF-1.4\n{tree}{page}4 0 obj\n<< /Length {len(draw)} >>\nstream\n{draw}\nendstream\nendobj\ntrailer\n<< /Root 1 0 R >>\nstartxref\n9\n%%EOF\n".encode()
+
+
+@query("pdf_render", PIXEL, OPAQUE)
+def pdf_render(spark, sf):
+    """Every image as rectangles on a page, rendered untrimmed."""
+    return pixels(images.decode_images(written(spark, sf, pdf_rects), trim=False))
+
+
+@query("pdf_operator_counts", "img op:string n", "SELECT vec_id AS img, op, 16 AS n FROM embeddings, (VALUES ('rg'), ('re'), ('f')) t(op)")
+def pdf_operator_counts(spark, sf):
+    ops = images.pdf_operators(written(spark, sf, pdf_rects))
+    return ops.groupBy(F.col("path").cast("long").alias("img"), "op").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("svg_sample_times", "img step x r", "SELECT img, s AS step, x + 2*s AS x, r FROM px, (VALUES (0), (1), (2)) t(s) WHERE y = 0")
+def svg_sample_times(spark, sf):
+    """Four moving pixels, sampled at three times: rendering by (document, time) rows."""
+    def moving(px: np.ndarray) -> bytes:
+        move = '<animate attributeName="x" from="{0}" to="{1}" dur="2s" fill="freeze"/>'
+        rects = "".join(f'<rect y="0" x="{x}" width="1" height="1" fill="#{px[0, x, 0]:02x}0000">{move.format(x, x + 4)}</rect>' for x in range(4))
+        return f'<svg width="8" height="1">{rects}</svg>'.encode()
+
+    files, out = written(spark, sf, moving), None
+    for step in range(3):
+        px = pixels(images.decode_images(files, time=float(step))).where("a = 255").withColumn("step", F.lit(step))
+        out = px if out is None else out.unionByName(px)
+    return out
