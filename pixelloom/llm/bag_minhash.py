@@ -19,8 +19,9 @@ With 32 bands of 7 registers a pair at similarity 0.8 shares a band with probabi
 heading, with 0.0004.
 
 Defined results: a text without words (null, empty) is alone and stays; a text of
-one to four words has one shingle; of a class the smallest id stays; equal rows
-share a class; an empty table gives none.
+one to four words has one shingle; of a class the smallest id stays, null before all;
+rows that repeat an id share its fate; an empty table gives none. An id stands for one
+text: of unlike rows with one id any may be compared.
 """
 
 from __future__ import annotations
@@ -37,6 +38,7 @@ from pixelloom.llm.linking import link
 BANDS, ROWS = 32, 7
 SIZE, THRESHOLD = 5, 0.8
 KEY_BITS = 44
+NULL_ID = -(1 << 63)
 
 
 def bags(data: np.ndarray, offsets: np.ndarray, size: int = SIZE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -127,11 +129,16 @@ def sketch(df: DataFrame, key: str, text: str, size: int = SIZE) -> DataFrame:
                     [part.column(0), pa.array(digests, pa.binary()), lists, short], ["doc_id", "digest", "bands", "registers"]
                 )
 
-    return df.select(F.col(f"`{key}`").cast("long"), F.col(f"`{text}`")).mapInArrow(
+    return df.select(node_of(key), F.col(f"`{text}`")).mapInArrow(
         run, "doc_id long, digest binary, bands array<long>, registers binary"
     )
 
 
+def node_of(key: str):
+    """Ids as node numbers; a null id is the smallest."""
+    return F.coalesce(F.col(f"`{key}`").cast("long"), F.lit(NULL_ID).cast("long"))
+
+
 def promising(pairs: DataFrame, registers: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Pairs (a, b) that agree in enough registers (node, registers) to be at the threshold."""
     n = BANDS * ROWS
@@ -201,7 +208,7 @@ def near_dedup(
     registers = sketched.join(nodes.select(F.col("digest").alias("d"), "node"), (F.col("digest") == F.col("d")) & first)
     registers = stage(registers.where("bands is not null").dropDuplicates(["node"]).select("node", "registers"), "registers")
     members = stage(nodes.where("bands is not null").select("node", F.explode("bands").alias("grp")), "bands")
-    texts = df.select(F.col(f"`{key}`").cast("long").alias("node"), F.col(f"`{text}`").alias("text"))
+    texts = df.select(node_of(key).alias("node"), F.col(f"`{text}`").alias("text"))
 
     def verify(pairs: DataFrame) -> DataFrame:
         return verified(stage(promising(pairs, registers, threshold), "promising"), texts, size, threshold)
@@ -212,13 +219,17 @@ def near_dedup(
     sizes = classes.groupBy("comp").agg(F.sum("n").alias("class_size"))
     classes = stage(classes.join(sizes, "comp").select("digest", "wordless", "comp", "class_size"), "classes")
     alone = F.col("wordless")
+
+    def shown(c):
+        return F.when(c != NULL_ID, c)
+
     return (
         sketched.select("doc_id", "digest")
         .join(classes, "digest")
         .select(
-            "doc_id",
-            F.when(alone, F.col("doc_id")).otherwise(F.col("comp")).alias("class_id"),
+            shown(F.col("doc_id")).alias("doc_id"),
+            shown(F.when(alone, F.col("doc_id")).otherwise(F.col("comp"))).alias("class_id"),
             F.when(alone, F.lit(1).cast("long")).otherwise(F.col("class_size")).alias("class_size"),
-            (alone | F.col("doc_id").eqNullSafe(F.col("comp"))).alias("kept"),
+            (alone | (F.col("doc_id") == F.col("comp"))).alias("kept"),
         )
     )

@@ -101,3 +101,8 @@ def test_banded_edit_distance_of_near_texts(a, edits, most):
     for p, kind in edits:
         b = b[:p] + "c" + b[p:] if kind == "i" else b[:p] + b[p + 1 :] if kind == "d" else b[:p] + "c" + b[p + 1 :]
     assert line_dedup.edit_distance(a, b, most) == min(brute.edit_distance(a, b), most + 1)
+
+
+def test_null_ids(spark):
+    got = line_dedup.line_dedup(frame(spark, [(None, "a line here\nb"), (1, "a line here\nc"), (2, None)])).collect()
+    assert {(r.doc_id, r.text, r.n_lines, r.n_dropped) for r in got} == {(None, "a line here\nb", 2, 0), (1, "c", 2, 1), (2, None, 0, 0)}

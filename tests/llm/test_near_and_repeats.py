@@ -162,3 +162,20 @@ def test_components(spark, monkeypatch, edges_per_task):
     want = brute.classes(200, links)
     got = {r.node: r.comp for r in linking.components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {n: want[n] for e in links for n in e if e[0] != e[1]}
+
+
+ODD = [(None, "a b c d e f g h i j " * 9), (1, "a b c d e f g h i j " * 9), (2, "x " * 20000), (3, "x " * 20000), (3, "x " * 20000), (4, None), (4, None), (5, ""), (6, "\t\n "), (7, "é" * 60)]
+
+
+def test_null_ids_repeated_rows_and_long_texts(spark):
+    near = bag_minhash.near_dedup(frame(spark, ODD)).collect()
+    assert len(near) == len(ODD)
+    got = {(r.doc_id, r.class_id, r.kept) for r in near}
+    assert got == {(None, None, True), (1, None, False), (2, 2, True), (3, 2, False), (4, 4, True), (5, 5, True), (6, 6, True), (7, 7, True)}
+    cut = repeats.repeated_substrings(frame(spark, ODD), block_bytes=5000).collect()
+    assert len(cut) == len(ODD)
+    assert {(r.doc_id, r.n_bytes, r.n_removed) for r in cut} == {
+        (None, 180, 0), (1, 180, 180), (2, 40000, 0), (3, 40000, 40000), (4, 0, 0), (5, 0, 0), (6, 3, 0), (7, 120, 0)}
+    scored = lm_scoring.lm_scores(frame(spark, ODD), block_bytes=5000).collect()
+    assert len(scored) == len(ODD) and all(math.isfinite(r.score) for r in scored)
+    assert {r.n_tokens for r in scored if r.doc_id in (4, 5, 6)} == {1}

@@ -147,3 +147,11 @@ def test_best_fit_plan_is_best_fit_decreasing(seed):
 
 def test_packing_of_nothing(spark):
     assert packing.pack(frame(spark, [(1, "x")]).where("doc_id < 0")).count() == 0
+
+
+def test_null_and_repeated_ids(spark):
+    rows = [(None, "one two"), (None, None), (3, "one two"), (3, "one two")]
+    got = packing.pack(frame(spark, rows)).collect()
+    assert sorted((r.doc_id is None, r.doc_id or 0, r.length) for r in got) == [(False, 3, 3), (False, 3, 3), (True, 0, 1), (True, 0, 3)]
+    kept = token_store.token_store(frame(spark, rows)).orderBy("start").collect()
+    assert [r.doc_id for r in kept] == [None, None, 3, 3] and sum(r.n_tokens for r in kept) == 10 and kept[-1].start == 7
