@@ -1,7 +1,7 @@
 """TIFF and BigTIFF, both byte orders: strips and tiles, chunky and planar, integer and float samples.
 
-Compression: none, LZW, Deflate, PackBits. Photometrics: grey both ways, RGB, palette,
-CMYK, YCbCr without subsampling, CIELAB. A page is one IFD of the main chain, or a
+Compression: none, LZW, Deflate, PackBits, JPEG of both styles. Photometrics: grey both
+ways, RGB, palette, CMYK, YCbCr with subsampling (2x2 unless said), CIELAB. A page is one IFD of the main chain, or a
 SubIFD, which come after all of that chain.
 """
 
@@ -13,16 +13,16 @@ from dataclasses import dataclass
 
 import numpy as np
 
-from pixelloom.sources.codecs import Image, image, need, scaled
+from pixelloom.sources.codecs import Image, image, jpeg, need, scaled
 
 #: Sizes of the field types 1..18, fixed values (0 for unused numbers).
 SIZES = (0, 1, 1, 2, 4, 8, 1, 1, 2, 4, 8, 4, 8, 4, 0, 0, 8, 8, 8)
 INTEGERS = {1: "B", 3: "H", 4: "I", 6: "b", 8: "h", 9: "i", 13: "I", 16: "Q", 17: "q", 18: "Q"}
 MOST_IFDS = 10000
-NONE, LZW, DEFLATE, PACKBITS, OLD_DEFLATE = 1, 5, 8, 32773, 32946
+NONE, LZW, OLD_JPEG, JPEG, DEFLATE, PACKBITS, OLD_DEFLATE = 1, 5, 6, 7, 8, 32773, 32946
 WIDTH, HEIGHT, BITS, COMPRESSION, PHOTOMETRIC, FILL, STRIPS, ORIENTATION, SAMPLES = 256, 257, 258, 259, 262, 266, 273, 274, 277
 STRIP_ROWS, STRIP_SIZES, PLANAR, PREDICTOR, COLORS, TILE_W, TILE_H, TILES, TILE_SIZES = 278, 279, 284, 317, 320, 322, 323, 324, 325
-SUBIFDS, EXTRA, FORMAT = 330, 338, 339
+SUBIFDS, EXTRA, FORMAT, JPEG_TABLES, JPEG_START, JPEG_SIZE, SUBSAMPLING = 330, 338, 339, 347, 513, 514, 530
 
 
 @dataclass
@@ -206,6 +206,10 @@ def decode(data: bytes, page: int = 0) -> Image:
     width, height = one(WIDTH), one(HEIGHT)
     need(width and height, "invalid dimensions")
     samples, compression, photometric = one(SAMPLES, 1), one(COMPRESSION, 1), one(PHOTOMETRIC)
+    if compression == OLD_JPEG and JPEG_START in tags:
+        start = one(JPEG_START)
+        need(start < len(data), "truncated TIFF data")
+        return image(oriented(jpeg.decode(data[start : start + one(JPEG_SIZE, len(data) - start)]).rgba, one(ORIENTATION, 1)))
     all_bits = tags.get(BITS, (0, 0, (1,)))[2]
     need(len(set(all_bits)) == 1, "unsupported TIFF mixed bit depths")
     bits, fill, planar = all_bits[0], one(FILL, 1), one(PLANAR, 1) == 2 and samples > 1
@@ -217,6 +221,26 @@ def decode(data: bytes, page: int = 0) -> Image:
     across, down = -(-width // bw), -(-height // bh)
     planes, per = (samples, 1) if planar else (1, samples)
     need(len(offsets) >= across * down * planes and len(sizes) >= across * down * planes, "missing TIFF strips")
+    grid = Grid(width, height, bw, bh, across, tiled)
+    if compression in (JPEG, OLD_JPEG):
+        need(not planar, "unsupported TIFF planar JPEG")
+        tables = bytes(b for v in tags.get(JPEG_TABLES, (0, 0, ()))[2] for b in (v if isinstance(v, bytes) else [v]))
+        rgba = np.zeros((height, width, 4), np.uint8)
+        for k in range(across * down):
+            stream = data[offsets[k] : offsets[k] + sizes[k]]
+            part = jpeg.decode(tables[:-2] + stream[2:] if tables else stream).rgba
+            y, x, h, w = grid.place(k)
+            rgba[y : y + h, x : x + w] = part[:h, :w]
+        return image(oriented(rgba, one(ORIENTATION, 1)))
+    sub = tags.get(SUBSAMPLING, (0, 0, (2, 2)))[2]
+    if photometric == 6 and tuple(sub) != (1, 1) and not planar:
+        need(len(sub) == 2 and samples == 3 and bits == 8 and all(v in (1, 2, 4) for v in sub), "unsupported TIFF subsampling")
+        out = np.zeros((height, width, 3), np.uint32)
+        for k in range(across * down):
+            y, x, h, w = grid.place(k)
+            part = subsampled(data[offsets[k] : offsets[k] + sizes[k]], compression, bw, bh if tiled else h, *sub)
+            out[y : y + h, x : x + w] = part[:h, :w]
+        return image(oriented(colored(out, tags, photometric, bits, real), one(ORIENTATION, 1)))
     out = np.zeros((height, width, samples), np.float64 if real else np.uint32)
     for p in range(planes):
         for j in range(down):
@@ -233,6 +257,33 @@ def decode(data: bytes, page: int = 0) -> Image:
     return image(oriented(colored(out, tags, photometric, bits, real), one(ORIENTATION, 1)))
 
 
+@dataclass
+class Grid:
+    """Where blocks lie in the image."""
+
+    width: int
+    height: int
+    bw: int
+    bh: int
+    across: int
+    tiled: bool
+
+    def place(self, k: int) -> tuple[int, int, int, int]:
+        """(y, x, height, width) of the part of block k that is inside."""
+        j, i = divmod(k, self.across)
+        return j * self.bh, i * self.bw, min(self.bh, self.height - j * self.bh), min(self.bw, self.width - i * self.bw)
+
+
+def subsampled(raw: bytes, compression: int, width: int, rows: int, h: int, v: int) -> np.ndarray:
+    """Units of h x v luma samples, one blue and one red difference, to full samples."""
+    wide, tall = -(-width // h), -(-rows // v)
+    raw = block(raw, compression, wide * tall * (h * v + 2))
+    units = np.frombuffer(raw, np.uint8).reshape(tall, wide, h * v + 2)
+    luma = units[..., : h * v].reshape(tall, wide, v, h).transpose(0, 2, 1, 3).reshape(tall * v, wide * h)
+    chroma = [np.repeat(np.repeat(units[..., h * v + k], v, 0), h, 1) for k in range(2)]
+    return np.dstack([luma, *chroma])[:rows, :width]
+
+
 def colored(v: np.ndarray, tags: dict, photometric: int, bits: int, real: bool) -> np.ndarray:
     """Samples to straight RGBA."""
     base = {0: 1, 1: 1, 2: 3, 3: 1, 5: 4, 6: 3, 8: 3}.get(photometric)

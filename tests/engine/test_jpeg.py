@@ -202,3 +202,43 @@ def test_tables():
 def test_errors(data, text):
     with pytest.raises(ImageError, match=text):
         jpeg.decode(data)
+
+
+def ifd(entries, blobs):
+    """A little-endian TIFF of one IFD; a blob's tag gets its offset."""
+    out = bytearray(b"II*\0\0\0\0\0")
+    at = {}
+    for name, raw in blobs.items():
+        at[name] = len(out)
+        out += raw + b"\0" * (len(raw) % 2)
+    out[4:8] = struct.pack("<I", len(out))
+    out += struct.pack("<H", len(entries))
+    for tag, kind, n, v in sorted(entries):
+        v = at[v] if isinstance(v, str) else v
+        out += struct.pack("<HHI", tag, kind, n) + (struct.pack("<HH", *v) if isinstance(v, tuple) else struct.pack("<I", v))
+    return bytes(out) + b"\0\0\0\0"
+
+
+def test_jpeg_in_tiff():
+    p = smooth(16, 16, 1)
+    whole = baseline([p], [(1, 1)], 16, 16)
+    want = jpeg.decode(whole).rgba
+    cut = whole.index(b"\xff\xc0")
+    tables, stream = whole[:cut] + b"\xff\xd9", b"\xff\xd8" + whole[cut:]
+    from pixelloom.sources.codecs import tiff
+
+    common = [(256, 4, 1, 16), (257, 4, 1, 16), (258, 3, 1, 8), (262, 3, 1, 1), (277, 3, 1, 1)]
+    new = ifd([*common, (259, 3, 1, 7), (273, 4, 1, "s"), (279, 4, 1, len(stream)), (347, 7, len(tables), "t")], {"t": tables, "s": stream})
+    assert np.array_equal(tiff.decode(new).rgba, want)
+    old = ifd([*common, (259, 3, 1, 6), (513, 4, 1, "s"), (514, 4, 1, len(whole)), (274, 3, 1, 3)], {"s": whole})
+    assert np.array_equal(tiff.decode(old).rgba, want[::-1, ::-1])
+
+
+@pytest.mark.parametrize("said", [True, False])
+def test_subsampled_tiff(said):
+    from pixelloom.sources.codecs import tiff
+
+    units = bytes([10, 20, 30, 40, 128, 128, 50, 60, 70, 80, 128, 255])
+    entries = [(256, 4, 1, 3), (257, 4, 1, 2), (258, 3, 1, 8), (259, 3, 1, 1), (262, 3, 1, 6), (273, 4, 1, "s"), (277, 3, 1, 3), (278, 4, 1, 2), (279, 4, 1, 12)]
+    got = tiff.decode(ifd(entries + ([(530, 3, 2, (2, 2))] if said else []), {"s": units})).rgba
+    assert got[..., :3][:, :2, 0].tolist() == [[10, 20], [30, 40]] and got[0, 2].tolist() == [228, 0, 50, 255]
