@@ -1,6 +1,6 @@
 """TIFF and BigTIFF, both byte orders: strips and tiles, chunky and planar, integer and float samples.
 
-Compression: none, LZW, Deflate, PackBits, JPEG of both styles. Photometrics: grey both
+Compression: none, LZW, Deflate, PackBits, CCITT, JPEG of both styles. Photometrics: grey both
 ways, RGB, palette, CMYK, YCbCr with subsampling (2x2 unless said), CIELAB. A page is one IFD of the main chain, or a
 SubIFD, which come after all of that chain.
 """
@@ -13,7 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 
-from pixelloom.sources.codecs import Image, image, jpeg, need, scaled
+from pixelloom.sources.codecs import Image, ccitt, image, jpeg, need, scaled
 
 #: Sizes of the field types 1..18, fixed values (0 for unused numbers).
 SIZES = (0, 1, 1, 2, 4, 8, 1, 1, 2, 4, 8, 4, 8, 4, 0, 0, 8, 8, 8)
@@ -23,6 +23,7 @@ NONE, LZW, OLD_JPEG, JPEG, DEFLATE, PACKBITS, OLD_DEFLATE = 1, 5, 6, 7, 8, 32773
 WIDTH, HEIGHT, BITS, COMPRESSION, PHOTOMETRIC, FILL, STRIPS, ORIENTATION, SAMPLES = 256, 257, 258, 259, 262, 266, 273, 274, 277
 STRIP_ROWS, STRIP_SIZES, PLANAR, PREDICTOR, COLORS, TILE_W, TILE_H, TILES, TILE_SIZES = 278, 279, 284, 317, 320, 322, 323, 324, 325
 SUBIFDS, EXTRA, FORMAT, JPEG_TABLES, JPEG_START, JPEG_SIZE, SUBSAMPLING = 330, 338, 339, 347, 513, 514, 530
+T4_OPTIONS = 292
 
 
 @dataclass
@@ -248,7 +249,12 @@ def decode(data: bytes, page: int = 0) -> Image:
             for i in range(across):
                 k = (p * down + j) * across + i
                 need(offsets[k] + sizes[k] <= len(data), "truncated TIFF data")
-                raw = block(data[offsets[k] : offsets[k] + sizes[k]], compression, rows * ((bw * per * bits + 7) // 8))
+                raw = data[offsets[k] : offsets[k] + sizes[k]]
+                if compression in (ccitt.ROWS, ccitt.GROUP3, ccitt.GROUP4):
+                    need(per == 1 and bits == 1, "unsupported TIFF bit depth")
+                    raw, fill = ccitt.decode(raw, bw, rows, compression, one(T4_OPTIONS, 0), one(FILL, 1)), 1
+                else:
+                    raw = block(raw, compression, rows * ((bw * per * bits + 7) // 8))
                 if one(PREDICTOR, 1) == 2:
                     raw = predicted(raw, rows, per, bits, f.order)
                 part = samples_of(raw, rows, bw, per, bits, f.order, fill, real)
