@@ -1,4 +1,4 @@
-"""SVG: shapes, paths, groups, use, CSS, gradients, clips, masks of opacity, SMIL values at one time.
+"""SVG: shapes, paths, groups, use, CSS, gradients, patterns, clips, masks, animation at one time.
 
 Documents become a tree, styles are resolved by cascade, shapes flatten to polylines,
 and a polyline is filled or stroked on a supersampled premultiplied canvas that is
@@ -27,7 +27,7 @@ NUMBERS = re.compile(r"[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?")
 ENTITIES = {"lt": "<", "gt": ">", "amp": "&", "quot": '"', "apos": "'"}
 INHERITED = {"fill", "fill-opacity", "fill-rule", "stroke", "stroke-width", "stroke-opacity", "stroke-linecap", "stroke-linejoin", "stroke-miterlimit",
              "stroke-dasharray", "stroke-dashoffset", "font-size", "text-anchor", "visibility", "color", "clip-rule"}
-PROPERTIES = INHERITED | {"opacity", "display", "clip-path", "stop-color", "stop-opacity", "transform"}
+PROPERTIES = INHERITED | {"opacity", "display", "clip-path", "mask", "mask-type", "stop-color", "stop-opacity", "transform"}
 DEPTH = 64
 IDENTITY = (1.0, 0.0, 0.0, 1.0, 0.0, 0.0)
 
@@ -247,6 +247,64 @@ def resolve(n: Node, inherited: dict, rules: list[Rule]) -> None:
         resolve(c, n.style, rules)
 
 
+def keyframes_of(root: Node) -> dict[str, list[tuple[float, dict]]]:
+    """Steps (offset, declarations) of each @keyframes, by name, in order of offset."""
+    css = re.sub(r"/\*.*?\*/", "", "\n".join(n.text for n in root.walk() if n.tag == "style"), flags=re.S)
+    out = {}
+    for name, body in re.findall(r"@(?:-webkit-)?keyframes\s+([\w-]+)\s*\{((?:[^{}]|\{[^}]*\})*)\}", css):
+        steps = []
+        for places, values in re.findall(r"([^{}]+)\{([^}]*)\}", body):
+            for place in places.split(","):
+                at = {"from": 0.0, "to": 1.0}.get(place.strip().lower())
+                steps.append((at if at is not None else fraction(place, 0.0), declarations(values)))
+        out[name] = sorted(steps, key=lambda s: s[0])
+    return out
+
+
+def css_animated(n: Node, frames: dict, t: float) -> None:
+    """Put what an ``animation`` gives at time ``t`` into the node's style."""
+    words = re.sub(r"\([^)]*\)", "", n.style.get("animation", "")).split()
+    steps = next((frames[w] for w in words if w in frames), None)
+    clocks = [c for w in words if re.search(r"\d\s*m?s$", w.lower()) and (c := clock(w)) is not None]
+    if not steps or not clocks or clocks[0] <= 0:
+        return
+    dur, delay = clocks[0], clocks[1] if len(clocks) > 1 else 0.0
+    times = math.inf if "infinite" in words else next((float(w) for w in words if re.fullmatch(r"\d+\.?\d*|\.\d+", w) and float(w) > 0), 1.0)
+    fill, at = {"forwards", "backwards", "both"} & set(words), t - delay
+    if at < 0:
+        if not fill & {"backwards", "both"}:
+            return
+        cycle, phase = 0, 0.0
+    elif at < dur * times:
+        cycle, phase = int(at // dur), at % dur / dur
+    else:
+        if not fill & {"forwards", "both"}:
+            return
+        cycle = max(0, math.ceil(times) - 1)
+        phase = times - cycle
+    back = "reverse" in words or ("alternate" in words and cycle % 2 == 1) or ("alternate-reverse" in words and cycle % 2 == 0)
+    u = 1 - phase if back else phase
+    for name in {k for _, d in steps for k in d}:
+        known = [(o, d[name]) for o, d in steps if name in d]
+        k = next((j for j in range(len(known) - 1) if known[j][0] <= u <= known[j + 1][0]), None)
+        if k is None:
+            n.style[name] = known[0][1] if u <= known[0][0] else known[-1][1]
+            continue
+        (o0, low), (o1, high) = known[k], known[k + 1]
+        n.style[name] = halfway(low, high, (u - o0) / (o1 - o0) if o1 > o0 else 0.0)
+
+
+def halfway(low: str, high: str, u: float) -> str:
+    """Between two colours, or two texts that differ in their numbers."""
+    if color(low) and color(high):
+        return "#" + "".join(f"{int(p + (q - p) * u + 0.5):02x}" for p, q in zip(color(low), color(high)))
+    a, b = numbers(low), numbers(high)
+    if len(a) != len(b) or NUMBERS.sub("", low) != NUMBERS.sub("", high):
+        return low if u < 0.5 else high
+    values = iter(f"{p + (q - p) * u:.9g}" for p, q in zip(a, b))
+    return NUMBERS.sub(lambda m: next(values), low)
+
+
 def clock(s: str | None, default: float | None = None) -> float | None:
     m = re.fullmatch(rf"\s*{NUMBER}\s*([mM][sS]|s|m|h)?\s*", (s or "").split(";")[0])
     return float(m[1]) * {"ms": 0.001, "m": 60, "h": 3600}.get((m[2] or "s").lower(), 1) if m else default
@@ -521,10 +579,12 @@ class Canvas:
         self.px = np.zeros((height * ss, width * ss, 4), np.int64)
         self.px[:] = (255 * a // 255,) * 3 + (a,)
 
-    def blend(self, mask: np.ndarray, rgba: np.ndarray) -> None:
-        """Straight (h, w, 4) or one straight colour over the masked samples."""
+    def blend(self, mask: np.ndarray, rgba: np.ndarray, cover: np.ndarray | None = None) -> None:
+        """Straight (h, w, 4) or one straight colour over the masked samples, scaled by ``cover`` in 0..1."""
+        if cover is not None:
+            mask = mask & (cover > 0)
         src = np.broadcast_to(np.asarray(rgba, np.int64), (*mask.shape, 4))[mask]
-        a = src[:, 3:]
+        a = src[:, 3:] if cover is None else np.floor(src[:, 3:] * cover[mask][:, None] + 0.5).astype(np.int64)
         self.px[mask] = np.concatenate([src[:, :3] * a // 255, a], 1) + self.px[mask] * (255 - a) // 255
 
     def resolved(self) -> np.ndarray:
@@ -556,7 +616,10 @@ class Renderer:
             area = np.zeros(self.canvas.px.shape[:2], bool)
             for c, cm in shapes:
                 area |= coverage(self.placed(outline(c, *self.size), cm), area.shape, c.style.get("clip-rule") == "evenodd")
-            clip = area if clip is None else clip & area
+            clip = area * (1.0 if clip is None else clip)
+        ref = self.ref(st.get("mask"))
+        if ref is not None and ref.tag == "mask" and depth < DEPTH:
+            clip = self.mask(ref, m, depth) * (1.0 if clip is None else clip)
         if n.tag in ("svg", "g", "a", "switch"):
             if n.tag == "svg" and n.parent is not None:
                 m = multiply(m, self.viewport(n, n.attrs))
@@ -621,11 +684,15 @@ class Renderer:
             self.paint(mask, stroke, st, opacity * fraction(st.get("stroke-opacity")), m, box, clip)
 
     def paint(self, mask: np.ndarray, value: str, st: dict, opacity: float, m: tuple, box: tuple, clip) -> None:
-        if clip is not None:
-            mask = mask & clip
         if not mask.any():
             return
         g = self.ref(value) if "url(" in value else None
+        if g is not None and g.tag == "pattern":
+            full = self.pattern(g, m, box, mask)
+            if full is not None:
+                full[..., 3] = np.floor(full[..., 3] * opacity + 0.5)
+                self.canvas.blend(mask, full, clip)
+            return
         if g is not None and g.tag in ("lineargradient", "radialgradient"):
             rgba = self.gradient(g, m, box, mask)
             if rgba is None:
@@ -633,11 +700,61 @@ class Renderer:
             rgba[..., 3] = np.floor(rgba[..., 3] * opacity + 0.5)
             full = np.zeros((*mask.shape, 4), np.int64)
             full[mask] = rgba
-            self.canvas.blend(mask, full)
+            self.canvas.blend(mask, full, clip)
             return
         c = color(st.get("color", "black") if value == "currentColor" else value)
         if c is not None:
-            self.canvas.blend(mask, (*c[:3], int(c[3] / 255 * opacity * 255 + 0.5)))
+            self.canvas.blend(mask, (*c[:3], int(c[3] / 255 * opacity * 255 + 0.5)), clip)
+
+    def mask(self, n: Node, m: tuple, depth: int) -> np.ndarray:
+        """Luminance times alpha of a mask's content, 0..1."""
+        kept = self.canvas
+        self.canvas = Canvas(kept.px.shape[1], kept.px.shape[0], 1, 0)
+        for c in n.children:
+            self.draw(c, m, 1.0, None, None, depth + 1)
+        px, self.canvas = self.canvas.px, kept
+        if n.style.get("mask-type", n.attrs.get("mask-type")) == "alpha":
+            return px[..., 3] / 255
+        # Premultiplied channels already carry alpha.
+        return (54 * px[..., 0] + 183 * px[..., 1] + 19 * px[..., 2] + 128 >> 8) / 255
+
+    def pattern(self, g: Node, m: tuple, box: tuple, mask: np.ndarray) -> np.ndarray | None:
+        """A tile drawn once at the canvas's scale, its content starting at its corner, repeated by the remainder of places."""
+        chain = self.inheriting(g)
+
+        def get(k: str, default: str) -> str:
+            return next((n.attrs[k] for n in chain if k in n.attrs), default)
+
+        children = next((n.children for n in chain if n.children), [])
+        unit = get("patternUnits", "objectBoundingBox") == "objectBoundingBox"
+        w, h = (box[2] - box[0], box[3] - box[1]) if unit else (1.0, 1.0)
+        base = (1.0, 1.0) if unit else self.size
+        x, y, tw, th = (length(get(k, "0"), b) * f for k, b, f in zip(("x", "y", "width", "height"), base * 2, (w, h, w, h)))
+        if unit:
+            x, y = x + box[0], y + box[1]
+        a, b, c, d, e, f = multiply(m, transform(get("patternTransform", "")))
+        det = a * d - b * c
+        if tw <= 0 or th <= 0 or abs(det) < 1e-12:
+            return None
+        sx, sy = math.hypot(a, b), math.hypot(c, d)
+        pw, ph = max(1, math.ceil(tw * sx - 1e-9)), max(1, math.ceil(th * sy - 1e-9))
+        if pw * ph > 1 << 24:
+            return None
+        view = numbers(get("viewBox", ""))
+        inner = fitted(view, pw, ph, get("preserveAspectRatio", "")) if len(view) == 4 and view[2] > 0 and view[3] > 0 else (pw / tw, 0, 0, ph / th, 0, 0)
+        kept = self.canvas
+        self.canvas = Canvas(pw, ph, 1, 0)
+        for child in children:
+            self.draw(child, inner, 1.0, None, None, 1)
+        tile, self.canvas = self.canvas.px, kept
+        alpha = tile[..., 3:]
+        tile = np.concatenate([np.where(alpha > 0, tile[..., :3] * 255 // np.maximum(alpha, 1), 0), alpha], 2)
+        ys, xs = np.nonzero(mask)
+        px, py = xs + 0.5 - e, ys + 0.5 - f
+        u, v = (d * px - c * py) / det - x, (a * py - b * px) / det - y
+        full = np.zeros((*mask.shape, 4), np.int64)
+        full[mask] = tile[np.minimum(ph - 1, (np.mod(v, th) / th * ph).astype(int)), np.minimum(pw - 1, (np.mod(u, tw) / tw * pw).astype(int))]
+        return full
 
     def inheriting(self, g: Node) -> list[Node]:
         out = [g]
@@ -701,10 +818,9 @@ class Renderer:
         y, x = np.mgrid[: self.canvas.px.shape[0], : self.canvas.px.shape[1]] + 0.5
         u, v = np.floor((d * (x - e) - c * (y - f)) / det).astype(int), np.floor((a * (y - f) - b * (x - e)) / det).astype(int)
         mask = (u >= 0) & (v >= 0) & (u < px.shape[1]) & (v < px.shape[0])
-        mask = mask & clip if clip is not None else mask
         full = px[np.clip(v, 0, px.shape[0] - 1), np.clip(u, 0, px.shape[1] - 1)].astype(np.int64)
         full[..., 3] = np.floor(full[..., 3] * opacity + 0.5)
-        self.canvas.blend(mask, full)
+        self.canvas.blend(mask, full, clip)
 
     def words(self, n: Node, m: tuple, opacity: float, clip) -> None:
         size = length(n.style.get("font-size"), default=16.0)
@@ -720,7 +836,7 @@ class Renderer:
                  for px, py in [(x + k * 0.6 * size + i * 0.6 * size / 8, y + j * size / 8)]]
         if cells:
             mask = coverage(self.placed(cells, m), self.canvas.px.shape[:2], False)
-            self.canvas.blend(mask & clip if clip is not None else mask, (*c[:3], int(c[3] / 255 * opacity * fraction(n.style.get("fill-opacity")) * 255 + 0.5)))
+            self.canvas.blend(mask, (*c[:3], int(c[3] / 255 * opacity * fraction(n.style.get("fill-opacity")) * 255 + 0.5)), clip)
 
 
 def href_image(href: str) -> np.ndarray | None:
@@ -771,6 +887,9 @@ def decode(data: bytes, *, width: int = 0, height: int = 0, scale: float = 1.0,
     for n in root.walk():
         animated(n, max(0.0, time))
     resolve(root, {}, rules_of(root))
+    frames = keyframes_of(root)
+    for n in root.walk() if frames else ():
+        css_animated(n, frames, max(0.0, time))
     w, h = dimensions(root, dpi)
     ow, oh = (width, height) if width and height else (width, h * width / w) if width else (w * height / h, height) if height else (w, h)
     ow, oh = max(1, int(ow * scale + 0.5)), max(1, int(oh * scale + 0.5))

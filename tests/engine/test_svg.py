@@ -124,3 +124,19 @@ def test_rows(spark):
     rows = [("a", bytearray(b'<svg width="4" height="4"><rect width="4" height="4" fill="red"/></svg>'))]
     got = images.decode_images(spark.createDataFrame(rows, "path string, content binary"), supersampling=1).first()
     assert (got.format, got.width, got.error) == ("svg", 4, None) and got.rgba == bytes(RED) * 16
+
+
+def test_masks_and_patterns():
+    defs = '<defs><mask id="m"><rect width="50" height="80" fill="white"/><rect x="50" width="20" height="80" fill="#808080"/></mask><mask id="a" mask-type="alpha"><rect width="50" height="80" opacity="0.5"/></mask><pattern id="p" patternUnits="userSpaceOnUse" width="10" height="10"><rect width="5" height="10" fill="red"/></pattern><pattern id="q" width="0.5" height="1"><rect width="10" height="20" fill="blue"/></pattern></defs>'
+    px = render(defs + '<rect width="100" height="20" fill="red" mask="url(#m)"/><rect y="20" width="100" height="20" fill="blue" mask="url(#a)"/><rect y="40" width="100" height="20" fill="url(#p)"/><rect y="60" width="40" height="20" fill="url(#q)"/>').astype(int)
+    assert at(px, 10, 10) == RED and abs(px[10, 60, 3] - 128) <= 1 and px[10, 80, 3] == 0
+    assert px[30, 10, 3] == 128 and px[30, 60, 3] == 0
+    assert at(px, 2, 50) == RED and px[50, 7, 3] == 0 and at(px, 92, 50) == RED
+    assert at(px, 25, 70) == BLUE and px[70, 15, 3] == 0
+
+
+@pytest.mark.parametrize("t, x, c", [(0, 0, 0), (0.5, 20, 128), (1, 40, 255), (1.5, 20, 128), (2.5, 0, 0)])
+def test_keyframes(t, x, c):
+    css = "<style>@keyframes go{from{transform:translate(0px,0)} to{transform:translate(40px,0)}} @keyframes hue{0%{fill:#000000}100%{fill:#ff0000}} #a{animation: go 1s linear 2 alternate forwards} .b{animation: hue 1000ms 0s alternate 2 both}</style>"
+    px = render(css + '<rect id="a" width="10" height="10" fill="blue"/><rect class="b" y="20" width="10" height="10"/>', time=t)
+    assert at(px, x + 5, 5) == BLUE and abs(int(px[25, 5, 0]) - c) <= 1
