@@ -52,29 +52,38 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        # Pieces are split already: the same model, without the pattern.
+        # Pieces are split already, so they need the same model without the pattern. Some hundred
+        # go in one call, between special tokens, whose characters never make one piece.
         self.unsplit = Tokenizer.from_file(path)
-        self.unsplit.encode_special_tokens = True
         self.unsplit.pre_tokenizer = ByteLevel(add_prefix_space=False, use_regex=False)
+        self.mark = next(t.content for _, t in sorted(self.unsplit.get_added_tokens_decoder().items()) if t.special)
+        self.mark_id = self.unsplit.token_to_id(self.mark)
         self.split = regex.compile(PATTERN).findall
         self.settled = regex.compile(f"[{SETTLED}]*+").fullmatch
         self.latin = re.compile(f"[{LATIN}]*+").fullmatch
         self.split_latin = re.compile(LATIN_PATTERN).findall
         self.pieces: dict[str, bytes] = {}
 
-    def _whole(self, texts: list[str], tokenizer=None) -> list[bytes]:
-        found = (tokenizer or self.tokenizer).encode_batch_fast(texts, add_special_tokens=False)
-        return [array("I", e.ids).tobytes() for e in found]
+    def _whole(self, texts: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _new_pieces(self, pieces: list[str], together: int = 100) -> list[bytes]:
+        out: list[bytes] = []
+        for k in range(0, len(pieces), together):
+            text = self.mark.join(pieces[k : k + together])
+            ids = np.array(self.unsplit.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+            at, raw = np.flatnonzero(ids == self.mark_id), ids.tobytes()
+            starts, ends = (np.r_[0, at + 1] * 4).tolist(), (np.r_[at, len(ids)] * 4).tolist()
+            out += [raw[a:b] for a, b in zip(starts, ends)]
+        return out
 
-    def _by_pieces(self, texts: list[str]) -> list[bytes]:
-        """Ids of settled texts, by cached pieces."""
-        cut = [self.split_latin(t) if self.latin(t) else self.split(t) for t in texts]
+    def _by_pieces(self, cut: list[list[str]]) -> list[bytes]:
+        """Ids of texts that are cut into pieces, by cached pieces."""
         known = self.pieces
         new = list(set(chain.from_iterable(cut)).difference(known))
         full = len(known) + len(new) > CACHED
         passing: dict[str, bytes] = {}
-        for k in range(0, len(new), 20_000):
-            (passing if full else known).update(zip(new[k : k + 20_000], self._whole(new[k : k + 20_000], self.unsplit)))
+        (passing if full else known).update(zip(new, self._new_pieces(new)))
         get = _Both(known, passing).__getitem__ if full else known.__getitem__
         return [b"".join(map(get, p)) for p in cut]
 
@@ -92,13 +101,17 @@ class Encoder:
 
     def _group(self, texts: list[str]) -> list[np.ndarray]:
         end = array("I", [END_ID]).tobytes()
-        ways: tuple[list[int], ...] = ([], [])
+        cut, at, whole = [], [], []
         for k, t in enumerate(texts):
-            ways[0 if self.latin(t) or self.settled(t) else 1].append(k)
+            split = self.split_latin if self.latin(t) else self.split if self.settled(t) else None
+            if split is None:
+                whole.append(k)
+            else:
+                cut.append(split(t))
+                at.append(k)
         out: list[np.ndarray] = [None] * len(texts)
-        for way, run in zip(ways, (self._by_pieces, self._whole)):
-            for k, raw in zip(way, run([texts[k] for k in way])):
-                out[k] = np.frombuffer(raw + end, "<u4")
+        for k, raw in zip(at + whole, self._by_pieces(cut) + self._whole([texts[k] for k in whole])):
+            out[k] = np.frombuffer(raw + end, "<u4")
         return out
 
 
