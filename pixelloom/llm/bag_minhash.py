@@ -33,11 +33,13 @@ from pyspark.sql import functions as F
 
 from pixelloom.llm import textnum as tn
 from pixelloom.llm.common import stage
-from pixelloom.llm.linking import link
+from pixelloom.llm.linking import components, link
 
 BANDS, ROWS = 32, 7
 SIZE, THRESHOLD = 5, 0.8
 KEY_BITS = 44
+#: Texts in a block of a family.
+BLOCK = 128
 NULL_ID = -(1 << 63)
 
 
@@ -196,6 +198,55 @@ def verified(pairs: DataFrame, texts: DataFrame, size: int = SIZE, threshold: fl
     return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
+def links_of_families(left: DataFrame, texts: DataFrame, size: int = SIZE, threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
+    """Links (a, b) between the classes of ``left`` (grp, node, comp) that have any, for groups too large for pairs.
+
+    Groups that share members are a family. A family's nodes are dealt to blocks by a
+    hash, and a job compares two blocks by products of their shingle incidence matrices,
+    exactly, and tells one link for each pair of classes. So no pair is a row, and a
+    job's size is fixed; a node goes to as many jobs as its family has blocks.
+    """
+    leads = left.groupBy("grp").agg(F.min("node").alias("lead"))
+    edges = left.join(leads, "grp").select(F.col("node").alias("a"), F.col("lead").alias("b")).distinct()
+    families = stage(components(edges), "families").withColumnRenamed("comp", "fam")
+    nodes = left.select("node", "comp").distinct().join(families, "node")
+    blocks = nodes.groupBy("fam").agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).cast("int").alias("blocks"))
+    placed = nodes.join(blocks, "fam").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).join(texts, "node")
+    jobs = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
+        "fam", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "comp", "block", "text"
+    )
+
+    def run(table: pa.Table) -> pa.Table:
+        bags = [b for batch in table.combine_chunks().to_batches() for part in tn.parts_of(batch, 6) for b in full_bags(part.column(6), size)]
+        node, comp, own = (table.column(c).to_numpy() for c in ("node", "comp", "block"))
+        n, sizes = len(bags), np.array([int(c.sum()) for _, c in bags])
+        # A shingle that a text holds c times is c elements of a set: (shingle, 0) to (shingle, c - 1).
+        rows = np.repeat(np.arange(n), sizes)
+        keys = np.concatenate([np.repeat(k, c) for k, c in bags]) if n else np.zeros(0, np.uint64)
+        turn = np.concatenate([np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c) for _, c in bags]) if n else keys
+        _, column, count = np.unique(tn.mix(keys * np.uint64(3) + turn.astype(np.uint64)), return_inverse=True, return_counts=True)
+        shared = count[column] > 1
+        rows, column = rows[shared], np.unique(column[shared], return_inverse=True)[1]
+        inner = np.zeros((n, n), np.float32)
+        order = np.argsort(column, kind="stable")
+        rows, column = rows[order], column[order]
+        for start in range(0, int(column.max(initial=-1)) + 1, 4096):
+            a, b = np.searchsorted(column, [start, start + 4096])
+            m = np.zeros((n, 4096), np.float32)
+            m[rows[a:b], column[a:b] - start] = 1
+            inner += m @ m.T
+        alike = inner >= threshold * (sizes[:, None] + sizes[None, :] - inner) - 1e-6
+        alike &= comp[:, None] < comp[None, :]
+        if int(table.column("i")[0].as_py()) != int(table.column("j")[0].as_py()):
+            alike &= own[:, None] != own[None, :]
+        x, y = np.nonzero(alike)
+        _, first = np.unique(np.stack([comp[x], comp[y]]), axis=1, return_index=True) if len(x) else (None, np.zeros(0, np.int64))
+        x, y = node[x[first]], node[y[first]]
+        return pa.table({"a": pa.array(np.minimum(x, y), pa.int64()), "b": pa.array(np.maximum(x, y), pa.int64())})
+
+    return jobs.groupBy("fam", "i", "j").applyInArrow(run, "a long, b long")
+
+
 def near_dedup(
     df: DataFrame, *, key: str = "doc_id", text: str = "text", size: int = SIZE, threshold: float = THRESHOLD
 ) -> DataFrame:
@@ -213,7 +264,8 @@ def near_dedup(
     def verify(pairs: DataFrame) -> DataFrame:
         return verified(stage(promising(pairs, registers, threshold), "promising"), texts, size, threshold)
 
-    labels = link(members, verify)
+    # One round of draws: blocks settle what is left of large groups, so more draws would only be more rows.
+    labels = link(members, verify, settle=lambda left: links_of_families(left, texts, size, threshold), delegates=(1, 16))
     classes = nodes.select("digest", "node", "n", F.col("bands").isNull().alias("wordless")).join(labels, "node", "left")
     classes = classes.withColumn("comp", F.coalesce("comp", "node"))
     sizes = classes.groupBy("comp").agg(F.sum("n").alias("class_size"))

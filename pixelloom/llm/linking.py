@@ -24,6 +24,8 @@ from pixelloom.llm.common import stage
 DELEGATES = (1, 16, 64)
 #: Edges that one task contracts, 16 bytes each.
 EDGES_PER_TASK = 1_000_000
+#: Members of a group from which on ``settle`` is asked.
+LARGE = 64
 #: Rounds go on while the pairs left outnumber the members left by this factor.
 PAIRS_PER_MEMBER = 4
 
@@ -96,12 +98,16 @@ def link(
     verify: Callable[[DataFrame], DataFrame],
     sketches: DataFrame | None = None,
     close: Callable[[Column, Column], Column] | None = None,
+    settle: Callable[[DataFrame], DataFrame] | None = None,
+    delegates: tuple[int, ...] = DELEGATES,
 ) -> DataFrame:
     """Classes of ``members`` (grp, node): (node, comp) of the nodes that have a verified link.
 
     ``verify`` takes distinct pairs (a, b), a < b, and returns those that are alike.
     ``close`` may tell by two sketches, of ``sketches`` (node, sketch), that a pair can't
-    be; it is part of the join condition, so such pairs are never rows.
+    be; it is part of the join condition, so such pairs are never rows. ``settle`` takes
+    what is left of groups of more than ``LARGE`` members, (grp, node, comp), and gives
+    links that join all their classes that have any; other groups are compared pair by pair.
     """
     if sketches is None:
         sketches, close = members.select("node", F.lit(0).alias("sketch")).distinct(), lambda x, y: F.lit(True)
@@ -109,8 +115,8 @@ def link(
     kept = members.join(sizes, "grp")
     popular = kept.groupBy("node").agg(F.sum("n").alias("pop"))
     left = stage(kept.select("grp", "node").join(popular, "node"), "members")
-    labels, links, tested = None, None, None
-    for turn in range(len(DELEGATES) + 1):
+    labels, links, tested, settled = None, None, None, None
+    for turn in range(len(delegates) + 1):
         if labels is None:
             now = left.withColumn("comp", F.col("node"))
         else:
@@ -131,7 +137,13 @@ def link(
         total = open_total(now)
         if not total[0]:
             break
-        last = turn == len(DELEGATES) or total[1] <= PAIRS_PER_MEMBER * total[0]
+        last = turn == len(delegates) or total[1] <= PAIRS_PER_MEMBER * total[0]
+        if last and settle is not None:
+            big = now.where(F.col("n") > LARGE).select("grp", "node", "comp")
+            if not big.isEmpty():
+                settled = stage(settle(big), "settled")
+                links = settled if links is None else links.unionByName(settled)
+            now = now.where(F.col("n") <= LARGE)
         if last:
             rest = now.select("grp", F.col("node").alias("other"), F.col("comp").alias("other_comp"), F.col("sketch").alias("seen"))
             pairs = now.join(rest, "grp").where(F.col("comp") < F.col("other_comp"))
@@ -141,9 +153,9 @@ def link(
             pairs = now.join(leaders, "grp").where("node <> other")
         else:
             drawn = Window.partitionBy("grp").orderBy(F.xxhash64("node", F.lit(turn)))
-            delegates = now.where("comp = main").withColumn("place", F.row_number().over(drawn)).where(F.col("place") <= DELEGATES[turn])
+            some = now.where("comp = main").withColumn("place", F.row_number().over(drawn)).where(F.col("place") <= delegates[turn])
             outside = now.where("comp <> main").select("grp", "node", "sketch")
-            pairs = outside.join(delegates.select("grp", F.col("node").alias("other"), F.col("sketch").alias("seen")), "grp")
+            pairs = outside.join(some.select("grp", F.col("node").alias("other"), F.col("sketch").alias("seen")), "grp")
         pairs = pairs.where(close(F.col("sketch"), F.col("seen"))).select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
@@ -151,7 +163,7 @@ def link(
         found = stage(verify(pairs), "links")
         links = found if links is None else links.unionByName(found)
         tested = pairs if tested is None else tested.unionByName(pairs)
-        if labels is None or not found.isEmpty():
+        if labels is None or settled is not None or not found.isEmpty():
             labels = stage(components(links), "labels")
         left = now.select("grp", "node", "pop")
         if last:

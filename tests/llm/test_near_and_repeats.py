@@ -179,3 +179,27 @@ def test_null_ids_repeated_rows_and_long_texts(spark):
     scored = lm_scoring.lm_scores(frame(spark, ODD), block_bytes=5000).collect()
     assert len(scored) == len(ODD) and all(math.isfinite(r.score) for r in scored)
     assert {r.n_tokens for r in scored if r.doc_id in (4, 5, 6)} == {1}
+
+
+def test_families_in_blocks(spark, monkeypatch):
+    """Everything left over is settled in blocks of few texts; classes stay those of all pairs."""
+    from pixelloom.llm import linking
+
+    monkeypatch.setattr(linking, "LARGE", 1)
+    rnd = random.Random(11)
+    base = [f"w{rnd.randrange(300)}" for _ in range(120)]
+    rows = planted()
+    for i in range(80):  # copies near the threshold: many share bands, some are alike
+        w = list(base)
+        for _ in range(rnd.randrange(1, 6)):
+            w[rnd.randrange(120)] = f"z{rnd.randrange(10**6)}"
+        rows.append((1000 + i, " ".join(w)))
+    rows += [(2000 + i, " ".join(["again"] * (30 + 6 * i))) for i in range(8)]
+    left = spark.createDataFrame([(7, i, i) for i, t in rows if t], "grp long, node long, comp long")
+    texts = spark.createDataFrame(rows, "node long, text string")
+    links = [(r.a, r.b) for r in bag_minhash.links_of_families(left, texts, block=9).collect()]
+    bags = {i: brute.bag(t) for i, t in rows}
+    want = {(a, b) for a in bags for b in bags if a < b and bags[a] and bags[b] and brute.similarity(bags[a], bags[b]) >= 0.8}
+    assert set(links) == want and len(links) == len(want)
+    got = {r.doc_id: r.class_id for r in bag_minhash.near_dedup(frame(spark, rows)).collect()}
+    assert got == brute.near_classes(rows)
