@@ -36,6 +36,8 @@ from pixelloom.llm.linking import link
 
 MOST_EDITS = 2
 PER_EDIT = 10
+#: Lines keep more arrays a byte than other operators, so blocks are smaller.
+BLOCK_BYTES = 2 << 20
 
 
 def allowed(length):
@@ -270,7 +272,7 @@ def occurrences(rows: DataFrame) -> DataFrame:
     return rows.select("doc_id", "tag", "text").mapInArrow(run, "doc_id long, tag long, line int, node long")
 
 
-def line_classes(df: DataFrame, key: str, text: str, block_bytes: int = bl.BLOCK_BYTES) -> DataFrame:
+def line_classes(df: DataFrame, key: str, text: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(node, comp) of the lines that have an alike line."""
     blocks = bl.build(df, key, text, block_bytes)
     asked = bl.ask(blocks, keys_of, bl.range_bits(blocks), "<u8")
@@ -282,7 +284,7 @@ def line_classes(df: DataFrame, key: str, text: str, block_bytes: int = bl.BLOCK
     return link(members, lambda pairs: verified(pairs, texts), sketches, may_be_alike)
 
 
-def dropped_lines(df: DataFrame, key: str, text: str, block_bytes: int = bl.BLOCK_BYTES) -> DataFrame:
+def dropped_lines(df: DataFrame, key: str, text: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(doc_id, tag, n_lines, drops): per document with lines, how many and which go; tag is the text's hash."""
     bl.bound_batches(df.sparkSession)
     body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
@@ -309,7 +311,7 @@ def without_lines(text: pd.Series, drops: pd.Series) -> pd.Series:
     return pd.Series([one(t, g) for t, g in zip(text, drops)], dtype="object")
 
 
-def line_dedup(df: DataFrame, *, key: str = "doc_id", text: str = "text", block_bytes: int = bl.BLOCK_BYTES) -> DataFrame:
+def line_dedup(df: DataFrame, *, key: str = "doc_id", text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``df`` with repeated lines taken out of the text, and columns n_lines and n_dropped."""
     drops = stage(dropped_lines(df, key, text, block_bytes), "drops")
     drops = drops.select(F.col("doc_id").alias("__id"), F.col("tag").alias("__tag"), "n_lines", "drops")

@@ -30,14 +30,19 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def trim() -> None:
+    """Return freed memory to the system."""
+    if _LIBC is not None:
+        _LIBC.malloc_trim(0)
+
+
 def free_encoders() -> None:
     """Give back memory before a batch. Workers are reused: a tokenizer's cache that an earlier stage
     left, and freed arrays that the C library keeps, would count against this one."""
     tokens = sys.modules.get("pixelloom.llm.tokens")
     if tokens is not None:
         tokens.release()
-    if _LIBC is not None:
-        _LIBC.malloc_trim(0)
+    trim()
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -16,6 +16,8 @@ from itertools import chain
 
 import numpy as np
 
+from pixelloom.llm.textnum import trim
+
 END_ID = 2
 #: Split pattern of the byte-level BPE files, a fixed value.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -129,6 +131,7 @@ def text_slices(batch, rows: int = 500):
     for k in range(0, batch.num_rows, rows):
         part = batch.slice(k, rows)
         yield part.column(0), part.column(1).to_pylist()
+    trim()  # a worker that waits for its next task holds no freed memory
 
 
 def release() -> None:
