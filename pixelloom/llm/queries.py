@@ -51,7 +51,8 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeats.repeated_substrings(docs_of(spark, sf_dir))
+    cut = repeats.repeated_substrings(docs_of(spark, sf_dir))
+    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
 def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -29,8 +29,6 @@ don't count; an empty table gives none.
 
 from __future__ import annotations
 
-from hashlib import sha256
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -298,11 +296,15 @@ def settle(contexts: DataFrame) -> DataFrame:
     return contexts.groupBy("range").applyInArrow(run, "block long, range int, answer binary")
 
 
-RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+#: ``kept`` are the bytes that stay (a cut may split a character, so they aren't a string), ``removed`` the
+#: byte ranges that go, ascending, as [start, end).
+RESULT = "doc_id long, n_bytes long, kept binary, removed array<struct<start: long, end: long>>"
 
 
 def cut(blocks: DataFrame) -> DataFrame:
-    """Blocks with both answers to result rows and, as ``kept_text``, what is left."""
+    """Blocks with both answers to rows of ``RESULT``."""
+    span = pa.struct([("start", pa.int64()), ("end", pa.int64())])
+    kinds = [pa.int64(), pa.int64(), pa.binary(), pa.list_(span)]
 
     def run(batches):
         for batch in batches:
@@ -324,29 +326,43 @@ def cut(blocks: DataFrame) -> DataFrame:
                     np.add.at(gone, s, 1)
                     np.add.at(gone, s + LENGTH, -1)
                 gone = np.cumsum(gone[:-1], dtype=np.int32) > 0
-                opens = gone.copy()
-                inner = offsets[1:-1][offsets[1:-1] < len(data)]
-                border = np.zeros(len(data), bool)
-                border[inner] = True
-                if len(data):
-                    opens[1:] &= ~gone[:-1] | border[1:]
-                rows = []
-                for i, a, b in zip(ids.tolist(), offsets[:-1].tolist(), offsets[1:].tolist()):
-                    part, off = data[a:b], gone[a:b]
-                    n_off = int(np.count_nonzero(off))
-                    left = part[~off] if n_off else part
-                    rows.append((None if i == -(1 << 63) else i, b - a, n_off, int(np.count_nonzero(opens[a:b])), sha256(left).hexdigest()))
-                if rows:
-                    kinds = [pa.int64()] * 4 + [pa.string()]
+                # A span ends where the next byte stays or is another document's.
+                opens, shuts = gone.copy(), gone.copy()
+                border = np.zeros(len(data) + 1, bool)
+                border[offsets] = True
+                opens[1:] &= ~gone[:-1] | border[1:-1]
+                shuts[:-1] &= ~gone[1:] | border[1:-1]
+                starts, ends = np.flatnonzero(opens), np.flatnonzero(shuts) + 1
+                first = np.searchsorted(starts, offsets)
+                base = np.repeat(offsets[:-1], np.diff(first))
+                spans = pa.StructArray.from_arrays([pa.array(starts - base, pa.int64()), pa.array(ends - base, pa.int64())], fields=list(span))
+                stays = ~gone
+                upto = np.r_[0, np.cumsum(stays)][offsets]
+                for a, b in bl.slices(offsets):
+                    lists = pa.array(first[a : b + 1] - first[a], pa.int32())
+                    left = data[offsets[a] : offsets[b]][stays[offsets[a] : offsets[b]]].tobytes()
+                    at = (upto[a : b + 1] - upto[a]).tolist()
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(x, t) for x, t in zip(zip(*rows), kinds)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
+                        [
+                            pa.array([None if i == -(1 << 63) else i for i in ids[a:b].tolist()], kinds[0]),
+                            pa.array(np.diff(offsets[a : b + 1]), kinds[1]),
+                            pa.array([left[x:y] for x, y in zip(at, at[1:])], kinds[2]),
+                            pa.ListArray.from_arrays(lists, spans.slice(first[a], first[b] - first[a])),
+                        ],
+                        ["doc_id", "n_bytes", "kept", "removed"],
                     )
 
     return blocks.mapInArrow(run, RESULT)
 
 
+def digested(done: DataFrame) -> DataFrame:
+    """``done`` with the figures of its kept bytes and removed ranges."""
+    removed = F.aggregate("removed", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return done.select("*", removed.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def repeated_substrings(df: DataFrame, *, key: str = "doc_id", text: str = "text", block_bytes: int = 2 << 20) -> DataFrame:
-    """One row per row of ``df``: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
+    """One row per row of ``df``: doc_id, n_bytes, kept, removed (``RESULT``), and of these n_removed, n_spans, kept_sha256."""
     rows = df.select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
     digests = stage(rows.select("doc_id", F.unhex(F.md5("text")).alias("digest"), F.octet_length("text").alias("size")), "digests")
     groups = digests.where(F.col("size") >= LENGTH).groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
@@ -360,9 +376,8 @@ def repeated_substrings(df: DataFrame, *, key: str = "doc_id", text: str = "text
     gone = copies.select(
         F.col("copy").alias("doc_id"),
         F.col("size").cast("long").alias("n_bytes"),
-        F.col("size").cast("long").alias("n_removed"),
-        F.lit(1).cast("long").alias("n_spans"),
-        F.lit(sha256(b"").hexdigest()).alias("kept_sha256"),
+        F.unhex(F.lit("")).alias("kept"),
+        F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("size").cast("long").alias("end"))).alias("removed"),
     )
     blocks = bl.build(fresh, "doc_id", "text", block_bytes)
     bits = bl.range_bits(blocks) + 1  # contexts are ten times as large as keys
@@ -371,4 +386,4 @@ def repeated_substrings(df: DataFrame, *, key: str = "doc_id", text: str = "text
     settled = stage(settle(send_contexts(known, bits)), "settled")
     lists = settled.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("range", "answer"))).alias("l"))
     both = known.join(lists.select("block", F.transform("l", lambda x: x["answer"]).alias("settled")), "block", "left")
-    return cut(both).unionByName(gone)
+    return digested(cut(both).unionByName(gone))
