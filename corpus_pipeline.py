@@ -37,7 +37,7 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token pieces and their places in sequences of 1024."""
+    """Token pieces with their ids and their places in sequences of 1024."""
     return packing.pack(docs)
 
 
@@ -54,9 +54,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of ``sf_dir``."""
+    """All stages over the documents of ``sf_dir``: the places of the last one's pieces, whose ids are in its files."""
     blocks.bound_batches(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (_, step) in enumerate(STAGES):
         docs = stage(step(spark, docs, sf_dir), f"stage-{k}")
-    return docs
+    return docs.select(*packing.PLACES)

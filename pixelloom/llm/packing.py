@@ -1,6 +1,6 @@
 """Best-fit packing, planned on the histogram of lengths.
 
-Documents become ids, longer ones are cut, and only (piece, length) rows go on. The
+Documents become ids and longer ones are cut; pieces carry their ids to their place. The
 histogram has at most ``capacity`` rows, so best fit decreasing runs over counts on
 the driver in time that doesn't depend on the number of documents. Its plan is a
 list of slot runs, "the pieces of length L and rank r in [a, b) lie at offset o of
@@ -25,6 +25,8 @@ from pixelloom.llm.tokens import encoder, text_slices, tokenizer_path
 
 CAPACITY = 1024
 SALTS = 64
+#: What the queries return of a packed piece: its ids as their CRC-32.
+PLACES = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
 
 
 def cut_points(n: int, capacity: int) -> list[tuple[int, int]]:
@@ -35,24 +37,22 @@ def cut_points(n: int, capacity: int) -> list[tuple[int, int]]:
 
 
 def token_pieces(df: DataFrame, *, key: str = "doc_id", text: str = "text", path: str | None = None, capacity: int = CAPACITY) -> DataFrame:
-    """Encode ``df`` and cut it: (doc_id, piece, start, length, ids_crc32)."""
+    """Encode ``df`` and cut it: (doc_id, piece, start, length, ids), ids as little-endian uint32."""
     path = path or tokenizer_path()
 
     def encode(batches):
-        from zlib import crc32
-
         for batch in batches:
             for ids, texts in text_slices(batch):
                 rows = []
                 for i, x in zip(ids.to_pylist(), encoder(path).encode(texts)):
-                    rows += [(i, p, s, n, crc32(x[s : s + n])) for p, (s, n) in enumerate(cut_points(len(x), capacity))]
+                    rows += [(i, p, s, n, x[s : s + n].tobytes()) for p, (s, n) in enumerate(cut_points(len(x), capacity))]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))],
-                    ["doc_id", "piece", "start", "length", "ids_crc32"],
+                    [pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()))],
+                    ["doc_id", "piece", "start", "length", "ids"],
                 )
 
     return df.select(F.col(f"`{key}`").cast("long"), F.col(f"`{text}`")).mapInArrow(
-        encode, "doc_id long, piece int, start long, length long, ids_crc32 long"
+        encode, "doc_id long, piece int, start long, length long, ids binary"
     )
 
 
@@ -126,7 +126,7 @@ def ranked_by(df: DataFrame, column: str, order: list[str], salts: int = SALTS)
 
 
 def place(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """Give rows of (doc_id, piece, length, ...) a sequence_id and an offset."""
+    """Give rows of (doc_id, piece, length, tie, ...) a sequence_id and an offset."""
     spark = pieces.sparkSession
     histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     slots = plan_best_fit(histogram, capacity)
@@ -140,7 +140,7 @@ def place(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         else [tuple(map(int, s)) for s in slots],
         "slot_length long, first_rank long, number long, first_sequence long, offset long",
     )
-    ranked = ranked_by(pieces, "length", ["doc_id", "piece", "ids_crc32"])
+    ranked = ranked_by(pieces, "length", ["doc_id", "piece", "tie"])
     hit = (
         (F.col("length") == F.col("slot_length"))
         & (F.col("rank") >= F.col("first_rank"))
@@ -152,5 +152,20 @@ def place(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
 
 def pack(df: DataFrame, *, key: str = "doc_id", text: str = "text", path: str | None = None, capacity: int = CAPACITY) -> DataFrame:
-    """Pack every document: a row per piece with its place."""
-    return place(stage(token_pieces(df, key=key, text=text, path=path, capacity=capacity), "pieces"), capacity)
+    """Pack every document: a row per piece with its ids, their CRC-32 and its place."""
+    pieces = stage(token_pieces(df, key=key, text=text, path=path, capacity=capacity), "pieces")
+    # Ties are ranked by a CRC; what is returned is taken from the ids that arrived.
+    placed = place(pieces.withColumn("tie", F.crc32("ids")), capacity)
+    return placed.withColumn("ids_crc32", F.crc32("ids")).select(*PLACES, "ids")
+
+
+def sequences(packed: DataFrame) -> DataFrame:
+    """The packed sequences of ``pack``'s rows: (sequence_id, n_tokens, ids), the pieces' ids in order of offset."""
+    parts = F.sort_array(F.collect_list(F.struct("offset", "ids")))
+    # Arrays of strings join, arrays of bytes don't, so bytes pass as hex digits.
+    joined = F.unhex(F.array_join(F.transform("parts", lambda p: F.hex(p["ids"])), ""))
+    return (
+        packed.groupBy("sequence_id")
+        .agg(F.sum("length").alias("n_tokens"), parts.alias("parts"))
+        .select("sequence_id", "n_tokens", joined.alias("ids"))
+    )

@@ -34,7 +34,7 @@ def op4_bag_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(docs_of(spark, sf_dir))
+    return packing.pack(docs_of(spark, sf_dir)).select(*packing.PLACES)
 
 
 def op6_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:

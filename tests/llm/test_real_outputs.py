@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from collections import defaultdict
 from hashlib import sha256
+from zlib import crc32
 
 import pytest
 
-from pixelloom.llm import queries, repeats
+from pixelloom.llm import packing, queries, repeats
 from tests.llm import brute
 from tests.llm.test_near_and_repeats import docs, frame
+from tests.llm.test_tokens import ids_of
 
 SF = "/root/testdata/sf0.001"
 
@@ -36,3 +39,25 @@ def test_repeats_give_kept_bytes_and_removed_ranges(spark, kind):
 
 def test_op9_keeps_its_contract(spark):
     assert queries.op9_suffix_array_dedup(spark, SF).columns == ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
+
+
+def test_packing_gives_the_ids_of_its_sequences(spark):
+    rows = [*docs(spark)[:300], (9000, None), (9001, "word " * 3000)]
+    ids, places = ids_of(rows), defaultdict(list)
+    packed = packing.pack(frame(spark, rows)).cache()
+    for r in packed.collect():
+        want = ids[r.doc_id][r.start : r.start + r.length].tobytes()
+        assert bytes(r.ids) == want and r.ids_crc32 == crc32(want)
+        places[r.sequence_id].append((r.offset, want))
+    got = {r.sequence_id: (r.n_tokens, bytes(r.ids)) for r in packing.sequences(packed).collect()}
+    whole = {k: b"".join(x for _, x in sorted(v)) for k, v in places.items()}
+    assert got == {k: (len(x) // 4, x) for k, x in whole.items()}
+
+
+def test_op5_and_pipeline_keep_their_contract(spark):
+    import corpus_pipeline
+
+    columns = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
+    assert queries.op5_best_fit_packing(spark, SF).columns == columns
+    docs_frame = spark.read.parquet(f"{SF}/documents.parquet").limit(20)
+    assert corpus_pipeline.packed(spark, docs_frame, SF).columns == [*columns, "ids"]
