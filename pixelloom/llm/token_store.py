@@ -218,11 +218,26 @@ def stored_chunks(spark: SparkSession, root: str) -> DataFrame:
     return stored.select("address", "payload").mapInArrow(run, "address binary, chunk_n int, crc long")
 
 
+def insist(holds, what: str, doc_id):
+    """A filter that keeps every row and stops the job at one for which ``holds`` isn't true."""
+    told = F.concat(F.lit("document "), F.coalesce(doc_id.cast("string"), F.lit("null")), F.lit(f": {what}"))
+    return F.when(holds, F.lit(True)).otherwise(F.raise_error(told).cast("boolean"))
+
+
 def read_store(spark: SparkSession, root: str) -> DataFrame:
-    """Per document, from the files: doc_id, start, n_tokens, ids_crc32, merkle_root."""
-    entries = spark.read.parquet(f"{root}/chunks").select("address", "doc_id", "row", "seq")
+    """Per document, from the files: doc_id, start, n_tokens, ids_crc32, merkle_root.
+
+    Documents are rebuilt from their recipes' addresses. A missing or damaged chunk, and a
+    root or a token count that differs from the recipe's, stop the job.
+    """
+    recipes = spark.read.parquet(f"{root}/recipes")
+    sound = merkle_root(F.col("addresses")).eqNullSafe(F.col("merkle_root"))
+    recipes = recipes.where(insist(sound, "its Merkle root differs", F.col("doc_id")))
+    entries = recipes.select("doc_id", "row", F.posexplode("addresses").alias("seq", "address"))
+    missing = F.raise_error(F.concat(F.lit("chunk "), F.hex("address"), F.lit(" is missing"))).cast("int")
     parts = (
-        entries.join(stored_chunks(spark, root), "address")
+        entries.join(stored_chunks(spark, root), "address", "left")
+        .withColumn("chunk_n", F.when(F.col("chunk_n").isNull(), missing).otherwise(F.col("chunk_n")))
         .groupBy("doc_id", "row")
         .agg(F.sort_array(F.collect_list(F.struct("seq", "chunk_n", "crc"))).alias("p"))
         .select("doc_id", "row", F.transform("p", lambda x: x["chunk_n"]).alias("ns"), F.transform("p", lambda x: x["crc"]).alias("crcs"))
@@ -248,9 +263,12 @@ def read_store(spark: SparkSession, root: str) -> DataFrame:
             )
 
     figures = parts.mapInArrow(fold, "doc_id long, row long, n_tokens long, ids_crc32 long")
-    recipes = spark.read.parquet(f"{root}/recipes").select(F.col("doc_id").alias("recipe_id"), F.col("row").alias("recipe_row"), "start", "merkle_root")
-    same = figures["doc_id"].eqNullSafe(recipes["recipe_id"]) & (figures["row"] == recipes["recipe_row"])
-    return figures.join(recipes, same).select("doc_id", "start", "n_tokens", "ids_crc32", "merkle_root")
+    told = spark.read.parquet(f"{root}/recipes").select(
+        F.col("doc_id").alias("recipe_id"), F.col("row").alias("recipe_row"), "start", F.col("n_tokens").alias("recipe_n"), "merkle_root"
+    )
+    same = figures["doc_id"].eqNullSafe(told["recipe_id"]) & (figures["row"] == told["recipe_row"])
+    whole = insist(F.col("n_tokens").eqNullSafe(F.col("recipe_n")), "its number of tokens differs", F.col("doc_id"))
+    return figures.join(told, same).where(whole).select("doc_id", "start", "n_tokens", "ids_crc32", "merkle_root")
 
 
 def token_store(df: DataFrame, *, root: str | None = None, **options) -> DataFrame:
