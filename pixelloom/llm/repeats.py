@@ -1,4 +1,4 @@
-"""Suffix-array dedup: bytes of repeated 50-byte strings, by bucket-pointer refinement.
+"""Suffix-array dedup: bytes of repeated 50-byte strings, by sorted contexts of shared anchors.
 
 A byte goes if a 50-byte string over it also starts in a document with a smaller id.
 
@@ -8,9 +8,8 @@ A byte goes if a 50-byte string over it also starts in a document with a smaller
    Blocks ask (``blocks``) which anchors several documents have.
 3. A 50-byte string belongs to its anchor. If that is shared, its key range gets the bytes around the anchor: a context.
 4. There the contexts of an anchor get the order of a suffix array, one for the
-   bytes after the anchor and one for those before, backwards. Buckets of equal
-   8-byte grams are refined by sorting on the bucket identifiers at later offsets;
-   a refined bucket replaces its pointer and is what the next offset refines, until
+   bytes after the anchor and one for those before, backwards. This is a radix sort:
+   buckets of equal 8-byte grams are sorted by the grams at the next offset, until
    all are single or the context ends. Neighbours' common prefixes then name, for
    any length, the bucket of strings that agree so far; a pair of buckets names a
    50-byte string, and the smallest document in it stays.
@@ -166,10 +165,10 @@ class Contexts:
 
 
 def refine(grams: list[np.ndarray], bucket: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Bucket-pointer refinement: the order of suffixes given as 8-byte grams at successive offsets.
+    """Radix sort from the first gram: the order of suffixes given as 8-byte grams at successive offsets.
 
     ``bucket`` holds the pointers to begin with. Members of a bucket with company are
-    sorted by the gram's bucket at the next offset; each finer bucket points at its
+    sorted by their own gram at the next offset; each finer bucket points at its
     first place in the order, and the next offset refines that. Returns the order and
     the final pointers.
     """
