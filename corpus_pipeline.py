@@ -20,9 +20,10 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated lines go; so does a document that held nothing else."""
-    cleaned = line_dedup.line_dedup(docs)
-    left = (F.col("n_dropped") == 0) | (F.size(words_of(F.col("text"))) > 0)
-    return cleaned.where(left).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    dropped = "__n_dropped"
+    cleaned = line_dedup.line_dedup(docs, figures=("__n_lines", dropped))
+    left = (F.col(dropped) == 0) | (F.size(words_of(F.col("text"))) > 0)
+    return cleaned.where(left).withColumn("n_chars", F.length("text").cast("long")).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

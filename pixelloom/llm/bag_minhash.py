@@ -9,37 +9,51 @@ shingles of count 1, nearly all, cost one process, and a count c costs log c of
 Two texts agree in a register with probability sum(min)/sum(max), exactly.
 
 Texts whose registers agree in a whole band become a group, groups become classes
-(``linking``). A compared pair first has all its registers counted: one at 0.8 agrees
-in fewer than 0.8 - 6 standard deviations of them with probability 1e-9, so only pairs
-above that fetch their texts, which are verified on full multisets. Byte-equal texts
-are one node from the start.
+(``linking``): two texts are linked if they share a band and their multisets overlap by
+the threshold, whatever the size of a group. A compared pair first has all its registers
+counted: one at 0.8 agrees in fewer than 0.8 - 6 standard deviations of them with
+probability 1e-9, so only pairs above that fetch their texts, which are verified by their
+words. Byte-equal texts are one node from the start. Members of groups that rounds of
+draws leave open meet by their rarest shingles (``rare_elements``), so a large family
+just below the threshold makes few rows.
 
 With 32 bands of 7 registers a pair at similarity 0.8 shares a band with probability
 1 - (1 - 0.8^7)^32 = 0.9995, and one at 0.2, such as two short texts with the same
 heading, with 0.0004.
 
+Every interval's process runs flat to a horizon that fills all registers with high
+probability, and further if it didn't, in place of a tree of splits.
+
 Defined results: a text without words (null, empty) is alone and stays; a text of
-one to four words has one shingle; of a class the smallest id stays, null before all;
-rows that repeat an id share its fate; an empty table gives none. An id stands for one
-text: of unlike rows with one id any may be compared.
+one to four words has one shingle; of a class the row stays that is smallest by id,
+null before all, then by the text's digest, so rows of one id and different texts are
+told apart, and rows equal in both share their fate; a text of any length is compared
+whole; other columns, whatever their names, are not read; an empty table gives none.
+A null id is held as the smallest 64-bit number, so a row with that id counts as one without.
 """
 
 from __future__ import annotations
 
+import math
+import re
+from collections import Counter
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pixelloom.llm import textnum as tn
-from pixelloom.llm.common import stage
-from pixelloom.llm.linking import components, link
+from pixelloom.llm.common import digest_of, even_join, sift, stage
+from pixelloom.llm.linking import link
 
 BANDS, ROWS = 32, 7
 SIZE, THRESHOLD = 5, 0.8
 KEY_BITS = 44
-#: Texts in a block of a family.
-BLOCK = 128
+#: Cells in which holders of elements are counted, dealt in slices.
+CELL_BITS = 20
+CELLS, SLICES = 1 << CELL_BITS, 256
 NULL_ID = -(1 << 63)
 
 
@@ -111,38 +125,26 @@ def short_registers(times: np.ndarray) -> np.ndarray:
 
 
 def sketch(df: DataFrame, key: str, text: str, size: int = SIZE) -> DataFrame:
-    """(doc_id, digest, bands, registers): the text's 128-bit hash, its band keys (null without words) and short registers."""
+    """(doc_id, digest, bands, registers): the text's SHA-256, its band keys (null without words) and short registers."""
 
     def run(batches):
-        import xxhash
-
         for batch in batches:
-            for part in tn.parts_of(batch, 1):
-                data, offsets = tn.utf8(part.column(1))
+            for part in tn.parts_of(batch, 2):
+                data, offsets = tn.utf8(part.column(2))
                 of, keys, counts = bags(data, offsets, size)
                 times = signatures(of, keys, counts, len(part))
-                raw = data.tobytes()
-                digests = [xxhash.xxh3_128_digest(raw[a:b]) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
                 lists = pa.FixedSizeListArray.from_arrays(pa.array(bands_of(times).reshape(-1)), BANDS).cast(pa.list_(pa.int64()))
                 empty = pa.array(np.isinf(times[:, 0]))
                 lists = pa.compute.if_else(empty, pa.scalar(None, lists.type), lists)
                 short = pa.array([r.tobytes() for r in short_registers(times)], pa.binary())
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(digests, pa.binary()), lists, short], ["doc_id", "digest", "bands", "registers"]
-                )
-
-    return df.select(node_of(key), F.col(f"`{text}`")).mapInArrow(
-        run, "doc_id long, digest binary, bands array<long>, registers binary"
-    )
-
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), lists, short], ["doc_id", "digest", "bands", "registers"])
 
-def node_of(key: str):
-    """Ids as node numbers; a null id is the smallest."""
-    return F.coalesce(F.col(f"`{key}`").cast("long"), F.lit(NULL_ID).cast("long"))
+    body = F.col(f"`{text}`")
+    return df.select(F.col(f"`{key}`").cast("long"), digest_of(body), body).mapInArrow(run, "doc_id long, digest binary, bands array<long>, registers binary")
 
 
 def promising(pairs: DataFrame, registers: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """Pairs (a, b) that agree in enough registers (node, registers) to be at the threshold."""
+    """Pairs (a, b) that share a band and agree in enough registers (node, registers) to be at the threshold."""
     n = BANDS * ROWS
     least = int(n * threshold - 6 * (n * threshold * (1 - threshold)) ** 0.5)
 
@@ -151,7 +153,9 @@ def promising(pairs: DataFrame, registers: DataFrame, threshold: float = THRESHO
             if not batch.num_rows:
                 continue
             x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), "<u2").reshape(-1, n) for k in (2, 3))
-            yield batch.select(["a", "b"]).filter(pa.array((x == y).sum(1) >= least))
+            same = x == y
+            banded = same.reshape(-1, BANDS, ROWS).all(2).any(1)
+            yield batch.select(["a", "b"]).filter(pa.array(banded & (same.sum(1) >= least)))
 
     with_b = pairs.join(registers.select(F.col("node").alias("b"), F.col("registers").alias("rb")), "b")
     both = with_b.join(registers.select(F.col("node").alias("a"), F.col("registers").alias("ra")), "a")
@@ -176,8 +180,29 @@ def full_bags(column: pa.Array, size: int) -> list[tuple[np.ndarray, np.ndarray]
     return [np.unique(h[a:b], return_counts=True) for a, b in zip(cuts[:-1], cuts[1:])]
 
 
-def verified(pairs: DataFrame, texts: DataFrame, size: int = SIZE, threshold: float = THRESHOLD) -> DataFrame:
-    """The pairs (a, b) whose multisets overlap by ``threshold``; ``texts`` has (node, text)."""
+WORD = re.compile(rb"[^\x20\x09-\x0D]+")
+
+
+def exact_bag(text: str | None, size: int) -> Counter:
+    """The bag of a text by its words themselves."""
+    words = WORD.findall((text or "").encode())
+    if len(words) < size:
+        return Counter([tuple(words)] if words else [])
+    return Counter(zip(*(words[k:] for k in range(size))))
+
+
+def exactly_alike(a: str | None, b: str | None, size: int, threshold: float) -> bool:
+    x, y = exact_bag(a, size), exact_bag(b, size)
+    shared = (x & y).total()
+    return shared >= threshold * max(1, x.total() + y.total() - shared)
+
+
+def verified(pairs: DataFrame, texts_of: Callable[[DataFrame], DataFrame], size: int = SIZE, threshold: float = THRESHOLD) -> DataFrame:
+    """The pairs (a, b) whose multisets overlap by ``threshold``; ``texts_of`` gives (node, text) of nodes.
+
+    Bags of hashed shingles can only overlap more than those of the words, so a pair that fails by
+    hashes fails; one that passes is compared by its words.
+    """
 
     def run(batches):
         last = (None, None)
@@ -188,63 +213,71 @@ def verified(pairs: DataFrame, texts: DataFrame, size: int = SIZE, threshold: fl
                 for k, (i, bag) in enumerate(zip(a_ids, bags_b)):
                     if last[0] != i:
                         last = (i, full_bags(part.column(2).slice(k, 1), size)[0])
-                    keep.append(multiset_similarity(last[1], bag) >= threshold)
+                    near = multiset_similarity(last[1], bag) >= threshold
+                    keep.append(near and exactly_alike(part.column(2)[k].as_py(), part.column(3)[k].as_py(), size, threshold))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    used = texts.join(wanted, "node", "left_semi")
+    used = stage(texts_of(wanted), "texts")
     with_b = pairs.join(used.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
     both = with_b.join(used.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
     return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
-def links_of_families(left: DataFrame, texts: DataFrame, size: int = SIZE, threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
-    """Links (a, b) between the classes of ``left`` (grp, node, comp) that have any, for groups too large for pairs.
+def elements(bag: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """A bag as a set: a shingle held c times is c elements, (shingle, 0) to (shingle, c - 1)."""
+    keys, counts = bag
+    turn = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+    return tn.mix(np.repeat(keys, counts) * np.uint64(3) + turn.astype(np.uint64))
+
 
-    Groups that share members are a family. A family's nodes are dealt to blocks by a
-    hash, and a job compares two blocks by products of their shingle incidence matrices,
-    exactly, and tells one link for each pair of classes. So no pair is a row, and a
-    job's size is fixed; a node goes to as many jobs as its family has blocks.
+def rare_elements(held: DataFrame, size: int = SIZE, threshold: float = THRESHOLD) -> DataFrame:
+    """(key, node, comp) for ``held`` (node, comp, text): two texts at the threshold share a key.
+
+    Elements are ordered by how many of the texts hold them, rare ones first. Of n elements the first
+    n - ceil(threshold n) + 1 are a text's prefix, and two texts at the threshold share one in their
+    prefixes. Any order does, so holders are counted in ``CELLS`` cells, 4 MB whatever the input;
+    a cell is never too low, and an element in a cell of one is held once and needs no row.
     """
-    leads = left.groupBy("grp").agg(F.min("node").alias("lead"))
-    edges = left.join(leads, "grp").select(F.col("node").alias("a"), F.col("lead").alias("b")).distinct()
-    families = stage(components(edges), "families").withColumnRenamed("comp", "fam")
-    nodes = left.select("node", "comp").distinct().join(families, "node")
-    blocks = nodes.groupBy("fam").agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).cast("int").alias("blocks"))
-    placed = nodes.join(blocks, "fam").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).join(texts, "node")
-    jobs = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "fam", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "comp", "block", "text"
-    )
 
-    def run(table: pa.Table) -> pa.Table:
-        bags = [b for batch in table.combine_chunks().to_batches() for part in tn.parts_of(batch, 6) for b in full_bags(part.column(6), size)]
-        node, comp, own = (table.column(c).to_numpy() for c in ("node", "comp", "block"))
-        n, sizes = len(bags), np.array([int(c.sum()) for _, c in bags])
-        # A shingle that a text holds c times is c elements of a set: (shingle, 0) to (shingle, c - 1).
-        rows = np.repeat(np.arange(n), sizes)
-        keys = np.concatenate([np.repeat(k, c) for k, c in bags]) if n else np.zeros(0, np.uint64)
-        turn = np.concatenate([np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c) for _, c in bags]) if n else keys
-        _, column, count = np.unique(tn.mix(keys * np.uint64(3) + turn.astype(np.uint64)), return_inverse=True, return_counts=True)
-        shared = count[column] > 1
-        rows, column = rows[shared], np.unique(column[shared], return_inverse=True)[1]
-        inner = np.zeros((n, n), np.float32)
-        order = np.argsort(column, kind="stable")
-        rows, column = rows[order], column[order]
-        for start in range(0, int(column.max(initial=-1)) + 1, 4096):
-            a, b = np.searchsorted(column, [start, start + 4096])
-            m = np.zeros((n, 4096), np.float32)
-            m[rows[a:b], column[a:b] - start] = 1
-            inner += m @ m.T
-        alike = inner >= threshold * (sizes[:, None] + sizes[None, :] - inner) - 1e-6
-        alike &= comp[:, None] < comp[None, :]
-        if int(table.column("i")[0].as_py()) != int(table.column("j")[0].as_py()):
-            alike &= own[:, None] != own[None, :]
-        x, y = np.nonzero(alike)
-        _, first = np.unique(np.stack([comp[x], comp[y]]), axis=1, return_index=True) if len(x) else (None, np.zeros(0, np.int64))
-        x, y = node[x[first]], node[y[first]]
-        return pa.table({"a": pa.array(np.minimum(x, y), pa.int64()), "b": pa.array(np.maximum(x, y), pa.int64())})
-
-    return jobs.groupBy("fam", "i", "j").applyInArrow(run, "a long, b long")
+    held = held.select("node", "comp", "text")
+
+    def sums(batches):
+        cells = np.zeros(CELLS, np.uint32)
+        for batch in batches:
+            for part in tn.parts_of(batch, 2):
+                for bag in full_bags(part.column(2), size):
+                    np.add.at(cells, (elements(bag) >> np.uint64(64 - CELL_BITS)).astype(np.int64), 1)
+        slices = cells.reshape(SLICES, -1)
+        on = np.flatnonzero(slices.any(1))
+        yield pa.RecordBatch.from_arrays([pa.array(on, pa.int64()), pa.array([slices[k].tobytes() for k in on], pa.binary())], ["slice", "cells"])
+
+    def added(table: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(x.as_buffer(), np.uint32).astype(np.uint64) for x in table.column("cells"))
+        total = np.minimum(total, 0xFFFFFFFF).astype(np.uint32)
+        return pa.table({"slice": table.column("slice")[:1], "cells": pa.array([total.tobytes()], pa.binary())})
+
+    counted = np.zeros((SLICES, CELLS // SLICES), np.uint32)
+    # At most SLICES rows of 16 KB, whatever the input.
+    for row in held.mapInArrow(sums, "slice long, cells binary").groupBy("slice").applyInArrow(added, "slice long, cells binary").collect():
+        counted[row["slice"]] = np.frombuffer(row["cells"], np.uint32)
+    counted = counted.reshape(-1)
+
+    def prefixes(batches):
+        for batch in batches:
+            for part in tn.parts_of(batch, 2):
+                out = []
+                for k, bag in enumerate(full_bags(part.column(2), size)):
+                    mine = elements(bag)
+                    held_by = counted[(mine >> np.uint64(64 - CELL_BITS)).astype(np.int64)]
+                    first = np.lexsort((mine, held_by))[: len(mine) - math.ceil(threshold * len(mine) - 1e-9) + 1]
+                    first = first[held_by[first] > 1]
+                    out.append((np.full(len(first), k), mine[first]))
+                at = pa.array(np.concatenate([o for o, _ in out]))
+                keys = pa.array(np.concatenate([m for _, m in out]).view(np.int64))
+                yield pa.RecordBatch.from_arrays([keys, part.column(0).take(at), part.column(1).take(at)], ["key", "node", "comp"])
+
+    return held.mapInArrow(prefixes, "key long, node long, comp long")
 
 
 def near_dedup(
@@ -252,36 +285,46 @@ def near_dedup(
 ) -> DataFrame:
     """One row per row of ``df``: doc_id, class_id, class_size, kept."""
     sketched = stage(sketch(df, key, text, size), "sketches")
-    nodes = stage(
-        sketched.groupBy("digest").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("n"), F.first("bands").alias("bands")), "nodes"
+    order = F.coalesce("doc_id", F.lit(NULL_ID).cast("long"))
+    # One row a text: copies share a node from the start.
+    nodes = sketched.groupBy("digest").agg(
+        F.min(order).alias("least"), F.count(F.lit(1)).alias("n"), F.first("bands").alias("bands"), F.first("registers").alias("registers")
     )
-    first = F.col("doc_id") == F.col("node")
-    registers = sketched.join(nodes.select(F.col("digest").alias("d"), "node"), (F.col("digest") == F.col("d")) & first)
-    registers = stage(registers.where("bands is not null").dropDuplicates(["node"]).select("node", "registers"), "registers")
-    members = stage(nodes.where("bands is not null").select("node", F.explode("bands").alias("grp")), "bands")
-    texts = df.select(node_of(key).alias("node"), F.col(f"`{text}`").alias("text"))
+    nodes = stage(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
+    registers = nodes.where("bands is not null").select("node", "registers")
+    members = nodes.where("bands is not null").select("node", F.explode("bands").alias("grp"))
+    rows = df.select(F.col(f"`{key}`").cast("long").alias("doc_id"), digest_of(F.col(f"`{text}`")).alias("digest"), F.col(f"`{text}`").alias("text"))
+    rows = rows.withColumn("least", order).drop("doc_id")
+
+    def texts_of(wanted: DataFrame) -> DataFrame:
+        """(node, text) of the wanted nodes, by their smallest documents; unwanted texts aren't moved."""
+        named = stage(nodes.select("node", "digest", "least").join(wanted, "node"), "wanted")
+        return sift(rows, "digest", named).join(named, ["digest", "least"]).select("node", "text").dropDuplicates(["node"])
 
     def verify(pairs: DataFrame) -> DataFrame:
-        return verified(stage(promising(pairs, registers, threshold), "promising"), texts, size, threshold)
+        return verified(stage(promising(pairs, registers, threshold), "promising"), texts_of, size, threshold)
+
+    def narrow(now: DataFrame) -> DataFrame:
+        comps = stage(now.select("node", "comp").distinct(), "open-nodes")
+        held = stage(texts_of(comps.select("node")).join(comps, "node"), "open-texts")
+        return rare_elements(held, size, threshold).withColumn("sketch", F.lit(0))
 
-    # One round of draws: blocks settle what is left of large groups, so more draws would only be more rows.
-    labels = link(members, verify, settle=lambda left: links_of_families(left, texts, size, threshold), delegates=(1, 16))
-    classes = nodes.select("digest", "node", "n", F.col("bands").isNull().alias("wordless")).join(labels, "node", "left")
+    # One round of draws: rare elements settle what is left, so more draws would only be more rows.
+    labels = link(members, verify, narrow, delegates=(1, 16))
+    classes = nodes.select("digest", "least", "node", "n", F.col("bands").isNull().alias("wordless")).join(labels, "node", "left")
     classes = classes.withColumn("comp", F.coalesce("comp", "node"))
-    sizes = classes.groupBy("comp").agg(F.sum("n").alias("class_size"))
-    classes = stage(classes.join(sizes, "comp").select("digest", "wordless", "comp", "class_size"), "classes")
+    whole = classes.groupBy("comp").agg(F.sum("n").alias("class_size"), F.min(F.struct("least", "digest")).alias("stays"))
+    classes = stage(classes.join(whole, "comp").select("digest", "n", "wordless", "class_size", "stays"), "classes")
     alone = F.col("wordless")
+    first = F.struct(order.alias("least"), F.col("digest")) == F.col("stays")
 
     def shown(c):
         return F.when(c != NULL_ID, c)
 
-    return (
-        sketched.select("doc_id", "digest")
-        .join(classes, "digest")
-        .select(
-            shown(F.col("doc_id")).alias("doc_id"),
-            shown(F.when(alone, F.col("doc_id")).otherwise(F.col("comp"))).alias("class_id"),
-            F.when(alone, F.lit(1).cast("long")).otherwise(F.col("class_size")).alias("class_size"),
-            (alone | (F.col("doc_id") == F.col("comp"))).alias("kept"),
-        )
+    told = classes.select("digest", "wordless", "class_size", "stays")
+    return even_join(sketched.select("doc_id", "digest"), told, "digest", classes.select("digest", "n"), "inner").select(
+        "doc_id",
+        F.when(alone, F.col("doc_id")).otherwise(shown(F.col("stays")["least"])).alias("class_id"),
+        F.when(alone, F.lit(1).cast("long")).otherwise(F.col("class_size")).alias("class_size"),
+        (alone | first).alias("kept"),
     )

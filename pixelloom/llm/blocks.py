@@ -5,7 +5,12 @@ and zstd-compressed UTF-8. Operators that must know what other documents hold wo
 by question and answer: each block sends its sorted distinct 64-bit keys, cut at
 key-range borders, to the ranges; a range adds up what all blocks say of a key and
 answers each block in the order it was asked. A key costs 6 to 8 bytes per block
-that has it, however often it occurs there, so no key is hot.
+that has it, however often it occurs there, so no key is hot. Keys that stand for
+words may carry a proof, 64 more bits, and count as equal only if both are.
+
+Beyond 2 x ``FAN`` blocks the exchange has two levels, so that rows stay full: blocks
+ask ``FAN`` ranges; within a range the keys of up to ``FAN`` blocks are merged into
+one unit, which asks ``FAN`` finer ranges; answers return the same way.
 
 Blocks are written to the shared folder before anything depends on their numbers.
 """
@@ -118,32 +123,79 @@ def unpack_keys(raw) -> np.ndarray:
     return np.cumsum(wide.reshape(-1).view("<u8"), dtype=np.uint64)
 
 
+#: Ranges that a block or a unit asks, as a power of two.
+FAN_BITS = 10
+ASKED = "range int, block long, keys binary, said binary, proof binary"
+
+
 def range_bits(blocks: DataFrame) -> int:
     """Log2 of the number of key ranges: about one range for two blocks."""
     return max(5, int(max(1, blocks.count()) / 2).bit_length())
 
 
+def cuts(keys: np.ndarray, bits: int) -> list[tuple[int, int, int]]:
+    """(range, start, end) of the key ranges that sorted keys touch."""
+    if not len(keys):
+        return []
+    ranges = keys >> np.uint64(64 - bits)
+    starts = np.flatnonzero(np.r_[True, ranges[1:] != ranges[:-1]])
+    return list(zip(ranges[starts].tolist(), starts.tolist(), [*starts[1:].tolist(), len(keys)]))
+
+
+def same_keys(keys: np.ndarray, proof: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(keys, proofs, place of each input): distinct pairs of key and proof in ascending order."""
+    distinct, first, where = np.unique(keys, return_index=True, return_inverse=True)
+    if (proof[first][where] == proof).all():
+        return distinct, proof[first], where
+    order = np.lexsort((proof, keys))
+    k, p = keys[order], proof[order]
+    heads = np.r_[True, (k[1:] != k[:-1]) | (p[1:] != p[:-1])]
+    where = np.empty(len(keys), np.int64)
+    where[order] = np.cumsum(heads) - 1
+    return k[heads], p[heads], where
+
+
+def asking(key_range: int, block: int, keys: np.ndarray, said: np.ndarray, proof: np.ndarray, press) -> tuple:
+    """One row of ``ASKED``; a proof of zeros is left out."""
+    shown = press.compress(proof.astype("<u8").tobytes()) if proof.any() else b""
+    return key_range, block, pack_keys(keys), press.compress(said.tobytes()), shown
+
+
+def asked_batch(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = [pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], ["range", "block", "keys", "said", "proof"])
+
+
 def ask(blocks: DataFrame, keys_of: Callable, bits: int, kind: str = "<u4") -> DataFrame:
-    """(range, block, keys, said): ``keys_of(ids, offsets, data)`` gives sorted distinct keys and a number for each."""
+    """Rows of ``ASKED``: ``keys_of(ids, offsets, data)`` gives ascending keys, a number for each, and perhaps proofs."""
 
     def run(batches):
         import zstandard
 
         press = zstandard.ZstdCompressor(level=3)
-        kinds = [pa.int32(), pa.int64(), pa.binary(), pa.binary()]
         for batch in batches:
             for block, ids, offsets, data in opened(batch):
-                keys, said = keys_of(ids, offsets, data)
-                borders = np.searchsorted(keys, np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits))
-                rows = [
-                    (r, block, pack_keys(keys[a:b]), press.compress(said[a:b].astype(kind).tobytes()))
-                    for r, (a, b) in enumerate(zip(borders.tolist(), [*borders[1:].tolist(), len(keys)]))
-                    if b > a
-                ]
+                keys, said, *proof = keys_of(ids, offsets, data)
+                said = said.astype(kind)
+                proof = proof[0] if proof else np.zeros(len(keys), np.uint64)
+                rows = [asking(r, block, keys[a:b], said[a:b], proof[a:b], press) for r, a, b in cuts(keys, bits)]
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], ["range", "block", "keys", "said"])
+                    yield asked_batch(rows)
+
+    return blocks.mapInArrow(run, ASKED)
+
+
+def questions(table: pa.Table, kind: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(keys, what was said, proofs, number of keys of each row) of rows of ``ASKED``."""
+    import zstandard
 
-    return blocks.mapInArrow(run, "range int, block long, keys binary, said binary")
+    up = zstandard.ZstdDecompressor()
+    keys = [unpack_keys(x.as_buffer()) for x in table.column("keys")]
+    said = [np.frombuffer(up.decompress(x.as_buffer()), kind) for x in table.column("said")]
+    proof = [
+        np.frombuffer(up.decompress(x.as_buffer()), "<u8") if len(x.as_buffer()) else np.zeros(len(k), np.uint64) for x, k in zip(table.column("proof"), keys)
+    ]
+    return np.concatenate(keys), np.concatenate(said), np.concatenate(proof), np.array([len(k) for k in keys])
 
 
 def answer(asked: DataFrame, judge: Callable, kind: str = "<u4") -> DataFrame:
@@ -154,13 +206,11 @@ def answer(asked: DataFrame, judge: Callable, kind: str = "<u4") -> DataFrame:
     def run(table: pa.Table) -> pa.Table:
         import zstandard
 
-        up, press = zstandard.ZstdDecompressor(), zstandard.ZstdCompressor(level=3)
+        press = zstandard.ZstdCompressor(level=3)
         table = table.combine_chunks()
-        keys = [unpack_keys(x.as_buffer()) for x in table.column("keys")]
-        said = [np.frombuffer(up.decompress(x.as_buffer()), kind) for x in table.column("said")]
-        sizes = np.array([len(k) for k in keys])
-        distinct, where = np.unique(np.concatenate(keys), return_inverse=True)
-        values, a, b = judge(distinct, where, np.concatenate(said))
+        keys, said, proof, sizes = questions(table, kind)
+        distinct, _, where = same_keys(keys, proof)
+        values, a, b = judge(distinct, where, said)
         said_back = values[where]
         ends = np.cumsum(sizes)
         blobs = [press.compress(said_back[e - n : e].tobytes()) for e, n in zip(ends, sizes)]
@@ -178,9 +228,57 @@ def answer(asked: DataFrame, judge: Callable, kind: str = "<u4") -> DataFrame:
     return asked.groupBy("range").applyInArrow(run, ANSWER)
 
 
+def exchange(blocks: DataFrame, keys_of: Callable, judge: Callable, merge: Callable, kind: str, told: str, finer: int = 0) -> DataFrame:
+    """Answers to the questions of all blocks, a written table: (block, range, answer, figure_a, figure_b).
+
+    ``merge(n, where, said)`` says for each of n keys what several blocks said together, as one block might.
+    ``told`` is the kind of the answers.
+    """
+    bits = range_bits(blocks) + finer
+    if bits <= FAN_BITS + finer:
+        return stage(answer(ask(blocks, keys_of, bits, kind), judge, kind), "answers")
+    fan = 1 << FAN_BITS
+    groups = -(-blocks.count() // fan)
+    unit = F.col("range") * F.lit(groups).cast("long") + F.pmod(F.xxhash64("block"), F.lit(groups))
+    asked = stage(ask(blocks, keys_of, FAN_BITS, kind).withColumn("unit", unit), "asked")
+    bits = min(bits, 2 * FAN_BITS)
+
+    def gather(table: pa.Table) -> pa.Table:
+        import zstandard
+
+        press = zstandard.ZstdCompressor(level=3)
+        keys, said, proof, _ = questions(table.combine_chunks(), kind)
+        keys, proof, where = same_keys(keys, proof)
+        said = merge(len(keys), where, said).astype(kind)
+        number = table.column("unit")[0].as_py()
+        return pa.Table.from_batches([asked_batch([asking(r, number, keys[a:b], said[a:b], proof[a:b], press) for r, a, b in cuts(keys, bits)])])
+
+    back = stage(answer(asked.groupBy("unit").applyInArrow(gather, ASKED), judge, kind), "unit-answers")
+    lists = back.groupBy(F.col("block").alias("unit")).agg(F.sort_array(F.collect_list(F.struct("range", "answer"))).alias("answers"))
+
+    def spread(mine: pa.Table, given: pa.Table) -> pa.Table:
+        import zstandard
+
+        press, up = zstandard.ZstdCompressor(level=3), zstandard.ZstdDecompressor()
+        mine = mine.combine_chunks()
+        keys, _, proof, sizes = questions(mine, kind)
+        _, _, where = same_keys(keys, proof)
+        parts = given.column("answers")[0].as_py()
+        values = np.frombuffer(b"".join(up.decompress(p["answer"]) for p in parts), told)[where]
+        ends = np.cumsum(sizes)
+        none = pa.array([0] * mine.num_rows, pa.int64())
+        blobs = pa.array([press.compress(values[e - n : e].tobytes()) for e, n in zip(ends, sizes)], pa.binary())
+        return pa.table({"block": mine.column("block"), "range": mine.column("range"), "answer": blobs, "figure_a": none, "figure_b": none})
+
+    returned = asked.groupBy("unit").cogroup(lists.groupBy("unit")).applyInArrow(spread, ANSWER)
+    figures = back.groupBy().agg(F.sum("figure_a").alias("figure_a"), F.sum("figure_b").alias("figure_b"))
+    nobody = figures.select(F.lit(None).cast("long").alias("block"), F.lit(None).cast("int").alias("range"), F.unhex(F.lit("")).alias("answer"), "figure_a", "figure_b")
+    return stage(returned.unionByName(nobody), "answers")
+
+
 def with_answers(blocks: DataFrame, answers: DataFrame) -> DataFrame:
     """Blocks beside the answers to their questions, in key order, as column ``answers``."""
-    lists = answers.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("range", "answer"))).alias("l"))
+    lists = answers.where("block is not null").groupBy("block").agg(F.sort_array(F.collect_list(F.struct("range", "answer"))).alias("l"))
     return blocks.join(lists.select("block", F.transform("l", lambda x: x["answer"]).alias("answers")), "block", "left")
 
 

@@ -13,25 +13,32 @@ take a dozen array operations; blocks ask (``blocks``) which keys different line
 share, and only lines with such a key become rows. Groups of lines that share a key
 go to ``linking``; pairs are verified by a banded bit-parallel edit distance.
 
-Equal lines are one node, by a 64-bit hash, from the start, so a line that a third
-of all documents hold is one row per block.
-
-Defined results: null text is empty and has no lines; equal ids with equal texts are
-one document; lines differ by any white space; an empty table gives none.
+Equal lines are one node from the start, by a keyed 128-bit BLAKE2b of their bytes, so a
+line that a third of all documents hold is one row per block until the last step, where
+its occurrences are spread (``common.even_join``). The 64-bit spans only find candidates.
+
+At most 2 edits, whatever the length, is a bound of the method: t edits take t + 1
+segments and some t^2 probes for each length. So a long line with a word replaced is
+another line; what is removed differs by a letter or two from what stays.
+
+Defined results: null text is empty and has no lines; rows of equal id and equal text are
+one document, rows of equal or null id and other texts are documents of their own, in the
+order of their digests; lines differ by any white space; ties go to the smaller (id, text
+digest, line number), null ids first; a line or a text of any length is compared whole; the
+two columns of figures replace columns of their names, and every other column stays; an
+empty table gives none. A null id is held as the smallest 64-bit number in the order.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 from pixelloom.llm import blocks as bl
 from pixelloom.llm import textnum as tn
-from pixelloom.llm.common import stage
+from pixelloom.llm.common import digest_of, discard, even_join, let, stage
 from pixelloom.llm.linking import link
 
 MOST_EDITS = 2
@@ -46,7 +53,7 @@ def allowed(length):
 
 
 class Lines:
-    """The lines of texts in a buffer: document, number in it, span, hash; only lines with a word."""
+    """The lines of texts in a buffer: document, number in it, span; only lines with a word."""
 
     def __init__(self, offsets: np.ndarray, data: np.ndarray):
         n_docs = len(offsets) - 1
@@ -61,7 +68,6 @@ class Lines:
         filled = np.concatenate([[0], np.cumsum(~tn.BREAK[data])])
         on = filled[ends] > filled[starts]
         self.doc, self.number, self.start, self.end = self.doc[on], self.number[on], starts[on], ends[on]
-        self.hash = tn.span_hashes(data, self.start, self.end) if len(self.start) else np.zeros(0, np.uint64)
 
 
 def segment_keys(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -108,30 +114,30 @@ def segment_keys(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[
 
 
 def distinct_keys(offsets: np.ndarray, data: np.ndarray):
-    """Distinct lines of a block and their keys: (node hash, start, end, line of each key, key)."""
-    nodes, starts, ends, lines, keys, base = [], [], [], [], [], 0
+    """Distinct lines of a block and their keys: (name of 128 bits, start, end, line of each key, key)."""
+    names, starts, ends, lines, keys, base = [], [], [], [], [], 0
     for a, b in bl.slices(offsets):
         part = data[offsets[a] : offsets[b]]
         found = Lines(offsets[a : b + 1] - offsets[a], part)
-        node, at = np.unique(found.hash, return_index=True)
+        _, at = tn.interned(part, found.start, found.end)
         line, key = segment_keys(part, found.start[at], found.end[at])
-        nodes.append(node)
+        names.append(tn.digests(part, found.start[at], found.end[at]))
         starts.append(found.start[at] + offsets[a])
         ends.append(found.end[at] + offsets[a])
         lines.append(line + base)
         keys.append(key)
-        base += len(node)
-    if not nodes:
+        base += len(at)
+    if not names:
         none = np.zeros(0, np.int64)
-        return none.astype(np.uint64), none, none, none, none.astype(np.uint64)
-    return tuple(map(np.concatenate, (nodes, starts, ends, lines, keys)))
+        return np.zeros((0, 2), np.uint64), none, none, none, none.astype(np.uint64)
+    return tuple(map(np.concatenate, (names, starts, ends, lines, keys)))
 
 
 def keys_of(ids: np.ndarray, offsets: np.ndarray, data: np.ndarray):
-    """A block's distinct keys, each with its line's hash, or 0 if several lines have it."""
-    node, _, _, line, key = distinct_keys(offsets, data)
+    """A block's distinct keys, each with half the name of its line, or 0 if several lines have it."""
+    names, _, _, line, key = distinct_keys(offsets, data)
     order = np.argsort(key, kind="stable")
-    key, who = key[order], node[line][order]
+    key, who = key[order], names[line, 0][order]
     if not len(key):
         return key, who
     heads = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
@@ -139,22 +145,26 @@ def keys_of(ids: np.ndarray, offsets: np.ndarray, data: np.ndarray):
     return key[heads], np.where(low == high, low, np.uint64(0))
 
 
-def judge(keys: np.ndarray, where: np.ndarray, said: np.ndarray):
-    """1 for keys of different lines."""
-    low = np.full(len(keys), np.uint64(0xFFFFFFFFFFFFFFFF))
-    high = np.zeros(len(keys), np.uint64)
+def merge(n: int, where: np.ndarray, said: np.ndarray) -> np.ndarray:
+    """The line that all questions name, or 0."""
+    low, high = np.full(n, np.uint64(0xFFFFFFFFFFFFFFFF)), np.zeros(n, np.uint64)
     np.minimum.at(low, where, said)
     np.maximum.at(high, where, said)
-    return ((low != high) | (low == 0)).astype("u1"), 0, 0
+    return np.where(low == high, low, np.uint64(0))
+
+
+def judge(keys: np.ndarray, where: np.ndarray, said: np.ndarray):
+    """1 for keys of different lines."""
+    return (merge(len(keys), where, said) == 0).astype("u1"), 0, 0
 
 
 def sharing_lines(blocks: DataFrame) -> DataFrame:
-    """(node, text, grps, histogram): lines of blocks with the keys that other lines have too."""
+    """(name, text, grps, histogram): lines of blocks with the keys that other lines have too."""
 
     def run(batches):
         for batch in batches:
             for k, (_, _, offsets, data) in enumerate(bl.opened(batch)):
-                node, start, end, line, key = distinct_keys(offsets, data)
+                names, start, end, line, key = distinct_keys(offsets, data)
                 told = bl.answers_of(batch, k, "u1")
                 keys, where = np.unique(key, return_inverse=True)
                 assert len(keys) == len(told), "answers don't match the questions"
@@ -168,15 +178,15 @@ def sharing_lines(blocks: DataFrame) -> DataFrame:
                 texts = [raw[a:b].decode() for a, b in zip(start[mine].tolist(), end[mine].tolist())]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(node[mine].view(np.int64)),
+                        pa.array([n.tobytes() for n in names[mine]], pa.binary()),
                         pa.array(texts, pa.string()),
                         pa.array(groups, pa.list_(pa.int64())),
                         pa.array([histogram(t).astype(np.int32) for t in texts], pa.list_(pa.int32())),
                     ],
-                    ["node", "text", "grps", "histogram"],
+                    ["name", "text", "grps", "histogram"],
                 )
 
-    return blocks.mapInArrow(run, "node long, text string, grps array<long>, histogram array<int>")
+    return blocks.mapInArrow(run, "name binary, text string, grps array<long>, histogram array<int>")
 
 
 def may_be_alike(x, y):
@@ -185,6 +195,15 @@ def may_be_alike(x, y):
     return apart <= 2 * MOST_EDITS
 
 
+def by_histogram(now: DataFrame) -> DataFrame:
+    """Rows (grp, node, comp, sketch) under finer keys: an edit changes two classes of a histogram by one at most,
+    so of 2 x ``MOST_EDITS`` + 1 parts two alike lines agree in one, and meet under it."""
+    parts = 2 * MOST_EDITS + 1
+    cuts = [32 * k // parts for k in range(parts + 1)]
+    keys = F.array(*(F.xxhash64("grp", F.lit(k), F.slice("sketch", a + 1, b - a)) for k, (a, b) in enumerate(zip(cuts, cuts[1:]))))
+    return now.select(F.explode(keys).alias("key"), "node", "comp", "sketch")
+
+
 def histogram(text: str) -> np.ndarray:
     """How many of its characters fall in each of 32 classes."""
     codes = np.frombuffer(text.encode("utf-32-le"), np.uint32)
@@ -256,7 +275,7 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def occurrences(rows: DataFrame) -> DataFrame:
-    """(doc_id, tag, line, node) of every line with a word."""
+    """(doc_id, tag, line, name) of every line with a word."""
 
     def run(batches):
         for batch in batches:
@@ -264,66 +283,77 @@ def occurrences(rows: DataFrame) -> DataFrame:
                 data, offsets = tn.utf8(part.column(2))
                 found = Lines(offsets, data)
                 docs = pa.array(found.doc)
+                number, at = tn.interned(data, found.start, found.end)
+                names = pa.array([n.tobytes() for n in tn.digests(data, found.start[at], found.end[at])], pa.binary()).take(pa.array(number))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0).take(docs), part.column(1).take(docs), pa.array(found.number.astype(np.int32)), pa.array(found.hash.view(np.int64))],
-                    ["doc_id", "tag", "line", "node"],
+                    [part.column(0).take(docs), part.column(1).take(docs), pa.array(found.number.astype(np.int32)), names],
+                    ["doc_id", "tag", "line", "name"],
                 )
 
-    return rows.select("doc_id", "tag", "text").mapInArrow(run, "doc_id long, tag long, line int, node long")
+    return rows.select("doc_id", "tag", "text").mapInArrow(run, "doc_id long, tag binary, line int, name binary")
 
 
 def line_classes(df: DataFrame, key: str, text: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """(node, comp) of the lines that have an alike line."""
+    """(name, comp) of the lines that have an alike line."""
     blocks = bl.build(df, key, text, block_bytes)
-    asked = bl.ask(blocks, keys_of, bl.range_bits(blocks), "<u8")
-    shared = stage(bl.answer(asked, judge, "<u8").select("block", "range", "answer"), "shared-keys")
-    sharing = stage(sharing_lines(bl.with_answers(blocks, shared)), "sharing-lines")
-    texts = sharing.groupBy("node").agg(F.min("text").alias("text"))
-    members = stage(sharing.select("node", F.explode("grps").alias("grp")).distinct(), "line-groups")
-    sketches = sharing.groupBy("node").agg(F.first("histogram").alias("sketch"))
-    return link(members, lambda pairs: verified(pairs, texts), sketches, may_be_alike)
+    answers = bl.exchange(blocks, keys_of, judge, merge, "<u8", "u1")
+    sharing = stage(sharing_lines(bl.with_answers(blocks, answers)), "sharing-lines")
+    # Every block that holds a line says the same of it.
+    named = sharing.groupBy("name").agg(F.first("text").alias("text"), F.first("grps").alias("grps"), F.first("histogram").alias("sketch"))
+    named = stage(named.withColumn("node", F.monotonically_increasing_id()), "named-lines")
+    discard(answers, sharing, blocks)
+    members = named.select("node", F.explode("grps").alias("grp"))
+    texts = named.select("node", "text")
+    labels = link(members, lambda pairs: verified(pairs, texts), by_histogram, named.select("node", "sketch"), may_be_alike)
+    return named.select("name", "node").join(labels, "node").select("name", "comp")
 
 
 def dropped_lines(df: DataFrame, key: str, text: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """(doc_id, tag, n_lines, drops): per document with lines, how many and which go; tag is the text's hash."""
+    """(doc_id, tag, n_lines, drops): per document with lines, how many and which go; tag is half the text's digest."""
     bl.bound_batches(df.sparkSession)
     body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
-    rows = df.select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.xxhash64(body).alias("tag"), body.alias("text"))
+    rows = df.select(F.col(f"`{key}`").cast("long").alias("doc_id"), tag_of(body).alias("tag"), body.alias("text"))
     lines = stage(occurrences(rows), "lines")
-    labels = line_classes(df, key, text, block_bytes)
-    classed = lines.join(labels, "node", "left").withColumn("class", F.coalesce("comp", "node")).select("doc_id", "tag", "line", "class")
-    place = F.struct(F.coalesce("doc_id", F.lit(-(1 << 63)).cast("long")), "tag", "line")
-    firsts = classed.groupBy("class").agg(F.min(place).alias("first"))
-    judged = classed.join(firsts, "class").select("doc_id", "tag", "line", (place != F.col("first")).alias("drop"))
+    classes = stage(line_classes(df, key, text, block_bytes), "classes")
+    place = F.struct(F.coalesce("doc_id", F.lit(-(1 << 63)).cast("long")).alias("doc_id"), "tag", "line")
+    firsts = stage(lines.groupBy("name").agg(F.min(place).alias("own"), F.count(F.lit(1)).alias("n")), "firsts")
+    joined = firsts.join(classes, "name").select("name", "comp", "own")
+    linked = joined.join(joined.groupBy("comp").agg(F.min("own").alias("first")), "comp").select(F.col("name").alias("linked"), "first")
+    # Lines that occur once and are like no other stay.
+    told = firsts.join(linked, F.col("name") == F.col("linked"), "left").where("n > 1 or first is not null")
+    told = stage(told.select("name", F.coalesce("first", "own").alias("first")), "told")
+    judged = even_join(lines, told, "name", firsts.select("name", "n"))
+    drop = F.coalesce(place != F.col("first"), F.lit(False))
     return judged.groupBy("doc_id", "tag").agg(
-        F.countDistinct("line").alias("n_lines"), F.sort_array(F.collect_set(F.when(F.col("drop"), F.col("line")))).alias("drops")
+        F.countDistinct("line").alias("n_lines"), F.sort_array(F.collect_set(F.when(drop, F.col("line")))).alias("drops")
     )
 
 
-@F.pandas_udf(StringType())
-def without_lines(text: pd.Series, drops: pd.Series) -> pd.Series:
-    def one(t, gone):
-        if gone is None or not len(gone):
-            return t
-        gone = set(gone)
-        return "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone)
+def tag_of(body):
+    """What tells texts of one id apart."""
+    return F.substring(digest_of(body), 1, 16)
 
-    return pd.Series([one(t, g) for t, g in zip(text, drops)], dtype="object")
 
+def without_lines(text, drops):
+    """A text without the lines of these numbers, in time that follows its length."""
+    lines = F.split(text, "\n")
+    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), drops)
+    return let(lines, lambda x: F.array_join(F.transform(kept, lambda k: F.get(x, k)), "\n"))
 
-def line_dedup(df: DataFrame, *, key: str = "doc_id", text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """``df`` with repeated lines taken out of the text, and columns n_lines and n_dropped."""
+
+def line_dedup(
+    df: DataFrame, *, key: str = "doc_id", text: str = "text", block_bytes: int = BLOCK_BYTES, figures: tuple[str, str] = ("n_lines", "n_dropped")
+) -> DataFrame:
+    """``df`` with repeated lines taken out of the text, and two columns of ``figures``: lines with a word, lines dropped."""
     drops = stage(dropped_lines(df, key, text, block_bytes), "drops")
-    drops = drops.select(F.col("doc_id").alias("__id"), F.col("tag").alias("__tag"), "n_lines", "drops")
-    tag = F.xxhash64(F.coalesce(F.col(f"`{text}`"), F.lit("")))
-    clash = [c for c in ("n_lines", "n_dropped", "drops") if c in df.columns]
-    rows = df.drop(*clash).withColumn("__text_tag", tag)
-    joined = rows.join(drops, F.col(f"`{key}`").cast("long").eqNullSafe(F.col("__id")) & (F.col("__text_tag") == F.col("__tag")), "left")
-    cleaned = F.when(F.size(F.coalesce("drops", F.array().cast("array<int>"))) > 0, without_lines(F.col(f"`{text}`"), F.col("drops")))
-    return joined.withColumns(
-        {
-            text: F.coalesce(cleaned, F.col(f"`{text}`")),
-            "n_lines": F.coalesce("n_lines", F.lit(0)).cast("long"),
-            "n_dropped": F.coalesce(F.size("drops"), F.lit(0)).cast("long"),
-        }
-    ).drop("__id", "__tag", "__text_tag", "drops")
+    drops = drops.select(F.col("doc_id").alias("id"), F.col("tag").alias("its_tag"), "n_lines", "drops")
+    body = F.col(f"`{text}`")
+    rows = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"), F.col(f"`{key}`").cast("long").alias("key"), tag_of(body).alias("tag"))
+    joined = rows.join(drops, F.col("key").eqNullSafe(F.col("id")) & (F.col("tag") == F.col("its_tag")), "left")
+    body = F.col("row")[text]
+    cleaned = F.when(F.size(F.coalesce("drops", F.array().cast("array<int>"))) > 0, without_lines(body, F.col("drops"))).otherwise(body)
+    return joined.select(
+        *(cleaned.alias(c) if c == text else F.col("row")[c].alias(c) for c in df.columns if c not in figures),
+        F.coalesce("n_lines", F.lit(0)).cast("long").alias(figures[0]),
+        F.coalesce(F.size("drops"), F.lit(0)).cast("long").alias(figures[1]),
+    )

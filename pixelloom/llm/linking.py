@@ -6,7 +6,9 @@ compared with every other one (a star) and classes are joined. Then members outs
 the group's largest class are compared with some of that class, drawn by a hash: 16,
 then 64. A family whose members are alike with some probability collapses so in
 rounds of linear size. What is left, members whose group still holds other classes,
-is compared pair by pair across classes, so no link between classes is lost.
+is dealt to finer keys, of which alike members of a group share one (``narrow``), and
+compared across classes there, so no link between classes is lost and a large group of
+unlike members doesn't meet in pairs. Groups of every size go the same way.
 """
 
 from __future__ import annotations
@@ -18,14 +20,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pixelloom.llm.common import stage
+from pixelloom.llm.common import discard, stage
 
 #: Members of the largest class that the others meet, by round; the first is a star.
 DELEGATES = (1, 16, 64)
 #: Edges that one task contracts, 16 bytes each.
 EDGES_PER_TASK = 1_000_000
-#: Members of a group from which on ``settle`` is asked.
-LARGE = 64
 #: Rounds go on while the pairs left outnumber the members left by this factor.
 PAIRS_PER_MEMBER = 4
 
@@ -96,18 +96,18 @@ def components(links: DataFrame) -> DataFrame:
 def link(
     members: DataFrame,
     verify: Callable[[DataFrame], DataFrame],
+    narrow: Callable[[DataFrame], DataFrame],
     sketches: DataFrame | None = None,
     close: Callable[[Column, Column], Column] | None = None,
-    settle: Callable[[DataFrame], DataFrame] | None = None,
     delegates: tuple[int, ...] = DELEGATES,
 ) -> DataFrame:
     """Classes of ``members`` (grp, node): (node, comp) of the nodes that have a verified link.
 
     ``verify`` takes distinct pairs (a, b), a < b, and returns those that are alike.
     ``close`` may tell by two sketches, of ``sketches`` (node, sketch), that a pair can't
-    be; it is part of the join condition, so such pairs are never rows. ``settle`` takes
-    what is left of groups of more than ``LARGE`` members, (grp, node, comp), and gives
-    links that join all their classes that have any; other groups are compared pair by pair.
+    be; it is part of the join condition, so such pairs are never rows. ``narrow`` turns
+    rows (grp, node, comp, sketch) to rows (key, node, comp, sketch): two alike members of
+    a group share a key. ``verify`` must reject pairs that no group holds.
     """
     if sketches is None:
         sketches, close = members.select("node", F.lit(0).alias("sketch")).distinct(), lambda x, y: F.lit(True)
@@ -115,7 +115,7 @@ def link(
     kept = members.join(sizes, "grp")
     popular = kept.groupBy("node").agg(F.sum("n").alias("pop"))
     left = stage(kept.select("grp", "node").join(popular, "node"), "members")
-    labels, links, tested, settled = None, None, None, None
+    labels, links, tested, done = None, None, None, []
     for turn in range(len(delegates) + 1):
         if labels is None:
             now = left.withColumn("comp", F.col("node"))
@@ -134,24 +134,21 @@ def link(
             .select("grp", "n", "main", ((F.col("n") * F.col("n") - F.col("own")) / 2).alias("cross"))
         )
         now = stage(now.join(open_groups, "grp").join(sketches, "node"), "open")
+        done.append(now)
         total = open_total(now)
         if not total[0]:
             break
         last = turn == len(delegates) or total[1] <= PAIRS_PER_MEMBER * total[0]
-        if last and settle is not None:
-            big = now.where(F.col("n") > LARGE).select("grp", "node", "comp")
-            if not big.isEmpty():
-                settled = stage(settle(big), "settled")
-                links = settled if links is None else links.unionByName(settled)
-            now = now.where(F.col("n") <= LARGE)
         if last:
-            rest = now.select("grp", F.col("node").alias("other"), F.col("comp").alias("other_comp"), F.col("sketch").alias("seen"))
-            pairs = now.join(rest, "grp").where(F.col("comp") < F.col("other_comp"))
+            keyed = narrow(now.select("grp", "node", "comp", "sketch"))
+            rest = keyed.select("key", F.col("node").alias("other"), F.col("comp").alias("other_comp"), F.col("sketch").alias("seen"))
+            pairs = keyed.join(rest, "key").where(F.col("comp") < F.col("other_comp"))
         elif turn == 0:
             best = F.max(F.struct("pop", (-F.col("node")).alias("m"), "sketch"))
             leaders = now.groupBy("grp").agg((-best["m"]).alias("other"), best["sketch"].alias("seen"))
             pairs = now.join(leaders, "grp").where("node <> other")
         else:
+            # The limit on the rank is applied before the shuffle too, so a class is never sorted whole.
             drawn = Window.partitionBy("grp").orderBy(F.xxhash64("node", F.lit(turn)))
             some = now.where("comp = main").withColumn("place", F.row_number().over(drawn)).where(F.col("place") <= delegates[turn])
             outside = now.where("comp <> main").select("grp", "node", "sketch")
@@ -161,13 +158,15 @@ def link(
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = stage(pairs, "pairs")
         found = stage(verify(pairs), "links")
+        done += [pairs, found]
         links = found if links is None else links.unionByName(found)
         tested = pairs if tested is None else tested.unionByName(pairs)
-        if labels is None or settled is not None or not found.isEmpty():
+        if labels is None or not found.isEmpty():
             labels = stage(components(links), "labels")
         left = now.select("grp", "node", "pop")
         if last:
             break
+    discard(*done)
     if labels is None:
         return members.select("node", F.col("node").alias("comp")).where("false")
     return labels

@@ -1,29 +1,34 @@
-"""Suffix-array dedup: bytes of repeated 50-byte strings, by sorted contexts of shared anchors.
+"""Suffix-array dedup: bytes of repeated 50-byte strings, by bucket-pointer refinement around shared anchors.
 
 A byte goes if a 50-byte string over it also starts in a document with a smaller id.
 
-1. Byte-equal documents: of 50 bytes or more, all but the smallest id go whole.
+1. Equal documents, by SHA-256: of 50 bytes or more, all but the smallest id go whole.
 2. *Anchors.* Of each run of 21 successive 30-grams the one with the smallest hash
    is an anchor, so each 50-byte string holds one, at a place its own bytes decide.
-   Blocks ask (``blocks``) which anchors several documents have.
+   Blocks ask (``blocks``) which anchors several documents have, and how many places.
 3. A 50-byte string belongs to its anchor. If that is shared, its key range gets the bytes around the anchor: a context.
-4. There the contexts of an anchor get the order of a suffix array, one for the
-   bytes after the anchor and one for those before, backwards. This is a radix sort:
-   buckets of equal 8-byte grams are sorted by the grams at the next offset, until
-   all are single or the context ends. Neighbours' common prefixes then name, for
-   any length, the bucket of strings that agree so far; a pair of buckets names a
-   50-byte string, and the smallest document in it stays.
+4. There the suffixes of all contexts are sorted to 50 bytes by bucket-pointer refinement. Suffixes
+   go into buckets by their first 8 bytes, and a suffix points at its bucket's first place in the
+   order. Buckets are refined by sorting on the pointers of the suffixes 8 bytes later, which makes
+   16 sorted bytes; then, with the pointers updated, 16 bytes later, and 18 bytes after that, which
+   makes 50. Only buckets with company are sorted again. Each bucket is now one string, and the
+   smallest document in it stays.
 5. Answers return to the blocks, which cut the bytes.
 
 A block sends each distinct context once, for its smallest document, and settles
 its other documents itself, so a passage that a third of all documents hold costs a
-row per block. Nothing is decided by a hash: hashes choose anchors and ranges, and a
-string is compared by its bytes. (Anchors of equal 64-bit hash whose bytes differ
-are told apart, since the 30 bytes are part of the context.)
+row per block. At a passage's ends contexts differ in every document though. An anchor
+with more than ``HOT`` places sends its strings one by one, each to the range of its own
+hash, where equal strings are found by sorting them whole; so no anchor gathers in a task.
+
+Hashes choose anchors and ranges, and a string is compared by its bytes. (Anchors of
+equal 64-bit hash whose bytes differ are told apart, since the 30 bytes are part of the context.)
 
 Defined results: null text is empty, and has 0 bytes and the hash of nothing; texts
 under 50 bytes stay whole; rows of equal id are one document, whose own repeats
-don't count; an empty table gives none.
+don't count; of ties nothing depends on the order of rows; a text of any length is read
+whole; other columns, whatever their names, are not read; an empty table gives none. A
+null id is held as the smallest 64-bit number, so a row with that id counts as one without.
 """
 
 from __future__ import annotations
@@ -35,12 +40,16 @@ from pyspark.sql import functions as F
 
 from pixelloom.llm import blocks as bl
 from pixelloom.llm import textnum as tn
-from pixelloom.llm.common import stage
+from pixelloom.llm.common import digest_of, even_join, filter_bits, filter_of, in_filter, sift, stage
 
 LENGTH, GRAM = 50, 30
 SPAN = LENGTH - GRAM + 1  # successive grams of a string; also the places an anchor may have in it
 SIDE = LENGTH - GRAM  # bytes a string may have on either side of its anchor
 TOP = np.uint64(0xFFFFFFFFFFFFFFFF)
+#: Places of an anchor beyond which its strings are dealt one by one.
+HOT = 2000
+#: Contexts that are refined at once, unless an anchor has more.
+TOGETHER = 20_000
 
 
 def sliding(x: np.ndarray, size: int, op) -> np.ndarray:
@@ -60,7 +69,7 @@ def strings_of(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.nd
     if n < LENGTH:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64), of_string
     starts = np.arange(n - GRAM + 1)
-    h = tn.span_hashes(data, starts, starts + GRAM)
+    h = tn.SpanHasher(data)(starts, starts + GRAM)
     low = sliding(h, SPAN, np.minimum)  # per string place
     real = np.ones(len(low), bool)
     # Strings that would cross a text's end aren't strings.
@@ -101,18 +110,27 @@ def block_strings(offsets: np.ndarray, data: np.ndarray):
 
 
 def keys_of(ids: np.ndarray, offsets: np.ndarray, data: np.ndarray):
-    """A block's distinct anchors; 2 if several of its documents have one, else 1."""
+    """A block's distinct anchors: twice their number of places, and 1 more if several of its documents have one."""
     places, hashes, _ = block_strings(offsets, data)
     doc = np.searchsorted(offsets, places, "right") - 1
     order = np.lexsort((doc, hashes))
     hashes, doc = hashes[order], doc[order]
     heads = np.flatnonzero(np.r_[True, hashes[1:] != hashes[:-1]]) if len(hashes) else np.zeros(0, np.int64)
     tails = np.r_[heads[1:], len(hashes)] - 1
-    return hashes[heads], 1 + (doc[heads] != doc[tails]).astype(np.int64) if len(heads) else np.zeros(0, np.int64)
+    return hashes[heads], 2 * (tails - heads + 1) + (doc[heads] != doc[tails]) if len(heads) else np.zeros(0, np.int64)
+
+
+def merge(n: int, where: np.ndarray, said: np.ndarray) -> np.ndarray:
+    """What several blocks say together: all places, and whether several documents have them."""
+    places = np.bincount(where, said >> 1, n).astype(np.int64)
+    several = (np.bincount(where, minlength=n) > 1) | (np.bincount(where, said & 1, n) > 0)
+    return 2 * np.minimum(places, (1 << 31) - 1) + several
 
 
 def judge(keys: np.ndarray, where: np.ndarray, said: np.ndarray):
-    return (np.bincount(where, said, len(keys)) > 1).astype("u1"), 0, 0
+    """0 for an anchor of one document, 1 for a shared one, 2 for one whose strings go one by one."""
+    together = merge(len(keys), where, said.astype(np.int64))
+    return ((together & 1) * (1 + (together >> 1 > HOT))).astype("u1"), 0, 0
 
 
 class Contexts:
@@ -128,7 +146,7 @@ class Contexts:
         keys, where = np.unique(hashes, return_inverse=True)
         if len(keys) != len(shared):
             raise AssertionError("answers don't match the questions")
-        common = shared[where].astype(bool) if len(keys) else np.zeros(0, bool)
+        common = shared[where] == 1 if len(keys) else np.zeros(0, bool)
         strings = np.flatnonzero(np.append(common, False)[owner])  # -1 is the last one
         mine = owner[strings]
         heads = np.flatnonzero(np.r_[True, mine[1:] != mine[:-1]]) if len(mine) else np.zeros(0, np.int64)
@@ -164,135 +182,180 @@ class Contexts:
         self.sent = self.sent[np.argsort(self.hash[self.sent], kind="stable")]
 
 
-def refine(grams: list[np.ndarray], bucket: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Radix sort from the first gram: the order of suffixes given as 8-byte grams at successive offsets.
+class Strings:
+    """The strings of a block's hot anchors, one by one.
 
-    ``bucket`` holds the pointers to begin with. Members of a bucket with company are
-    sorted by their own gram at the next offset; each finer bucket points at its
-    first place in the order, and the next offset refines that. Returns the order and
-    the final pointers.
+    Equal strings have their anchor at the same place, so they are looked for offset by offset.
+    ``start`` is a string's place, ``lead`` the equal string of a smaller document of the block, or itself.
     """
-    order = np.argsort(bucket, kind="stable")
-    pointer = np.zeros(len(bucket), np.int64)
-    heads = np.r_[True, bucket[order][1:] != bucket[order][:-1]]
-    pointer[order] = np.flatnonzero(heads)[np.cumsum(heads) - 1]
-    for gram in grams:
-        ranked = pointer[order]
-        same = np.r_[False, ranked[1:] == ranked[:-1]]
-        shared = np.flatnonzero(same | np.r_[same[1:], False])
-        if not len(shared):
-            break
-        members = order[shared]
-        inner = np.lexsort((gram[members], pointer[members]))
-        members = members[inner]
-        order[shared] = members
-        cut = np.r_[True, (pointer[members][1:] != pointer[members][:-1]) | (gram[members][1:] != gram[members][:-1])]
-        pointer[members] = shared[np.flatnonzero(cut)][np.cumsum(cut) - 1]
-    return order, pointer
-
-
-def grams_of(rows: np.ndarray) -> list[np.ndarray]:
-    """Columns of 8 bytes as big-endian numbers, which sort as the bytes do."""
-    wide = np.zeros((len(rows), -(-rows.shape[1] // 8) * 8), np.uint8)
-    wide[:, : rows.shape[1]] = rows
-    return list(wide.view(">u8").astype(np.uint64).T)
-
-
-def prefix_classes(rows: np.ndarray, bucket: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Order of the rows and, at each place, how many bytes it shares with the row before (-1 across buckets)."""
-    order, _ = refine(grams_of(rows), bucket)
-    ordered = rows[order]
-    common = np.full(len(rows), -1, np.int64)
-    if len(rows) > 1:
-        differs = ordered[1:] != ordered[:-1]
-        length = np.where(differs.any(1), differs.argmax(1), rows.shape[1])
-        common[1:] = np.where(bucket[order][1:] == bucket[order][:-1], length, -1)
-    return order, common
-
-
-def repeated(anchor: np.ndarray, doc: np.ndarray, most: np.ndarray, least: np.ndarray, around: np.ndarray) -> np.ndarray:
+
+    def __init__(self, ids: np.ndarray, offsets: np.ndarray, data: np.ndarray, shared: np.ndarray):
+        places, hashes, owner = block_strings(offsets, data)
+        keys, where = np.unique(hashes, return_inverse=True)
+        hot = shared[where] == 2 if len(keys) else np.zeros(0, bool)
+        self.start = np.flatnonzero(np.append(hot, False)[owner])
+        self.hash = np.zeros(len(self.start), np.uint64)
+        self.lead = np.arange(len(self.start))
+        self.data = data
+        if not len(self.start):
+            self.doc = self.sent = np.zeros(0, np.int64)
+            return
+        self.doc = ids[np.searchsorted(offsets, self.start, "right") - 1]
+        self.hash = tn.span_hashes(data, self.start, self.start + LENGTH)
+        before = places[owner[self.start]] - self.start
+        for a in range(SPAN):
+            mine = np.flatnonzero(before == a)
+            mine = mine[np.lexsort((self.doc[mine], self.hash[mine]))]
+            if len(mine) < 2:
+                continue
+            text = self.texts(mine)
+            same = (self.hash[mine][1:] == self.hash[mine][:-1]) & (text[1:] == text[:-1])
+            heads = np.flatnonzero(np.r_[True, ~same])
+            self.lead[mine] = mine[heads][np.cumsum(np.r_[0, ~same])]
+        self.sent = np.flatnonzero(self.lead == np.arange(len(self.start)))
+        self.sent = self.sent[np.argsort(self.hash[self.sent], kind="stable")]
+
+    def texts(self, which: np.ndarray) -> np.ndarray:
+        rows = self.data[self.start[which][:, None] + np.arange(LENGTH)[None, :]]
+        return np.ascontiguousarray(rows).view(f"V{LENGTH}").reshape(-1)
+
+
+def refine(pointer: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """Pointers of suffixes sorted by (pointer, key): members of a bucket with company point at their part's first place."""
+    order = np.argsort(pointer, kind="stable")
+    ranked = pointer[order]
+    same = np.r_[False, ranked[1:] == ranked[:-1]]
+    shared = np.flatnonzero(same | np.r_[same[1:], False])
+    if not len(shared):
+        return pointer
+    members = order[shared]
+    members = members[np.lexsort((key[members], pointer[members]))]
+    finer = np.r_[True, (pointer[members][1:] != pointer[members][:-1]) | (key[members][1:] != key[members][:-1])]
+    out = pointer.copy()
+    out[members] = shared[np.flatnonzero(finer)][np.cumsum(finer) - 1]
+    return out
+
+
+def suffix_buckets(texts: np.ndarray, steps: tuple[int, ...] = (8, 16, 18)) -> np.ndarray:
+    """The bucket of every suffix of rows of bytes, to a depth of 8 + sum(steps), in suffix order.
+
+    ``pointer`` is a suffix's bucket. Each step sorts buckets by the pointers of the suffixes so many
+    bytes later, as the step before left them; a step is at most the depth that is sorted already.
+    """
+    n, width = texts.shape
+    wide = width - 7
+    grams = np.zeros((n, wide), np.uint64)
+    for k in range(8):
+        grams = grams << np.uint64(8) | texts[:, k : k + wide].astype(np.uint64)
+    pointer = refine(np.zeros(grams.size, np.int64), grams.reshape(-1))
+    for step in steps:
+        pointer = pointer.reshape(n, wide)
+        wide -= step
+        here, later = pointer[:, :wide].reshape(-1), pointer[:, step:].reshape(-1)
+        pointer = refine(compact(here), later)
+    return pointer.reshape(n, wide)
+
+
+def compact(pointer: np.ndarray) -> np.ndarray:
+    """Pointers among fewer suffixes: the first places of the buckets that are left."""
+    order = np.argsort(pointer, kind="stable")
+    heads = np.r_[True, pointer[order][1:] != pointer[order][:-1]]
+    out = np.empty(len(pointer), np.int64)
+    out[order] = np.flatnonzero(heads)[np.cumsum(heads) - 1]
+    return out
+
+
+def repeated(doc: np.ndarray, most: np.ndarray, least: np.ndarray, around: np.ndarray) -> np.ndarray:
     """Per context the mask of its strings that a smaller document has too: bit a is the string with a bytes before the anchor."""
-    masks = np.zeros(len(anchor), np.uint32)
-    if not len(anchor):
+    masks = np.zeros(len(doc), np.uint32)
+    if not len(doc):
         return masks
-    _, bucket = np.unique(anchor, return_inverse=True)
-    # The anchor's own bytes refine its bucket, so equal hashes of unlike grams part here.
-    _, bucket = refine(grams_of(around[:, SIDE : SIDE + GRAM]), bucket)
-    after, common_after = prefix_classes(around[:, SIDE + GRAM :], bucket)
-    before, common_before = prefix_classes(np.ascontiguousarray(around[:, SIDE - 1 :: -1]), bucket)
-    right, left = np.zeros(len(anchor), np.int64), np.zeros(len(anchor), np.int64)
+    bucket = suffix_buckets(around)
     for a in range(SPAN):
         have = np.flatnonzero((least <= a) & (a <= most))
-        if len(have) < 2:
-            continue
-        right[after] = np.cumsum(common_after < SIDE - a)
-        left[before] = np.cumsum(common_before < a)
-        key = right[have] * (len(anchor) + 1) + left[have]
+        key = bucket[have, SIDE - a]
         order = np.lexsort((doc[have], key))
         have, key = have[order], key[order]
-        heads = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        heads = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
         smallest = np.repeat(doc[have][heads], np.diff(np.r_[heads, len(key)]))
         masks[have[doc[have] > smallest]] |= np.uint32(1 << a)
     return masks
 
 
+SENT = "range int, block long, hot boolean, anchor binary, doc binary, most binary, least binary, around binary"
+NONE = np.zeros(0, np.uint8)
+
+
 def send_contexts(blocks: DataFrame, bits: int) -> DataFrame:
+    """Rows of ``SENT``: contexts of shared anchors by anchor, and strings of hot ones, in ``around``, by their hash."""
+
     def run(batches):
-        kinds = [pa.int32(), pa.int64(), *[pa.binary()] * 5]
-        names = ["range", "block", "anchor", "doc", "most", "least", "around"]
+        kinds = [pa.int32(), pa.int64(), pa.bool_(), *[pa.binary()] * 5]
+        names = ["range", "block", "hot", "anchor", "doc", "most", "least", "around"]
         for batch in batches:
             for k, (block, ids, offsets, data) in enumerate(bl.opened(batch)):
-                c = Contexts(ids, offsets, data, bl.answers_of(batch, k, "u1"))
-                s = c.sent
-                borders = np.searchsorted(c.hash[s], np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits))
+                told = bl.answers_of(batch, k, "u1")
+                c = Contexts(ids, offsets, data, told)
                 rows = []
-                for r, (a, b) in enumerate(zip(borders.tolist(), [*borders[1:].tolist(), len(s)])):
-                    if b > a:
-                        w = s[a:b]
-                        rows.append((r, block, c.hash[w].tobytes(), c.doc[w].tobytes(), c.most[w].astype("u1").tobytes(), c.least[w].astype("u1").tobytes(), c.bytes[w].tobytes()))
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), kinds)], names)
+                for r, a, b in bl.cuts(c.hash[c.sent], bits):
+                    w = c.sent[a:b]
+                    rows.append((r, block, False, c.hash[w].tobytes(), c.doc[w].tobytes(), c.most[w].astype("u1").tobytes(), c.least[w].astype("u1").tobytes(), c.bytes[w].tobytes()))
+                c = Strings(ids, offsets, data, told)
+                for r, a, b in bl.cuts(c.hash[c.sent], bits):
+                    w = c.sent[a:b]
+                    rows.append((r, block, True, b"", c.doc[w].tobytes(), b"", b"", c.texts(w).tobytes()))
+                for start in range(0, len(rows), 1000):
+                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows[start : start + 1000]), kinds)], names)
 
-    return blocks.mapInArrow(run, "range int, block long, anchor binary, doc binary, most binary, least binary, around binary")
+    return blocks.mapInArrow(run, SENT)
 
 
 def settle(contexts: DataFrame) -> DataFrame:
-    """(block, range, answer): per context sent, the mask of its repeated strings, and the anchor range's verdict."""
+    """(block, range, hot, answer): per context sent, the mask of its repeated strings; per hot string, 1 if it is repeated."""
 
     def run(table: pa.Table) -> pa.Table:
         import zstandard
 
         table = table.combine_chunks()
-
-        def column(name, kind):
-            return [np.frombuffer(x.as_buffer(), kind) for x in table.column(name)]
-
-        anchor = column("anchor", np.uint64)
-        sizes = np.array([len(x) for x in anchor])
-        doc, most, least = (np.concatenate(column(n, t)) for n, t in (("doc", np.int64), ("most", np.uint8), ("least", np.uint8)))
-        around = np.concatenate(column("around", np.uint8)).reshape(-1, 2 * SIDE + GRAM)
-        anchor = np.concatenate(anchor)
+        hot = table.column("hot").to_numpy()
+        press = zstandard.ZstdCompressor(level=3)
+        answers: list[bytes] = [b""] * table.num_rows
+
+        def column(rows, name, kind):
+            found = [np.frombuffer(table.column(name)[k].as_buffer(), kind) for k in rows]
+            return np.concatenate(found) if found else np.zeros(0, kind)
+
+        def say(rows, values, width):
+            end = 0
+            for k in rows:
+                start, end = end, end + len(table.column("doc")[k].as_buffer()) // 8
+                answers[k] = press.compress(values[start:end].astype(width).tobytes())
+
+        rows = np.flatnonzero(~hot).tolist()
+        anchor, doc = column(rows, "anchor", np.uint64), column(rows, "doc", np.int64)
+        most, least = column(rows, "most", np.uint8), column(rows, "least", np.uint8)
+        around = column(rows, "around", np.uint8).reshape(-1, 2 * SIDE + GRAM)
         masks = np.zeros(len(anchor), np.uint32)
         # Anchors by anchors: bounded parts, never cutting one anchor's contexts apart.
         order = np.argsort(anchor, kind="stable")
-        edges = np.flatnonzero(np.r_[True, anchor[order][1:] != anchor[order][:-1], True])
+        edges = np.flatnonzero(np.r_[True, anchor[order][1:] != anchor[order][:-1], True]) if len(anchor) else np.zeros(1, np.int64)
         start = 0
         while start < len(edges) - 1:
-            end = max(start + 1, int(np.searchsorted(edges, edges[start] + 200_000, "right")) - 1)
+            end = max(start + 1, int(np.searchsorted(edges, edges[start] + TOGETHER, "right")) - 1)
             part = order[edges[start] : edges[end]]
-            masks[part] = repeated(anchor[part], doc[part], most[part].astype(np.int64), least[part].astype(np.int64), around[part])
+            masks[part] = repeated(doc[part], most[part].astype(np.int64), least[part].astype(np.int64), around[part])
             start = end
-        press = zstandard.ZstdCompressor(level=3)
-        ends = np.cumsum(sizes)
-        return pa.table(
-            {
-                "block": table.column("block"),
-                "range": table.column("range"),
-                "answer": pa.array([press.compress(masks[e - n : e].tobytes()) for e, n in zip(ends, sizes)], pa.binary()),
-            }
-        )
+        say(rows, masks, "<u4")
+        rows = np.flatnonzero(hot).tolist()
+        doc = column(rows, "doc", np.int64)
+        texts = column(rows, "around", np.uint8).reshape(-1, LENGTH)
+        bucket = suffix_buckets(texts)[:, 0] if len(texts) else np.zeros(0, np.int64)
+        smallest = np.full(len(texts), np.iinfo(np.int64).max)
+        np.minimum.at(smallest, bucket, doc)
+        say(rows, doc > smallest[bucket], "u1")
+        return pa.table({"block": table.column("block"), "range": table.column("range"), "hot": table.column("hot"), "answer": pa.array(answers, pa.binary())})
 
-    return contexts.groupBy("range").applyInArrow(run, "block long, range int, answer binary")
+    return contexts.groupBy("range").applyInArrow(run, "block long, range int, hot boolean, answer binary")
 
 
 #: ``kept`` are the bytes that stay (a cut may split a character, so they aren't a string), ``removed`` the
@@ -307,7 +370,7 @@ def cut(blocks: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            settled = pa.RecordBatch.from_arrays([batch.column("settled")], ["answers"])
+            settled, hot = (pa.RecordBatch.from_arrays([batch.column(n)], ["answers"]) for n in ("settled", "hot"))
             for k, (_, ids, offsets, data) in enumerate(bl.opened(batch)):
                 c = Contexts(ids, offsets, data, bl.answers_of(batch, k, "u1"))
                 told = bl.answers_of(settled, k, "<u4")
@@ -324,6 +387,12 @@ def cut(blocks: DataFrame) -> DataFrame:
                     s = c.anchor[(masks >> np.uint32(a)) & np.uint32(1) == 1] - a
                     np.add.at(gone, s, 1)
                     np.add.at(gone, s + LENGTH, -1)
+                one = Strings(ids, offsets, data, bl.answers_of(batch, k, "u1"))
+                flags = np.zeros(len(one.start), bool)
+                flags[one.sent] = bl.answers_of(hot, k, "u1").astype(bool)
+                flags = flags[one.lead] | (one.doc > one.doc[one.lead])
+                np.add.at(gone, one.start[flags], 1)
+                np.add.at(gone, one.start[flags] + LENGTH, -1)
                 gone = np.cumsum(gone[:-1], dtype=np.int32) > 0
                 # A span ends where the next byte stays or is another document's.
                 opens, shuts = gone.copy(), gone.copy()
@@ -362,27 +431,38 @@ def digested(done: DataFrame) -> DataFrame:
 
 def repeated_substrings(df: DataFrame, *, key: str = "doc_id", text: str = "text", block_bytes: int = 2 << 20) -> DataFrame:
     """One row per row of ``df``: doc_id, n_bytes, kept, removed (``RESULT``), and of these n_removed, n_spans, kept_sha256."""
-    rows = df.select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
-    digests = stage(rows.select("doc_id", F.unhex(F.md5("text")).alias("digest"), F.octet_length("text").alias("size")), "digests")
-    groups = digests.where(F.col("size") >= LENGTH).groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
-    copies = stage(
-        digests.join(groups.where("first < last"), "digest").where("doc_id > first").select(F.col("doc_id").alias("copy"), "size", "digest"), "copies"
+    rows = df.select(
+        F.col(f"`{key}`").cast("long").alias("doc_id"),
+        F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"),
+        digest_of(F.col(f"`{text}`")).alias("digest"),
     )
-    # A row is a copy by its text, so ids shared by unlike rows stay apart. The copies grow with
-    # the corpus, so this is a merge join at every size.
-    digest = F.unhex(F.md5("text"))
-    fresh = rows.join(copies.hint("merge"), (rows["doc_id"] == copies["copy"]) & (digest == copies["digest"]), "left_anti")
+    digests = stage(rows.select("doc_id", "digest", F.octet_length("text").cast("long").alias("size")), "digests")
+    order = F.coalesce("doc_id", F.lit(-(1 << 63)).cast("long"))
+    groups = digests.where(F.col("size") >= LENGTH).groupBy("digest").agg(F.min(order).alias("first"), F.max(order).alias("last"), F.count(F.lit(1)).alias("n"))
+    groups = stage(groups.where("first < last"), "copied")
+    # A row is a copy by its text, so ids shared by unlike rows stay apart. Texts that have no copy
+    # pass by a filter of at most 8 MB; the others meet their group, a popular one's spread.
+    bits = filter_bits(groups.count())
+    marked = in_filter(rows, "digest", stage(filter_of(groups, "digest", bits), "filter"), bits)
+    maybe = marked.where("__in").drop("__in").select("doc_id", "text", "digest", order.alias("order"))
+    met = even_join(maybe, groups.select("digest", "first"), "digest", groups.select("digest", "n")).where(F.col("first").isNull() | (F.col("order") <= F.col("first")))
+    fresh = marked.where("not __in").select("doc_id", "text").unionByName(met.select("doc_id", "text"))
+    copies = even_join(sift(digests, "digest", groups), groups.select("digest", "first"), "digest", groups.select("digest", "n"), "inner").where(order > F.col("first"))
     gone = copies.select(
-        F.col("copy").alias("doc_id"),
-        F.col("size").cast("long").alias("n_bytes"),
+        "doc_id",
+        F.col("size").alias("n_bytes"),
         F.unhex(F.lit("")).alias("kept"),
-        F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("size").cast("long").alias("end"))).alias("removed"),
+        F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("size").alias("end"))).alias("removed"),
     )
     blocks = bl.build(fresh, "doc_id", "text", block_bytes)
-    bits = bl.range_bits(blocks) + 1  # contexts are ten times as large as keys
-    shared = stage(bl.answer(bl.ask(blocks, keys_of, bits), judge).select("block", "range", "answer"), "shared")
+    # Contexts are ten times as large as keys.
+    shared = bl.exchange(blocks, keys_of, judge, merge, "<u4", "u1", 1)
     known = bl.with_answers(blocks, shared)
-    settled = stage(settle(send_contexts(known, bits)), "settled")
-    lists = settled.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("range", "answer"))).alias("l"))
-    both = known.join(lists.select("block", F.transform("l", lambda x: x["answer"]).alias("settled")), "block", "left")
+    settled = stage(settle(send_contexts(known, bl.range_bits(blocks) + 1)), "settled")
+
+    def told(hot: str, name: str) -> DataFrame:
+        lists = settled.where(hot).groupBy("block").agg(F.sort_array(F.collect_list(F.struct("range", "answer"))).alias("l"))
+        return lists.select("block", F.transform("l", lambda x: x["answer"]).alias(name))
+
+    both = known.join(told("not hot", "settled"), "block", "left").join(told("hot", "hot"), "block", "left")
     return digested(cut(both).unionByName(gone))

@@ -87,13 +87,31 @@ def test_repeats_of_nothing(spark):
 
 def test_refinement_sorts_like_bytes():
     rnd = np.random.default_rng(2)
-    rows = rnd.integers(0, 2, (500, 30), dtype=np.uint8)
-    order, common = repeats.prefix_classes(rows, np.zeros(500, np.int64))
-    texts = [rows[k].tobytes() for k in order]
-    assert texts == sorted(texts)
-    for k in range(1, 500):
-        same = next((j for j in range(30) if texts[k][j] != texts[k - 1][j]), 30)
-        assert common[k] == same
+    rows = rnd.integers(0, 2, (300, 70), dtype=np.uint8)
+    rows[150:] = rows[:150]
+    rows[200:, 40:] = rnd.integers(0, 2, (100, 30))
+    bucket = repeats.suffix_buckets(rows)
+    assert bucket.shape == (300, 21)
+    found = [(rows[i, p : p + 50].tobytes(), bucket[i, p]) for i in range(300) for p in range(21)]
+    ordered = sorted(t for t, _ in found)
+    first = {t: k for k, t in reversed(list(enumerate(ordered)))}
+    assert all(first[t] == b for t, b in found)
+
+
+@pytest.mark.parametrize("hot", [1, 3])
+def test_strings_of_hot_anchors(spark, monkeypatch, hot):
+    """Anchors of many places are settled string by string; results stay those of brute force."""
+    monkeypatch.setattr(repeats, "HOT", hot)
+    rnd = random.Random(8)
+
+    def noise(n):
+        return "".join(rnd.choice("abcdeé ") for _ in range(n))
+
+    passage = noise(150)
+    rows = [(i, noise(rnd.randrange(80)) + passage[rnd.randrange(20) :] + noise(rnd.randrange(80))) for i in range(40)]
+    rows += [(90, passage), (91, passage * 2), (92, None), (93, "x" * 300), (94, "x" * 200)]
+    cut = repeats.repeated_substrings(frame(spark, rows), block_bytes=1500).collect()
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in cut} == brute.repeats(rows)
 
 
 def test_lm_scores(spark):
@@ -181,11 +199,8 @@ def test_null_ids_repeated_rows_and_long_texts(spark):
     assert {r.n_tokens for r in scored if r.doc_id in (4, 5, 6)} == {1}
 
 
-def test_families_in_blocks(spark, monkeypatch):
-    """Everything left over is settled in blocks of few texts; classes stay those of all pairs."""
-    from pixelloom.llm import linking
-
-    monkeypatch.setattr(linking, "LARGE", 1)
+def test_rare_elements_join_what_is_alike(spark):
+    """Members of large groups meet by rare shingles: every pair at the threshold does, and most others don't."""
     rnd = random.Random(11)
     base = [f"w{rnd.randrange(300)}" for _ in range(120)]
     rows = planted()
@@ -195,11 +210,116 @@ def test_families_in_blocks(spark, monkeypatch):
             w[rnd.randrange(120)] = f"z{rnd.randrange(10**6)}"
         rows.append((1000 + i, " ".join(w)))
     rows += [(2000 + i, " ".join(["again"] * (30 + 6 * i))) for i in range(8)]
-    left = spark.createDataFrame([(7, i, i) for i, t in rows if t], "grp long, node long, comp long")
-    texts = spark.createDataFrame(rows, "node long, text string")
-    links = [(r.a, r.b) for r in bag_minhash.links_of_families(left, texts, block=9).collect()]
-    bags = {i: brute.bag(t) for i, t in rows}
-    want = {(a, b) for a in bags for b in bags if a < b and bags[a] and bags[b] and brute.similarity(bags[a], bags[b]) >= 0.8}
-    assert set(links) == want and len(links) == len(want)
+    held = spark.createDataFrame([(i, i, t) for i, t in rows if brute.words(t)], "node long, comp long, text string")
+    by_key = {}
+    for r in bag_minhash.rare_elements(held).collect():
+        by_key.setdefault(r.key, set()).add(r.node)
+    met = {(a, b) for g in by_key.values() for a in g for b in g if a < b}
+    bags = {i: brute.bag(t) for i, t in rows if brute.words(t)}
+    want = {(a, b) for a in bags for b in bags if a < b and brute.similarity(bags[a], bags[b]) >= 0.8}
+    assert want <= met and len(met) < len(bags) ** 2 / 4
     got = {r.doc_id: r.class_id for r in bag_minhash.near_dedup(frame(spark, rows)).collect()}
     assert got == brute.near_classes(rows)
+
+
+def thue_morse(n):
+    return "".join("ab"[k.bit_count() % 2] for k in range(n))
+
+
+def test_thue_morse_words_and_lines_stay_apart(spark):
+    """A word and its complement have one polynomial hash modulo a power of two, whatever the base."""
+    from pixelloom.llm import line_dedup
+
+    swap = str.maketrans("ab", "ba")
+    for n in (1024, 2048, 65536):
+        x = thue_morse(n)
+        y = x.translate(swap)
+        rows = [(1, x), (2, y), (3, x), (7, f"{y} {y}")]
+        lines = {r.doc_id: r.n_dropped for r in line_dedup.line_dedup(frame(spark, rows)).collect()}
+        assert lines == {1: 0, 2: 0, 3: 1, 7: 0}
+        scored = {r.doc_id: r for r in lm_scoring.lm_scores(frame(spark, rows)).collect()}
+        one, _, _ = brute.lm_counts(rows)
+        for i, t in rows:
+            assert scored[i].n_known == sum(one[w] > 0 for w in brute.lm_tokens(t))
+            assert math.isclose(scored[i].base_score, brute.base_score(t, one), rel_tol=1e-9)
+        near = {r.doc_id: r.class_id for r in bag_minhash.near_dedup(frame(spark, rows)).collect()}
+        assert near == {1: 1, 2: 2, 3: 1, 7: 7}
+
+
+def test_texts_under_one_id_are_told_apart(spark):
+    rows = [(None, "a b c d e f g"), (None, "p q r s t u v"), (None, "a b c d e f g"), (5, "p q r s t u v"), (5, "h i j k l m"), (9, "h i j k l m")]
+    got = sorted((str(r.doc_id), str(r.class_id), r.class_size, r.kept) for r in bag_minhash.near_dedup(frame(spark, rows)).collect())
+    assert got == sorted(
+        [("None", "None", 2, True), ("None", "None", 2, True), ("None", "None", 2, True), ("5", "None", 2, False), ("5", "5", 2, True), ("9", "5", 2, False)]
+    )
+
+
+def test_exchange_in_two_levels(spark, monkeypatch):
+    """With few ranges a level, blocks ask by way of units; results don't change."""
+    from pixelloom.llm import blocks, line_dedup
+
+    rows = docs(spark)[:120]
+    df = frame(spark, rows)
+
+    def results():
+        lines = sorted((r.doc_id, r.text, r.n_dropped) for r in line_dedup.line_dedup(df, block_bytes=8_000).collect())
+        scores = sorted((r.doc_id, r.n_known, r.train_tokens, round(r.score, 6)) for r in lm_scoring.lm_scores(df, block_bytes=8_000).collect())
+        cuts = sorted((r.doc_id, r.n_removed, r.kept_sha256) for r in repeats.repeated_substrings(df, block_bytes=8_000).collect())
+        return lines, scores, cuts
+
+    plain = results()
+    monkeypatch.setattr(blocks, "FAN_BITS", 3)
+    assert results() == plain
+
+
+def test_words_of_one_hash_are_told_apart(monkeypatch):
+    """Where two words of a block share a hash, their bytes decide."""
+    data = np.frombuffer(b"aa bb aa a-word-of-twenty-bytes another-long-one-of-21 bb", np.uint8)
+    s, e, _ = tn.words(data, np.array([0, len(data)]))
+    monkeypatch.setattr(tn, "mix", lambda x: x * np.uint64(0))
+    number, first = tn.interned(data, s, e)
+    texts = [data[a:b].tobytes() for a, b in zip(s, e)]
+    assert [texts[first[n]] for n in number] == texts and len(first) == 4
+
+
+def test_keys_of_one_hash_are_told_apart_by_proofs():
+    from pixelloom.llm import blocks
+
+    keys, proof = np.array([5, 5, 7, 5], np.uint64), np.array([2, 1, 0, 2], np.uint64)
+    k, p, where = blocks.same_keys(keys, proof)
+    assert (k.tolist(), p.tolist(), where.tolist()) == ([5, 5, 7], [1, 2, 0], [1, 0, 2, 1])
+
+
+def test_expectation_maximisation_on_bins_is_close_to_exact(spark):
+    """Weights learned from every deleted count itself, without bins, score the corpus alike."""
+    rows = docs(spark)
+    one, two, context = brute.lm_counts(rows)
+    total, types = sum(one.values()), len(one)
+    events = []
+    for i, t in rows:
+        if not brute.held_out(i):
+            seq = brute.lm_tokens(t)
+            for before, word in zip(["<start>", *seq[:-1]], seq):
+                c = context[before] - 1
+                events.append((c.bit_length(), (two[before, word] - 1) / c if c else 0.0, (one[word] - 1) / (total - 1)))
+    bucket, p2, p1 = (np.array(x) for x in zip(*events))
+    p = np.stack([p2, p1, np.full(len(p1), 1 / (types + 1))], 1)
+    w = np.tile([0.4, 0.5, 0.1], (lm_scoring.BUCKETS, 1))
+    for _ in range(400):
+        share = w[bucket] * p
+        share /= share.sum(1, keepdims=True)
+        sums = np.stack([np.bincount(bucket, share[:, j], lm_scoring.BUCKETS) for j in range(3)], 1)
+        seen = sums.sum(1) > 0
+        w[seen] = sums[seen] / sums[seen].sum(1, keepdims=True)
+    w[:, 2] = np.maximum(w[:, 2], 1e-6)
+    got = {r.doc_id: r.score for r in lm_scoring.lm_scores(frame(spark, rows)).collect()}
+    mine, exact, n = 0.0, 0.0, 0
+    for i, t in rows:
+        seq = brute.lm_tokens(t)
+        for before, word in zip(["<start>", *seq[:-1]], seq):
+            c = context[before]
+            l2, l1, l0 = w[c.bit_length()] / w[c.bit_length()].sum()
+            exact += math.log10(l2 * (two[before, word] / c if c else 0) + l1 * one[word] / total + l0 / (types + 1))
+        mine += got[i]
+        n += len(seq)
+    assert abs(mine - exact) / n < 0.002
