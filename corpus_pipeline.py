@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pixelloom.llm import bag_minhash, blocks, line_dedup, mixing, packing, quality
-from pixelloom.llm.common import stage, words_of
+from pixelloom.llm.common import spread, stage, words_of
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,7 +57,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of ``sf_dir``: the places of the last one's pieces, whose ids are in its files."""
     blocks.bound_batches(spark)
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     for k, (_, step) in enumerate(STAGES):
         docs = stage(step(spark, docs, sf_dir), f"stage-{k}")
     return docs.select(*packing.PLACES)

@@ -9,7 +9,10 @@ level at which they fill up (cap / weight), prefix sums of caps and suffix sums
 weights give the level for every possible set of full sources at once.
 
 Defined results: null text has size 0; the null source is one source, ordered
-last; a source without words has target 0; an empty table gives none.
+last; a source without words has target 0; rows of equal id share a coin, so their copies
+agree; rows without an id have coins by their text's digest, so they don't move a source together;
+a text of any length is counted whole; other columns, whatever their names, are passed on by ``mix``
+and not read by ``mixing_plan``; an empty table gives none.
 """
 
 from __future__ import annotations
@@ -54,11 +57,16 @@ def allocate(sources: DataFrame, weights=WEIGHTS, share: float = TOTAL_SHARE, mo
 
 
 def coin(key: Column, seed: int) -> Column:
-    """A number in [0, 1) fixed by the key and the seed: 32 bits of an MD5."""
-    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(key.cast("string"), F.lit(""))))
+    """A number in [0, 1) fixed by the key, a string, and the seed: 32 bits of an MD5."""
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), key))
     return F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") / F.lit(4294967296.0)
 
 
+def coin_key(key: Column, text: Column) -> Column:
+    """What a row's coin hangs on: its id, or else its text's digest."""
+    return F.coalesce(key.cast("string"), F.concat(F.lit("text "), F.sha2(F.coalesce(text, F.lit("")), 256)))
+
+
 def copies(rate: Column, key: Column, seed: int) -> Column:
     return (F.floor(rate) + (coin(key, seed) < rate - F.floor(rate)).cast("long")).cast("long")
 
@@ -79,7 +87,12 @@ def mixing_plan(
 ) -> DataFrame:
     """Per document: its size, its source's size and target, and the words the mix takes of it."""
     sized = stage(
-        df.select(F.col(f"`{key}`").alias("doc_id"), F.col(f"`{source}`").alias("source"), word_count(F.col(f"`{text}`")).alias("size")),
+        df.select(
+            F.col(f"`{key}`").alias("doc_id"),
+            F.col(f"`{source}`").alias("source"),
+            word_count(F.col(f"`{text}`")).alias("size"),
+            coin_key(F.col(f"`{key}`"), F.col(f"`{text}`")).alias("coin_key"),
+        ),
         "sizes",
     )
     planned = with_rates(sized, **options)
@@ -88,7 +101,7 @@ def mixing_plan(
         "size",
         "source_size",
         "target",
-        (F.col("size") * copies(F.col("rate"), F.col("doc_id"), seed)).alias("taken"),
+        (F.col("size") * copies(F.col("rate"), F.col("coin_key"), seed)).alias("taken"),
     )
 
 
@@ -97,10 +110,13 @@ def mix(df: DataFrame, *, key: str = "doc_id", text: str = "text", source: str =
     total = df.groupBy(F.col(f"`{source}`").alias("source")).agg(
         F.coalesce(F.sum(word_count(F.col(f"`{text}`"))), F.lit(0)).alias("source_size")
     )
-    rates = stage(allocate(total, **options), "rates").select(F.col("source").alias("__source"), F.col("rate").alias("__rate"))
+    rates = stage(allocate(total, **options), "rates").select(F.col("source").alias("of"), "rate")
     if rates.count() <= BROADCAST_SOURCES:
         rates = F.broadcast(rates)
-    joined = df.join(rates, df[f"`{source}`"].eqNullSafe(rates["__source"]))
-    times = copies(F.col("__rate"), F.col(f"`{key}`"), seed).cast("int")
+    boxed = df.select(
+        F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"), F.col(f"`{source}`").alias("source"), coin_key(F.col(f"`{key}`"), F.col(f"`{text}`")).alias("coin_key")
+    )
+    joined = boxed.join(rates, F.col("source").eqNullSafe(F.col("of")))
+    times = copies(F.col("rate"), F.col("coin_key"), seed).cast("int")
     # array_repeat of a constant, exploded: one row per copy, none where the mix takes none.
-    return joined.withColumn("__copy", F.explode(F.array_repeat(F.lit(True), times))).select(*(F.col(f"`{c}`") for c in df.columns))
+    return joined.select("row", F.explode(F.array_repeat(F.lit(True), times))).select(*(F.col("row")[c].alias(c) for c in df.columns))

@@ -5,11 +5,14 @@ histogram has at most ``capacity`` rows, so best fit decreasing runs over counts
 the driver in time that doesn't depend on the number of documents. Its plan is a
 list of slot runs, "the pieces of length L and rank r in [a, b) lie at offset o of
 sequences s, s+1, ...". Pieces find their slot by joining on their rank within length.
-Ranks are counted within (length, salt) and shifted by prefix counts, so a length
-that a third of all pieces share is ranked by many tasks.
-
-Defined results: null text is empty, so one end id; repeated rows are packed each;
-an empty table gives none.
+Pieces of a whole sequence are numbered where they are made and need no plan. The
+others are ranked within (length, salt) and shifted by prefix counts; a length has a salt
+for every ``SALTED`` pieces or more, so one that a third of all pieces share is ranked by many tasks.
+
+Defined results: null text is empty, so one end id; a null id sorts first; repeated rows
+are packed each, and pieces that tie in id and number are ranked by their ids' CRC, equal
+ones in any order; a text of any length is encoded whole; other columns, whatever their
+names, are not read; an empty table gives none.
 """
 
 from __future__ import annotations
@@ -24,7 +27,10 @@ from pixelloom.llm.common import stage
 from pixelloom.llm.tokens import encoder, text_slices, tokenizer_path
 
 CAPACITY = 1024
-SALTS = 64
+#: Pieces of a length for which it gets one more salt, and most salts of all lengths together.
+SALTED, MOST_SALTS = 50_000, 50_000
+#: Numbers of sequences that one piece fills begin here.
+FULL = 1 << 62
 #: What the queries return of a packed piece: its ids as their CRC-32.
 PLACES = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
 
@@ -37,22 +43,29 @@ def cut_points(n: int, capacity: int) -> list[tuple[int, int]]:
 
 
 def token_pieces(df: DataFrame, *, key: str = "doc_id", text: str = "text", path: str | None = None, capacity: int = CAPACITY) -> DataFrame:
-    """Encode ``df`` and cut it: (doc_id, piece, start, length, ids), ids as little-endian uint32."""
+    """Encode ``df`` and cut it: (doc_id, piece, start, length, full, ids), ids as little-endian uint32.
+
+    ``full`` is the number of a sequence of its own for a piece of ``capacity`` ids, else null."""
     path = path or tokenizer_path()
 
     def encode(batches):
+        from pyspark import TaskContext
+
+        number = FULL + (TaskContext.get().partitionId() << 36)
         for batch in batches:
             for ids, texts in text_slices(batch):
                 rows = []
                 for i, x in zip(ids.to_pylist(), encoder(path).encode(texts)):
-                    rows += [(i, p, s, n, x[s : s + n].tobytes()) for p, (s, n) in enumerate(cut_points(len(x), capacity))]
+                    for p, (s, n) in enumerate(cut_points(len(x), capacity)):
+                        rows.append((i, p, s, n, number if n == capacity else None, x[s : s + n].tobytes()))
+                        number += n == capacity
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()))],
-                    ["doc_id", "piece", "start", "length", "ids"],
+                    [pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()))],
+                    ["doc_id", "piece", "start", "length", "full", "ids"],
                 )
 
     return df.select(F.col(f"`{key}`").cast("long"), F.col(f"`{text}`")).mapInArrow(
-        encode, "doc_id long, piece int, start long, length long, ids binary"
+        encode, "doc_id long, piece int, start long, length long, full long, ids binary"
     )
 
 
@@ -109,19 +122,22 @@ def plan_best_fit(counts: dict[int, int], capacity: int = CAPACITY) -> list[tupl
     return slots
 
 
-def ranked_by(df: DataFrame, column: str, order: list[str], salts: int = SALTS) -> DataFrame:
-    """``df`` with ``rank``, 0.. within each value of ``column``, without a task per value."""
-    salted = df.withColumn("__salt", F.pmod(F.xxhash64(*order), F.lit(salts)).cast("int"))
+def ranked_by(df: DataFrame, column: str, order: list[str], counts: dict[int, int]) -> DataFrame:
+    """``df`` with ``rank``, 0.. within each value of ``column``, without a task per value; ``counts`` has the rows of each."""
+    each = max(SALTED, sum(counts.values()) // MOST_SALTS)
+    salts = df.sparkSession.createDataFrame([(int(v), -(-n // each)) for v, n in counts.items()], "__value long, __salts int")
+    # A row for each value, of which there are at most as many as lengths.
+    salted = df.join(F.broadcast(salts), F.col(column) == F.col("__value")).withColumn("__salt", F.pmod(F.xxhash64(*order), F.col("__salts")).cast("int"))
     sizes = salted.groupBy(column, "__salt").agg(F.count(F.lit(1)).alias("__n"))
     before = Window.partitionBy(column).orderBy("__salt").rowsBetween(Window.unboundedPreceding, -1)
     shifts = sizes.select(column, "__salt", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__shift"))
     within = Window.partitionBy(column, "__salt").orderBy(*order)
-    # At most capacity x salts rows of 20 bytes, whatever the input: some 1.3 MB.
+    # At most MOST_SALTS and a row for each value, whatever the input: some 1.5 MB.
     return (
         salted.withColumn("__rank", F.row_number().over(within) - 1)
         .join(F.broadcast(shifts), [column, "__salt"])
         .withColumn("rank", F.col("__rank") + F.col("__shift"))
-        .drop("__salt", "__rank", "__shift")
+        .drop("__value", "__salts", "__salt", "__rank", "__shift")
     )
 
 
@@ -140,7 +156,7 @@ def place(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         else [tuple(map(int, s)) for s in slots],
         "slot_length long, first_rank long, number long, first_sequence long, offset long",
     )
-    ranked = ranked_by(pieces, "length", ["doc_id", "piece", "tie"])
+    ranked = ranked_by(pieces, "length", ["doc_id", "piece", "tie"], histogram)
     hit = (
         (F.col("length") == F.col("slot_length"))
         & (F.col("rank") >= F.col("first_rank"))
@@ -155,8 +171,10 @@ def pack(df: DataFrame, *, key: str = "doc_id", text: str = "text", path: str |
     """Pack every document: a row per piece with its ids, their CRC-32 and its place."""
     pieces = stage(token_pieces(df, key=key, text=text, path=path, capacity=capacity), "pieces")
     # Ties are ranked by a CRC; what is returned is taken from the ids that arrived.
-    placed = place(pieces.withColumn("tie", F.crc32("ids")), capacity)
-    return placed.withColumn("ids_crc32", F.crc32("ids")).select(*PLACES, "ids")
+    placed = place(pieces.where("full is null").drop("full").withColumn("tie", F.crc32("ids")), capacity)
+    whole = pieces.where("full is not null").withColumns({"sequence_id": F.col("full"), "offset": F.lit(0).cast("long")})
+    columns = ["doc_id", "piece", "start", "length", "ids", "sequence_id", "offset"]
+    return placed.select(*columns).unionByName(whole.select(*columns)).withColumn("ids_crc32", F.crc32("ids")).select(*PLACES, "ids")
 
 
 def sequences(packed: DataFrame) -> DataFrame:

@@ -50,8 +50,8 @@ RULES = (
 def repeated_window_words(words: Column, window: int = WINDOW) -> Column:
     """Words lying in a window that the text holds at least twice, each counted once.
 
-    Windows are compared by a 64-bit hash of their words. Texts without a repeat,
-    the usual case, leave after one distinct count.
+    Texts whose windows have distinct 64-bit hashes, the usual case, have no repeat and
+    leave after one distinct count. In the others windows are compared by their words.
     """
 
     def covered(starts: Column) -> Column:
@@ -68,18 +68,14 @@ def repeated_window_words(words: Column, window: int = WINDOW) -> Column:
         )
         return F.sort_array(F.transform(twins, lambda x: x["i"]))
 
-    def repeats(hashes: Column) -> Column:
-        tagged = F.array_sort(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-        return F.when(F.size(F.array_distinct(hashes)) == F.size(hashes), F.lit(0).cast("long")).otherwise(
-            let(tagged, lambda t: let(starts_of(t), covered))
-        )
-
     def of(w: Column) -> Column:
-        hashes = F.transform(
-            F.slice(w, F.lit(1), F.size(w) - (window - 1)),
-            lambda x, i: F.xxhash64(x, *(F.get(w, i + j) for j in range(1, window))),
-        )
-        return F.when(F.size(w) < window + 1, F.lit(0).cast("long")).otherwise(let(hashes, repeats))
+        starts = F.slice(w, F.lit(1), F.size(w) - (window - 1))
+        hashes = F.transform(starts, lambda x, i: F.xxhash64(x, *(F.get(w, i + j) for j in range(1, window))))
+        # Words hold no spaces, so joined words are the window itself.
+        exact = F.array_sort(F.transform(starts, lambda x, i: F.struct(F.concat_ws(" ", x, *(F.get(w, i + j) for j in range(1, window))).alias("h"), i.alias("i"))))
+        some = let(exact, lambda t: let(starts_of(t), covered))
+        none = F.lit(0).cast("long")
+        return F.when(F.size(w) < window + 1, none).otherwise(let(hashes, lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), none).otherwise(some)))
 
     return let(words, of)
 

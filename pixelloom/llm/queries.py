@@ -7,14 +7,14 @@ from pyspark.sql import functions as F
 
 from pixelloom.llm import bag_minhash, chat, exact_dedup, line_dedup, lm_scoring, mixing, packing, quality, repeats, token_store
 from pixelloom.llm.blocks import bound_batches
-from pixelloom.llm.common import table
+from pixelloom.llm.common import spread, table
 from pixelloom.llm.sql import ORACLE  # noqa: F401
 
 
 def docs_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     # Python workers get bounded batches, whatever the length of texts.
     bound_batches(spark)
-    return table(spark, sf_dir, "documents")
+    return spread(table(spark, sf_dir, "documents"))
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

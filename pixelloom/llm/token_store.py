@@ -13,7 +13,9 @@ zstd over little-endian ids of 2 or 4 bytes, is there on one row per address.
 ``recipes`` has (doc_id, start, n_tokens, merkle_root, addresses).
 
 Defined results: null text is empty and holds the end id alone; rows that repeat a
-doc_id are documents of their own; a null id sorts first; no rows give no rows.
+doc_id are documents of their own, in any order among themselves; a null id sorts first; a
+text of any length is encoded whole; other columns, whatever their names, are not read; no
+rows give no rows.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pixelloom.llm.common import fresh_path
+from pixelloom.llm.common import even_join, fresh_path, stage
 from pixelloom.llm.tokens import encoder, text_slices, tokenizer_path
 
 ROLL, MASK_BITS, LEAST, MOST = 16, 10, 128, 8192
@@ -112,7 +114,9 @@ def chunked(df: DataFrame, key: str, text: str, path: str) -> DataFrame:
 def write_store(df: DataFrame, root: str, *, key: str = "doc_id", text: str = "text", path: str | None = None) -> None:
     """Encode ``df`` into a store under ``root``."""
     spark = df.sparkSession
-    first = Window.partitionBy("address").orderBy(F.col("payload").isNull(), "doc_id", "row", "seq")
+    # Entries that came without a payload are spread, so a popular address gathers a row per task at most.
+    spread = F.when(F.col("payload").isNull(), F.xxhash64("row", "seq"))
+    first = Window.partitionBy("address", spread).orderBy("doc_id", "row", "seq")
     (
         chunked(df, key, text, path or tokenizer_path())
         .withColumn("payload", F.when(F.row_number().over(first) == 1, F.col("payload")))
@@ -234,9 +238,10 @@ def read_store(spark: SparkSession, root: str) -> DataFrame:
     sound = merkle_root(F.col("addresses")).eqNullSafe(F.col("merkle_root"))
     recipes = recipes.where(insist(sound, "its Merkle root differs", F.col("doc_id")))
     entries = recipes.select("doc_id", "row", F.posexplode("addresses").alias("seq", "address"))
+    counts = stage(entries.groupBy("address").agg(F.count(F.lit(1)).alias("n")), "addresses")
     missing = F.raise_error(F.concat(F.lit("chunk "), F.hex("address"), F.lit(" is missing"))).cast("int")
     parts = (
-        entries.join(stored_chunks(spark, root), "address", "left")
+        even_join(entries, stage(stored_chunks(spark, root), "stored"), "address", counts)
         .withColumn("chunk_n", F.when(F.col("chunk_n").isNull(), missing).otherwise(F.col("chunk_n")))
         .groupBy("doc_id", "row")
         .agg(F.sort_array(F.collect_list(F.struct("seq", "chunk_n", "crc"))).alias("p"))
