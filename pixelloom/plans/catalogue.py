@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pixelloom.plans import codec_queries, filter_queries, pixel_queries, svg_queries  # noqa: F401
+from pixelloom.plans import codec_queries, filter_queries, pixel_queries, svg_queries, variant_queries  # noqa: F401
 from pixelloom.plans.registry import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES", "entry"]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import struct
 from dataclasses import dataclass, field
+from functools import lru_cache
 from math import cos, pi, sqrt
 
 import numpy as np
@@ -85,6 +86,38 @@ def huffman(counts: bytes, symbols: bytes) -> list[int]:
     return table
 
 
+def row(first: int) -> list[int]:
+    """Symbols of a run length with sizes up to 10, where codes are 16 bits long."""
+    return list(range(first, (first & 0xF0) + 11))
+
+
+#: Codes of each length, and symbols, of the standard's tables, which stand in for tables a file leaves out: fixed values.
+DC_COUNTS = (0, 1, 5, 1, 1, 1, 1, 1, 1, 0, 0, 0, 0, 0, 0, 0)
+DC_COLOR_COUNTS = (0, 3, 1, 1, 1, 1, 1, 1, 1, 1, 1, 0, 0, 0, 0, 0)
+AC_COUNTS = (0, 2, 1, 3, 3, 2, 4, 3, 5, 5, 4, 4, 0, 0, 1, 125)
+AC_COLOR_COUNTS = (0, 2, 1, 2, 4, 4, 3, 4, 7, 5, 4, 4, 0, 1, 2, 119)
+AC_SYMBOLS = [
+    0x01, 0x02, 0x03, 0x00, 0x04, 0x11, 0x05, 0x12, 0x21, 0x31, 0x41, 0x06, 0x13, 0x51, 0x61, 0x07, 0x22, 0x71, 0x14, 0x32, 0x81, 0x91, 0xA1, 0x08,
+    0x23, 0x42, 0xB1, 0xC1, 0x15, 0x52, 0xD1, 0xF0, 0x24, 0x33, 0x62, 0x72, 0x82,
+    *row(0x09), *row(0x16), *row(0x25), *row(0x34), *row(0x43), *row(0x53), *row(0x63), *row(0x73), *row(0x83), *row(0x92), *row(0xA2), *row(0xB2),
+    *row(0xC2), *row(0xD2), *row(0xE1), *row(0xF1),
+]
+AC_COLOR_SYMBOLS = [
+    0x00, 0x01, 0x02, 0x03, 0x11, 0x04, 0x05, 0x21, 0x31, 0x06, 0x12, 0x41, 0x51, 0x07, 0x61, 0x71, 0x13, 0x22, 0x32, 0x81, 0x08, 0x14, 0x42, 0x91,
+    0xA1, 0xB1, 0xC1, 0x09, 0x23, 0x33, 0x52, 0xF0, 0x15, 0x62, 0x72, 0xD1, 0x0A, 0x16, 0x24, 0x34, 0xE1, 0x25, 0xF1,
+    *row(0x17), *row(0x26), *row(0x35), *row(0x43), *row(0x53), *row(0x63), *row(0x73), *row(0x82), *row(0x92), *row(0xA2), *row(0xB2), *row(0xC2),
+    *row(0xD2), *row(0xE2), *row(0xF2),
+]
+
+
+@lru_cache(maxsize=1)
+def standard_tables() -> dict[int, list[int]]:
+    """The standard's tables by class and number."""
+    plain = range(12)
+    given = {0: (DC_COUNTS, plain), 1: (DC_COLOR_COUNTS, plain), 16: (AC_COUNTS, AC_SYMBOLS), 17: (AC_COLOR_COUNTS, AC_COLOR_SYMBOLS)}
+    return {number: huffman(bytes(counts), bytes(symbols)) for number, (counts, symbols) in given.items()}
+
+
 @dataclass
 class State:
     width: int = 0
@@ -322,6 +355,7 @@ def decode(data: bytes) -> Image:
         elif mark == 0xDA:
             need(s.parts, "missing SOF")
             parts, at = segments(data, at)
+            s.tables = standard_tables() | s.tables
             scan(s, body, parts)
             scans += 1
             if not s.progressive:

@@ -189,3 +189,148 @@ def tiff(pages: list[np.ndarray], *, order: str = "<", compression: int = 1, pre
         link = len(out)
         out += b"\0" * 4
     return bytes(out)
+
+
+def bmp_runs(index: np.ndarray, palette: np.ndarray, bits: int) -> bytes:
+    """Indexed pixels in runs of 8 or 4 bits (RLE8, RLE4), rows from below, a line end after each."""
+    h, w = index.shape
+    body = bytearray()
+    for row in index[::-1].tolist():
+        k = 0
+        while k < w:
+            n = 1
+            while k + n < w and n < 255 and row[k + n] == row[k]:
+                n += 1
+            body += bytes([n, row[k] if bits == 8 else row[k] * 17])
+            k += n
+        body += b"\0\0"
+    body += b"\0\1"
+    table = b"".join(bytes([b, g, r, 0]) for r, g, b in palette.tolist())
+    at = 54 + len(table)
+    dib = struct.pack("<IiiHHIIiiII", 40, w, h, 1, bits, 1 if bits == 8 else 2, len(body), 0, 0, len(palette), 0)
+    return b"BM" + struct.pack("<IHHI", at + len(body), 0, 0, at) + dib + table + bytes(body)
+
+
+def tga_mapped(index: np.ndarray, palette: np.ndarray, flags: int = 0x20) -> bytes:
+    """Indexed pixels with a colour map of 24 bits; ``flags`` say which corner comes first."""
+    h, w = index.shape
+    head = struct.pack("<BBBHHBHHHHBB", 0, 1, 1, 0, len(palette), 24, 0, 0, w, h, 8, flags)
+    rows = index if flags & 0x20 else index[::-1]
+    rows = rows[:, ::-1] if flags & 0x10 else rows
+    return head + palette[:, ::-1].astype(np.uint8).tobytes() + rows.astype(np.uint8).tobytes()
+
+
+def tiff_parts(rgb: np.ndarray, *, tile: int = 0, planar: bool = False) -> bytes:
+    """RGB of 8 bits in tiles, or else in strips of a few rows; planes apart if asked for."""
+    h, w = rgb.shape[:2]
+    planes = [rgb[..., k : k + 1] for k in range(3)] if planar else [rgb]
+    parts = []
+    for p in planes:
+        if tile:
+            for y in range(0, h, tile):
+                for x in range(0, w, tile):
+                    cell = np.zeros((tile, tile, p.shape[2]), np.uint8)
+                    cut = p[y : y + tile, x : x + tile]
+                    cell[: cut.shape[0], : cut.shape[1]] = cut
+                    parts.append(cell.tobytes())
+        else:
+            parts += [p[y : y + 7].tobytes() for y in range(0, h, 7)]
+    out = bytearray(b"II" + struct.pack("<HI", 42, 0))
+    offsets = []
+    for raw in parts:
+        offsets.append(len(out))
+        out += raw + b"\0" * (len(raw) % 2)
+    sizes = [len(raw) for raw in parts]
+    entries = [(256, 4, [w]), (257, 4, [h]), (258, 3, [8] * 3), (259, 3, [1]), (262, 3, [2]), (277, 3, [3]), (284, 3, [2 if planar else 1])]
+    entries += [(322, 4, [tile]), (323, 4, [tile]), (324, 4, offsets), (325, 4, sizes)] if tile else [(273, 4, offsets), (278, 4, [7]), (279, 4, sizes)]
+    table = b""
+    for tag, kind, values in sorted(entries):
+        raw = struct.pack(f"<{len(values)}{'H' if kind == 3 else 'I'}", *values)
+        if len(raw) > 4:
+            at = len(out)
+            out += raw + b"\0" * (len(raw) % 2)
+            raw = struct.pack("<I", at)
+        table += struct.pack("<HHI", tag, kind, len(values)) + raw.ljust(4, b"\0")
+    out[4:8] = struct.pack("<I", len(out))
+    return bytes(out) + struct.pack("<H", len(entries)) + table + b"\0" * 4
+
+
+def jpeg_flat(gray: np.ndarray, *, progressive: bool = False, restart: int = 0) -> bytes:
+    """A block of 8 x 8 for every value, exactly; Huffman tables are left out, so the standard's apply."""
+    h, w = gray.shape
+    out = b"\xff\xd8\xff\xdb" + struct.pack(">H", 67) + b"\0" + b"\x08" * 64
+    out += bytes([0xFF, 0xC2 if progressive else 0xC0]) + struct.pack(">HBHHB", 11, 8, 8 * h, 8 * w, 1) + bytes([1, 0x11, 0])
+    if restart:
+        out += b"\xff\xdd" + struct.pack(">HH", 4, restart)
+    out += b"\xff\xda" + struct.pack(">HB", 8, 1) + bytes([1, 0, 0, 0 if progressive else 63, 0])
+    # Codes of the standard's first table for sizes 0 to 8.
+    codes = ("00", "010", "011", "100", "101", "110", "1110", "11110", "111110", "1111110")
+    bits, before, marks = "", 0, 0
+
+    def flushed() -> bytes:
+        raw = bits + "1" * (-len(bits) % 8)
+        return bytes(int(raw[k : k + 8], 2) for k in range(0, len(raw), 8)).replace(b"\xff", b"\xff\0")
+
+    for k, v in enumerate(gray.reshape(-1).astype(int).tolist()):
+        if restart and k and k % restart == 0:
+            out += flushed() + bytes([0xFF, 0xD0 + marks % 8])
+            bits, before, marks = "", 0, marks + 1
+        # A DC of 8 (v - 128) over a divisor of 8.
+        step = v - 128 - before
+        before = v - 128
+        size = abs(step).bit_length()
+        bits += codes[size] + (format(step if step > 0 else step + (1 << size) - 1, f"0{size}b") if size else "")
+        bits += "" if progressive else "1010"
+    return out + flushed() + b"\xff\xd9"
+
+
+def webp_lossless(rgba: np.ndarray, *, less_green: bool = False) -> bytes:
+    """Literal pixels under codes of eight bits, after the green channel is taken off if asked for."""
+    from pixelloom.sources.codecs.webp import LENGTH_ORDER
+
+    h, w = rgba.shape[:2]
+    bits: list[int] = []
+
+    def put(v: int, n: int) -> None:
+        bits.extend(v >> k & 1 for k in range(n))
+
+    def lengths(size: int) -> None:
+        put(0, 1)
+        put(15, 4)
+        for k in LENGTH_ORDER:
+            put(4 if k < 16 else 0, 3)
+        put(0, 1)
+        for k in range(size):
+            n = 8 if k < 256 else 0
+            bits.extend(n >> j & 1 for j in reversed(range(4)))
+
+    put(w - 1, 14)
+    put(h - 1, 14)
+    put(1, 1)
+    put(0, 3)
+    if less_green:
+        put(1, 1)
+        put(2, 2)
+    put(0, 3)  # no more transforms, no cache, one group of codes
+    for size in (280, 256, 256, 256):
+        lengths(size)
+    put(0b101, 3)  # a single distance symbol, in eight bits
+    put(0, 8)
+    px = rgba.astype(int)
+    if less_green:
+        px[..., 0], px[..., 2] = (px[..., 0] - px[..., 1]) & 255, (px[..., 2] - px[..., 1]) & 255
+    for r, g, b, a in px.reshape(-1, 4).tolist():
+        for v in (g, r, b, a):
+            bits.extend(v >> k & 1 for k in reversed(range(8)))
+    body = b"\x2f" + np.packbits(bits + [0] * (-len(bits) % 8), bitorder="little").tobytes()
+    chunk = b"VP8L" + struct.pack("<I", len(body)) + body + b"\0" * (len(body) % 2)
+    return b"RIFF" + struct.pack("<I", 4 + len(chunk)) + b"WEBP" + chunk
+
+
+def zlib_static(data: bytes) -> bytes:
+    """A zlib stream of one block of literals in the fixed code."""
+    # Header: last block, fixed codes.
+    codes = [format(0x30 + v, "08b") if v < 144 else format(0x190 + v - 144, "09b") for v in range(256)]
+    bits = "110" + "".join(codes[v] for v in data) + "0000000"
+    raw = np.packbits(np.frombuffer(bits.encode(), np.uint8) - 48, bitorder="little").tobytes()
+    return b"\x78\x01" + raw + struct.pack(">I", zlib.adler32(data))

@@ -90,13 +90,15 @@ def svg_timeline(df: DataFrame) -> DataFrame:
     return every.groupBy("path").agg(F.when(stop > 0.05, stop).otherwise(2.0).alias("duration_s"), F.bool_or(endless).alias("indefinite"))
 
 
-def svg_frames(df: DataFrame, *, fps: float = 30.0, most_s: float = 60.0, **options) -> DataFrame:
+def svg_frames(df: DataFrame, *, fps: float = 30.0, most_s: float | None = None, **options) -> DataFrame:
     """(path, t, width, height, rgba, error): documents drawn at every sample time of their timeline.
 
-    A row is a (document, time) pair, so an animation is drawn by many tasks.
+    A row is a (document, time) pair, so an animation is drawn by many tasks. An endless
+    timeline is drawn once through; ``most_s`` ends longer ones early, and none does by default.
     """
     lengths = svg_timeline(df)
-    steps = F.floor(F.least(F.col("duration_s"), F.lit(most_s)) * fps).cast("int")
+    shown = F.col("duration_s") if most_s is None else F.least(F.col("duration_s"), F.lit(most_s))
+    steps = F.floor(shown * fps).cast("int")
     times = lengths.select("path", F.explode(F.sequence(F.lit(0), steps)).alias("k"))
     jobs = df.select("path", "content").join(times, "path").select("path", (F.col("k") / fps).alias("t"), "content")
 

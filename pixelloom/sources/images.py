@@ -64,6 +64,24 @@ def format_of(content: Column) -> Column:
     )
 
 
+#: Endings of file names by format.
+ENDINGS = {"jpg": "jpeg", "tif": "tiff"} | {n: n for n in ("svg", "png", "jpeg", "gif", "bmp", "tiff", "tga", "webp", "pdf", "ico", "cur")}
+
+
+def format_of_name(path: Column) -> Column:
+    """The format that a file's ending names, in any case; null if it names none."""
+    pairs = F.create_map(*(F.lit(x) for pair in sorted(ENDINGS.items()) for x in pair))
+    return F.try_element_at(pairs, F.lower(F.regexp_extract(path, r"\.([^./]*)$", 1)))
+
+
+#: Names of compression numbers in BMP headers, from 0.
+BMP_COMPRESSIONS = ("RGB", "RLE8", "RLE4", "BITFIELDS", "JPEG", "PNG", "ALPHABITFIELDS")
+
+
+def bmp_compression_name(number: Column) -> Column:
+    return F.coalesce(F.get(F.array(*(F.lit(n) for n in BMP_COMPRESSIONS)), number.cast("int")), F.lit("UNKNOWN"))
+
+
 def with_format(df: DataFrame, content: str = "content") -> DataFrame:
     """``df`` with ``format``, and an ``error`` for files that need no decoder to be refused."""
     known = format_of(F.col(content))
