@@ -13,9 +13,9 @@ Texts whose registers agree in a whole band become a group, groups become classe
 the threshold, whatever the size of a group. A compared pair first has all its registers
 counted: one at 0.8 agrees in fewer than 0.8 - 6 standard deviations of them with
 probability 1e-9, so only pairs above that fetch their texts, which are verified by their
-words. Byte-equal texts are one node from the start. Members of groups that rounds of
-draws leave open meet by their rarest shingles (``rare_elements``), so a large family
-just below the threshold makes few rows.
+words. Byte-equal texts are one node from the start. Large groups that rounds of
+draws leave open are settled in blocks by matrix products (``links_of_families``), so a large
+family just below the threshold makes few rows; its work still follows the square of its size.
 
 With 32 bands of 7 registers a pair at similarity 0.8 shares a band with probability
 1 - (1 - 0.8^7)^32 = 0.9995, and one at 0.2, such as two short texts with the same
@@ -34,7 +34,6 @@ A null id is held as the smallest 64-bit number, so a row with that id counts as
 
 from __future__ import annotations
 
-import math
 import re
 from collections import Counter
 from collections.abc import Callable
@@ -46,14 +45,13 @@ from pyspark.sql import functions as F
 
 from pixelloom.llm import textnum as tn
 from pixelloom.llm.common import digest_of, even_join, sift, stage
-from pixelloom.llm.linking import link
+from pixelloom.llm.linking import components, link
 
 BANDS, ROWS = 32, 7
 SIZE, THRESHOLD = 5, 0.8
 KEY_BITS = 44
-#: Cells in which holders of elements are counted, dealt in slices.
-CELL_BITS = 20
-CELLS, SLICES = 1 << CELL_BITS, 256
+#: Texts in a block of a family.
+BLOCK = 128
 NULL_ID = -(1 << 63)
 
 
@@ -224,60 +222,65 @@ def verified(pairs: DataFrame, texts_of: Callable[[DataFrame], DataFrame], size:
     return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
-def elements(bag: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    """A bag as a set: a shingle held c times is c elements, (shingle, 0) to (shingle, c - 1)."""
-    keys, counts = bag
-    turn = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-    return tn.mix(np.repeat(keys, counts) * np.uint64(3) + turn.astype(np.uint64))
+def links_of_families(left: DataFrame, texts: DataFrame, size: int = SIZE, threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
+    """Links (a, b) between the classes of ``left`` (grp, node, comp) that have any, for groups too large for pairs.
 
-
-def rare_elements(held: DataFrame, size: int = SIZE, threshold: float = THRESHOLD) -> DataFrame:
-    """(key, node, comp) for ``held`` (node, comp, text): two texts at the threshold share a key.
-
-    Elements are ordered by how many of the texts hold them, rare ones first. Of n elements the first
-    n - ceil(threshold n) + 1 are a text's prefix, and two texts at the threshold share one in their
-    prefixes. Any order does, so holders are counted in ``CELLS`` cells, 4 MB whatever the input;
-    a cell is never too low, and an element in a cell of one is held once and needs no row.
+    A link is a pair that shares a group and overlaps by ``threshold``, as it is in small groups; its words
+    decide in the end. Groups that share members are a family. A family's nodes are dealt to blocks by a
+    hash, and a job compares two blocks by products of their shingle incidence matrices,
+    exactly, and tells one link for each pair of classes. So no pair is a row, and a
+    job's size is fixed; a node goes to as many jobs as its family has blocks.
     """
+    leads = left.groupBy("grp").agg(F.min("node").alias("lead"))
+    edges = left.join(leads, "grp").select(F.col("node").alias("a"), F.col("lead").alias("b")).distinct()
+    families = stage(components(edges), "families").withColumnRenamed("comp", "fam")
+    nodes = left.groupBy("node", "comp").agg(F.collect_set("grp").alias("grps")).join(families, "node")
+    blocks = nodes.groupBy("fam").agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).cast("int").alias("blocks"))
+    placed = nodes.join(blocks, "fam").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).join(texts, "node")
+    jobs = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
+        "fam", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "comp", "block", "text", "grps"
+    )
 
-    held = held.select("node", "comp", "text")
-
-    def sums(batches):
-        cells = np.zeros(CELLS, np.uint32)
-        for batch in batches:
-            for part in tn.parts_of(batch, 2):
-                for bag in full_bags(part.column(2), size):
-                    np.add.at(cells, (elements(bag) >> np.uint64(64 - CELL_BITS)).astype(np.int64), 1)
-        slices = cells.reshape(SLICES, -1)
-        on = np.flatnonzero(slices.any(1))
-        yield pa.RecordBatch.from_arrays([pa.array(on, pa.int64()), pa.array([slices[k].tobytes() for k in on], pa.binary())], ["slice", "cells"])
-
-    def added(table: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(x.as_buffer(), np.uint32).astype(np.uint64) for x in table.column("cells"))
-        total = np.minimum(total, 0xFFFFFFFF).astype(np.uint32)
-        return pa.table({"slice": table.column("slice")[:1], "cells": pa.array([total.tobytes()], pa.binary())})
-
-    counted = np.zeros((SLICES, CELLS // SLICES), np.uint32)
-    # At most SLICES rows of 16 KB, whatever the input.
-    for row in held.mapInArrow(sums, "slice long, cells binary").groupBy("slice").applyInArrow(added, "slice long, cells binary").collect():
-        counted[row["slice"]] = np.frombuffer(row["cells"], np.uint32)
-    counted = counted.reshape(-1)
-
-    def prefixes(batches):
-        for batch in batches:
-            for part in tn.parts_of(batch, 2):
-                out = []
-                for k, bag in enumerate(full_bags(part.column(2), size)):
-                    mine = elements(bag)
-                    held_by = counted[(mine >> np.uint64(64 - CELL_BITS)).astype(np.int64)]
-                    first = np.lexsort((mine, held_by))[: len(mine) - math.ceil(threshold * len(mine) - 1e-9) + 1]
-                    first = first[held_by[first] > 1]
-                    out.append((np.full(len(first), k), mine[first]))
-                at = pa.array(np.concatenate([o for o, _ in out]))
-                keys = pa.array(np.concatenate([m for _, m in out]).view(np.int64))
-                yield pa.RecordBatch.from_arrays([keys, part.column(0).take(at), part.column(1).take(at)], ["key", "node", "comp"])
-
-    return held.mapInArrow(prefixes, "key long, node long, comp long")
+    def run(table: pa.Table) -> pa.Table:
+        bags = [b for batch in table.combine_chunks().to_batches() for part in tn.parts_of(batch, 6) for b in full_bags(part.column(6), size)]
+        node, comp, own = (table.column(c).to_numpy() for c in ("node", "comp", "block"))
+        n, sizes = len(bags), np.array([int(c.sum()) for _, c in bags])
+        # A shingle that a text holds c times is c elements of a set: (shingle, 0) to (shingle, c - 1).
+        rows = np.repeat(np.arange(n), sizes)
+        keys = np.concatenate([np.repeat(k, c) for k, c in bags]) if n else np.zeros(0, np.uint64)
+        turn = np.concatenate([np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c) for _, c in bags]) if n else keys
+        _, column, count = np.unique(tn.mix(keys * np.uint64(3) + turn.astype(np.uint64)), return_inverse=True, return_counts=True)
+        shared = count[column] > 1
+        rows, column = rows[shared], np.unique(column[shared], return_inverse=True)[1]
+        inner = np.zeros((n, n), np.float32)
+        order = np.argsort(column, kind="stable")
+        rows, column = rows[order], column[order]
+        for start in range(0, int(column.max(initial=-1)) + 1, 4096):
+            a, b = np.searchsorted(column, [start, start + 4096])
+            m = np.zeros((n, 4096), np.float32)
+            m[rows[a:b], column[a:b] - start] = 1
+            inner += m @ m.T
+        alike = inner >= threshold * (sizes[:, None] + sizes[None, :] - inner) - 1e-6
+        alike &= comp[:, None] < comp[None, :]
+        if int(table.column("i")[0].as_py()) != int(table.column("j")[0].as_py()):
+            alike &= own[:, None] != own[None, :]
+        lists = table.column("grps").combine_chunks()
+        member = np.repeat(np.arange(n), np.diff(lists.offsets.to_numpy()))
+        _, group = np.unique(lists.flatten().to_numpy(), return_inverse=True)
+        inside = np.zeros((n, int(group.max(initial=-1)) + 1), np.float32)
+        inside[member, group] = 1
+        alike &= inside @ inside.T > 0
+        x, y = np.nonzero(alike)
+        seen, links, raw = set(), [], table.column("text")
+        for i, j in zip(x.tolist(), y.tolist()):
+            pair = (int(comp[i]), int(comp[j]))
+            if pair not in seen and exactly_alike(raw[i].as_py(), raw[j].as_py(), size, threshold):
+                seen.add(pair)
+                links.append((min(node[i], node[j]), max(node[i], node[j])))
+        a, b = zip(*links) if links else ((), ())
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return jobs.groupBy("fam", "i", "j").applyInArrow(run, "a long, b long")
 
 
 def near_dedup(
@@ -304,13 +307,12 @@ def near_dedup(
     def verify(pairs: DataFrame) -> DataFrame:
         return verified(stage(promising(pairs, registers, threshold), "promising"), texts_of, size, threshold)
 
-    def narrow(now: DataFrame) -> DataFrame:
-        comps = stage(now.select("node", "comp").distinct(), "open-nodes")
-        held = stage(texts_of(comps.select("node")).join(comps, "node"), "open-texts")
-        return rare_elements(held, size, threshold).withColumn("sketch", F.lit(0))
+    def settle(left: DataFrame) -> DataFrame:
+        texts = stage(texts_of(left.select("node").distinct()), "open-texts")
+        return links_of_families(left, texts, size, threshold)
 
-    # One round of draws: rare elements settle what is left, so more draws would only be more rows.
-    labels = link(members, verify, narrow, delegates=(1, 16))
+    # One round of draws: blocks settle what is left of large groups, so more draws would only be more rows.
+    labels = link(members, verify, settle=settle, delegates=(1, 8))
     classes = nodes.select("digest", "least", "node", "n", F.col("bands").isNull().alias("wordless")).join(labels, "node", "left")
     classes = classes.withColumn("comp", F.coalesce("comp", "node"))
     whole = classes.groupBy("comp").agg(F.sum("n").alias("class_size"), F.min(F.struct("least", "digest")).alias("stays"))

@@ -6,9 +6,9 @@ compared with every other one (a star) and classes are joined. Then members outs
 the group's largest class are compared with some of that class, drawn by a hash: 16,
 then 64. A family whose members are alike with some probability collapses so in
 rounds of linear size. What is left, members whose group still holds other classes,
-is dealt to finer keys, of which alike members of a group share one (``narrow``), and
-compared across classes there, so no link between classes is lost and a large group of
-unlike members doesn't meet in pairs. Groups of every size go the same way.
+is compared across classes, so no link between classes is lost: pair by pair, under finer
+keys of which alike members of a group share one (``narrow``), or, in large groups, by
+``settle``. A link is the same thing on either way.
 """
 
 from __future__ import annotations
@@ -26,6 +26,8 @@ from pixelloom.llm.common import discard, stage
 DELEGATES = (1, 16, 64)
 #: Edges that one task contracts, 16 bytes each.
 EDGES_PER_TASK = 1_000_000
+#: Members of a group from which on ``settle`` is asked.
+LARGE = 64
 #: Rounds go on while the pairs left outnumber the members left by this factor.
 PAIRS_PER_MEMBER = 4
 
@@ -96,9 +98,10 @@ def components(links: DataFrame) -> DataFrame:
 def link(
     members: DataFrame,
     verify: Callable[[DataFrame], DataFrame],
-    narrow: Callable[[DataFrame], DataFrame],
+    narrow: Callable[[DataFrame], DataFrame] | None = None,
     sketches: DataFrame | None = None,
     close: Callable[[Column, Column], Column] | None = None,
+    settle: Callable[[DataFrame], DataFrame] | None = None,
     delegates: tuple[int, ...] = DELEGATES,
 ) -> DataFrame:
     """Classes of ``members`` (grp, node): (node, comp) of the nodes that have a verified link.
@@ -107,7 +110,9 @@ def link(
     ``close`` may tell by two sketches, of ``sketches`` (node, sketch), that a pair can't
     be; it is part of the join condition, so such pairs are never rows. ``narrow`` turns
     rows (grp, node, comp, sketch) to rows (key, node, comp, sketch): two alike members of
-    a group share a key. ``verify`` must reject pairs that no group holds.
+    a group share a key; without it they meet by their group. ``settle`` takes what is left of
+    groups of more than ``LARGE`` members, (grp, node, comp), and gives links, by the same rule as
+    ``verify``, that join all their classes that have any.
     """
     if sketches is None:
         sketches, close = members.select("node", F.lit(0).alias("sketch")).distinct(), lambda x, y: F.lit(True)
@@ -115,7 +120,7 @@ def link(
     kept = members.join(sizes, "grp")
     popular = kept.groupBy("node").agg(F.sum("n").alias("pop"))
     left = stage(kept.select("grp", "node").join(popular, "node"), "members")
-    labels, links, tested, done = None, None, None, []
+    labels, links, tested, settled, done = None, None, None, None, []
     for turn in range(len(delegates) + 1):
         if labels is None:
             now = left.withColumn("comp", F.col("node"))
@@ -139,8 +144,15 @@ def link(
         if not total[0]:
             break
         last = turn == len(delegates) or total[1] <= PAIRS_PER_MEMBER * total[0]
+        if last and settle is not None:
+            big = now.where(F.col("n") > LARGE).select("grp", "node", "comp")
+            if not big.isEmpty():
+                settled = stage(settle(big), "settled")
+                links = settled if links is None else links.unionByName(settled)
+            now = now.where(F.col("n") <= LARGE)
         if last:
-            keyed = narrow(now.select("grp", "node", "comp", "sketch"))
+            mine = now.select("grp", "node", "comp", "sketch")
+            keyed = mine.withColumnRenamed("grp", "key") if narrow is None else narrow(mine)
             rest = keyed.select("key", F.col("node").alias("other"), F.col("comp").alias("other_comp"), F.col("sketch").alias("seen"))
             pairs = keyed.join(rest, "key").where(F.col("comp") < F.col("other_comp"))
         elif turn == 0:
@@ -161,11 +173,12 @@ def link(
         done += [pairs, found]
         links = found if links is None else links.unionByName(found)
         tested = pairs if tested is None else tested.unionByName(pairs)
-        if labels is None or not found.isEmpty():
+        if labels is None or settled is not None or not found.isEmpty():
             labels = stage(components(links), "labels")
-        left = now.select("grp", "node", "pop")
         if last:
             break
+        # The star has compared the members of a group of two.
+        left = now.where("n > 2").select("grp", "node", "pop")
     discard(*done)
     if labels is None:
         return members.select("node", F.col("node").alias("comp")).where("false")

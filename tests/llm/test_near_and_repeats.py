@@ -199,8 +199,11 @@ def test_null_ids_repeated_rows_and_long_texts(spark):
     assert {r.n_tokens for r in scored if r.doc_id in (4, 5, 6)} == {1}
 
 
-def test_rare_elements_join_what_is_alike(spark):
-    """Members of large groups meet by rare shingles: every pair at the threshold does, and most others don't."""
+def test_families_in_blocks(spark, monkeypatch):
+    """Everything left over is settled in blocks of few texts; classes stay those of all pairs."""
+    from pixelloom.llm import linking
+
+    monkeypatch.setattr(linking, "LARGE", 1)
     rnd = random.Random(11)
     base = [f"w{rnd.randrange(300)}" for _ in range(120)]
     rows = planted()
@@ -210,18 +213,24 @@ def test_rare_elements_join_what_is_alike(spark):
             w[rnd.randrange(120)] = f"z{rnd.randrange(10**6)}"
         rows.append((1000 + i, " ".join(w)))
     rows += [(2000 + i, " ".join(["again"] * (30 + 6 * i))) for i in range(8)]
-    held = spark.createDataFrame([(i, i, t) for i, t in rows if brute.words(t)], "node long, comp long, text string")
-    by_key = {}
-    for r in bag_minhash.rare_elements(held).collect():
-        by_key.setdefault(r.key, set()).add(r.node)
-    met = {(a, b) for g in by_key.values() for a in g for b in g if a < b}
-    bags = {i: brute.bag(t) for i, t in rows if brute.words(t)}
-    want = {(a, b) for a in bags for b in bags if a < b and brute.similarity(bags[a], bags[b]) >= 0.8}
-    assert want <= met and len(met) < len(bags) ** 2 / 4
+    left = spark.createDataFrame([(7, i, i) for i, t in rows if t], "grp long, node long, comp long")
+    texts = spark.createDataFrame(rows, "node long, text string")
+    links = [(r.a, r.b) for r in bag_minhash.links_of_families(left, texts, block=9).collect()]
+    bags = {i: brute.bag(t) for i, t in rows}
+    want = {(a, b) for a in bags for b in bags if a < b and bags[a] and bags[b] and brute.similarity(bags[a], bags[b]) >= 0.8}
+    assert set(links) == want and len(links) == len(want)
     got = {r.doc_id: r.class_id for r in bag_minhash.near_dedup(frame(spark, rows)).collect()}
     assert got == brute.near_classes(rows)
 
 
+def test_families_link_only_within_groups(spark):
+    """Alike texts of one family that share no group are no link, as in small groups."""
+    rows = [(i, " ".join(f"w{k}" for k in range(60))) for i in range(3)]
+    left = spark.createDataFrame([(7, 0, 0), (7, 1, 1), (8, 1, 1), (8, 2, 2)], "grp long, node long, comp long")
+    links = bag_minhash.links_of_families(left, spark.createDataFrame(rows, "node long, text string"), block=2).collect()
+    assert sorted((r.a, r.b) for r in links) == [(0, 1), (1, 2)]
+
+
 def thue_morse(n):
     return "".join("ab"[k.bit_count() % 2] for k in range(n))
 
