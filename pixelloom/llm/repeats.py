@@ -190,13 +190,17 @@ class Strings:
     """
 
     def __init__(self, ids: np.ndarray, offsets: np.ndarray, data: np.ndarray, shared: np.ndarray):
+        self.data = data
+        if not (shared == 2).any():
+            self.start = self.doc = self.sent = self.lead = np.zeros(0, np.int64)
+            self.hash = np.zeros(0, np.uint64)
+            return
         places, hashes, owner = block_strings(offsets, data)
         keys, where = np.unique(hashes, return_inverse=True)
         hot = shared[where] == 2 if len(keys) else np.zeros(0, bool)
         self.start = np.flatnonzero(np.append(hot, False)[owner])
         self.hash = np.zeros(len(self.start), np.uint64)
         self.lead = np.arange(len(self.start))
-        self.data = data
         if not len(self.start):
             self.doc = self.sent = np.zeros(0, np.int64)
             return
@@ -221,18 +225,30 @@ class Strings:
 
 
 def refine(pointer: np.ndarray, key: np.ndarray) -> np.ndarray:
-    """Pointers of suffixes sorted by (pointer, key): members of a bucket with company point at their part's first place."""
-    order = np.argsort(pointer, kind="stable")
-    ranked = pointer[order]
-    same = np.r_[False, ranked[1:] == ranked[:-1]]
-    shared = np.flatnonzero(same | np.r_[same[1:], False])
-    if not len(shared):
+    """Pointers of suffixes sorted by (pointer, key), both numbers of places: members of a bucket with
+    company point at their part's first place. Other buckets aren't touched."""
+    members = np.flatnonzero(np.bincount(pointer)[pointer] > 1)
+    if not len(members):
         return pointer
-    members = order[shared]
-    members = members[np.lexsort((key[members], pointer[members]))]
-    finer = np.r_[True, (pointer[members][1:] != pointer[members][:-1]) | (key[members][1:] != key[members][:-1])]
+    both = pointer[members] * np.int64(len(pointer) + int(key.max()) + 1) + key[members]
+    order = np.argsort(both)
+    members, both = members[order], both[order]
+    place = pointer[members]
+    heads = np.flatnonzero(np.r_[True, place[1:] != place[:-1]])
+    first = np.repeat(heads, np.diff(np.r_[heads, len(members)]))
+    finer = np.r_[True, both[1:] != both[:-1]]
     out = pointer.copy()
-    out[members] = shared[np.flatnonzero(finer)][np.cumsum(finer) - 1]
+    out[members] = place + np.flatnonzero(finer)[np.cumsum(finer) - 1] - first
+    return out
+
+
+def by_grams(grams: np.ndarray) -> np.ndarray:
+    """The first buckets: pointers of suffixes sorted by their leading bytes."""
+    order = np.argsort(grams)
+    ranked = grams[order]
+    heads = np.r_[True, ranked[1:] != ranked[:-1]]
+    out = np.empty(len(grams), np.int64)
+    out[order] = np.flatnonzero(heads)[np.cumsum(heads) - 1]
     return out
 
 
@@ -247,7 +263,7 @@ def suffix_buckets(texts: np.ndarray, steps: tuple[int, ...] = (8, 16, 18)) -> n
     grams = np.zeros((n, wide), np.uint64)
     for k in range(8):
         grams = grams << np.uint64(8) | texts[:, k : k + wide].astype(np.uint64)
-    pointer = refine(np.zeros(grams.size, np.int64), grams.reshape(-1))
+    pointer = by_grams(grams.reshape(-1))
     for step in steps:
         pointer = pointer.reshape(n, wide)
         wide -= step
@@ -258,11 +274,8 @@ def suffix_buckets(texts: np.ndarray, steps: tuple[int, ...] = (8, 16, 18)) -> n
 
 def compact(pointer: np.ndarray) -> np.ndarray:
     """Pointers among fewer suffixes: the first places of the buckets that are left."""
-    order = np.argsort(pointer, kind="stable")
-    heads = np.r_[True, pointer[order][1:] != pointer[order][:-1]]
-    out = np.empty(len(pointer), np.int64)
-    out[order] = np.flatnonzero(heads)[np.cumsum(heads) - 1]
-    return out
+    counts = np.bincount(pointer)
+    return (np.cumsum(counts) - counts)[pointer]
 
 
 def repeated(doc: np.ndarray, most: np.ndarray, least: np.ndarray, around: np.ndarray) -> np.ndarray:
@@ -274,11 +287,9 @@ def repeated(doc: np.ndarray, most: np.ndarray, least: np.ndarray, around: np.nd
     for a in range(SPAN):
         have = np.flatnonzero((least <= a) & (a <= most))
         key = bucket[have, SIDE - a]
-        order = np.lexsort((doc[have], key))
-        have, key = have[order], key[order]
-        heads = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
-        smallest = np.repeat(doc[have][heads], np.diff(np.r_[heads, len(key)]))
-        masks[have[doc[have] > smallest]] |= np.uint32(1 << a)
+        smallest = np.full(bucket.size, np.iinfo(np.int64).max)
+        np.minimum.at(smallest, key, doc[have])
+        masks[have[doc[have] > smallest[key]]] |= np.uint32(1 << a)
     return masks
 
 
