@@ -7,9 +7,9 @@ A byte goes if a 50-byte string over it also starts in a document with a smaller
    is an anchor, so each 50-byte string holds one, at a place its own bytes decide.
    Blocks ask (``blocks``) which anchors several documents have, and how many places.
 3. A 50-byte string belongs to its anchor. If that is shared, its key range gets the bytes around the anchor: a context.
-4. There the suffixes of all contexts are sorted to 50 bytes by bucket-pointer refinement. Suffixes
+4. There the suffixes of an anchor's unlike contexts are sorted to 50 bytes by bucket-pointer refinement. Suffixes
    go into buckets by their first 8 bytes, and a suffix points at its bucket's first place in the
-   order. Buckets are refined by sorting on the pointers of the suffixes 8 bytes later, which makes
+   order. Contexts equal to a smaller document's have gone before. Buckets are refined by sorting on the pointers of the suffixes 8 bytes later, which makes
    16 sorted bytes; then, with the pointers updated, 16 bytes later, and 18 bytes after that, which
    makes 50. Only buckets with company are sorted again. Each bucket is now one string, and the
    smallest document in it stays.
@@ -133,6 +133,39 @@ def judge(keys: np.ndarray, where: np.ndarray, said: np.ndarray):
     return ((together & 1) * (1 + (together >> 1 > HOT))).astype("u1"), 0, 0
 
 
+def anchored(offsets: np.ndarray, data: np.ndarray, told: np.ndarray):
+    """``block_strings`` and, for each anchor place, the answer ``told`` of its key."""
+    places, hashes, owner = block_strings(offsets, data)
+    keys, where = np.unique(hashes, return_inverse=True)
+    if len(keys) != len(told):
+        raise AssertionError("answers don't match the questions")
+    return places, hashes, owner, told[where] if len(keys) else np.zeros(0, "u1")
+
+
+def leads(anchor: np.ndarray, doc: np.ndarray, most: np.ndarray, least: np.ndarray, around: np.ndarray) -> np.ndarray:
+    """Per context one with equal anchor, bounds and bytes and the smallest document, or itself. Hashes only bring equal ones together."""
+    n = len(anchor)
+    lead = np.arange(n)
+    if not n:
+        return lead
+    packed = np.ascontiguousarray(np.concatenate([around, most[:, None].astype(np.uint8), least[:, None].astype(np.uint8)], 1))
+    width = packed.shape[1]
+    rows = packed.view(np.dtype((np.void, width))).reshape(-1)
+    finger = tn.span_hashes(packed.reshape(-1), np.arange(n) * width, np.arange(1, n + 1) * width)
+    order = np.lexsort((doc, finger, anchor))
+    sure = (finger[order][1:] == finger[order][:-1]) & (anchor[order][1:] == anchor[order][:-1])
+    sure[sure] = rows[order[1:][sure]] == rows[order[:-1][sure]]
+    heads = np.flatnonzero(np.r_[True, ~sure])
+    lead[order] = order[heads][np.cumsum(np.r_[0, ~sure])]
+    return lead
+
+
+def whole_masks(most: np.ndarray, least: np.ndarray) -> np.ndarray:
+    """Masks of all strings of contexts: bits ``least`` to ``most``."""
+    one = np.uint64(1)
+    return ((one << (most.astype(np.uint64) + one)) - (one << least.astype(np.uint64))).astype(np.uint32)
+
+
 class Contexts:
     """The shared strings of a block, by anchor: what to send, and how answers come back.
 
@@ -141,12 +174,9 @@ class Contexts:
     block with the same bytes, or itself.
     """
 
-    def __init__(self, ids: np.ndarray, offsets: np.ndarray, data: np.ndarray, shared: np.ndarray):
-        places, hashes, owner = block_strings(offsets, data)
-        keys, where = np.unique(hashes, return_inverse=True)
-        if len(keys) != len(shared):
-            raise AssertionError("answers don't match the questions")
-        common = shared[where] == 1 if len(keys) else np.zeros(0, bool)
+    def __init__(self, ids: np.ndarray, offsets: np.ndarray, data: np.ndarray, found: tuple):
+        places, hashes, owner, told = found
+        common = told == 1
         strings = np.flatnonzero(np.append(common, False)[owner])  # -1 is the last one
         mine = owner[strings]
         heads = np.flatnonzero(np.r_[True, mine[1:] != mine[:-1]]) if len(mine) else np.zeros(0, np.int64)
@@ -167,18 +197,8 @@ class Contexts:
         outside = (column < (SIDE - self.most)[:, None]) | (column >= (SIDE - self.least + LENGTH)[:, None])
         self.bytes[outside] = 0
         # One context for equal (anchor, bounds, bytes) of a block: its smallest document's.
-        n = len(self.anchor)
-        self.lead = np.arange(n)
-        if n:
-            packed = np.ascontiguousarray(np.concatenate([self.bytes, self.most[:, None].astype(np.uint8), self.least[:, None].astype(np.uint8)], 1))
-            rows = packed.view(np.dtype((np.void, packed.shape[1]))).reshape(-1)
-            finger = tn.span_hashes(packed.reshape(-1), np.arange(n) * packed.shape[1], np.arange(1, n + 1) * packed.shape[1])
-            order = np.lexsort((self.doc, finger, self.hash))
-            same = (finger[order][1:] == finger[order][:-1]) & (rows[order][1:] == rows[order][:-1])
-            group = np.cumsum(np.r_[0, ~same])
-            starts = np.flatnonzero(np.r_[True, ~same])
-            self.lead[order] = order[starts][group]
-        self.sent = np.flatnonzero(self.lead == np.arange(n))
+        self.lead = leads(self.hash, self.doc, self.most, self.least, self.bytes)
+        self.sent = np.flatnonzero(self.lead == np.arange(len(self.lead)))
         self.sent = self.sent[np.argsort(self.hash[self.sent], kind="stable")]
 
 
@@ -189,15 +209,14 @@ class Strings:
     ``start`` is a string's place, ``lead`` the equal string of a smaller document of the block, or itself.
     """
 
-    def __init__(self, ids: np.ndarray, offsets: np.ndarray, data: np.ndarray, shared: np.ndarray):
+    def __init__(self, ids: np.ndarray, offsets: np.ndarray, data: np.ndarray, found: tuple):
         self.data = data
-        if not (shared == 2).any():
+        places, hashes, owner, told = found
+        hot = told == 2
+        if not hot.any():
             self.start = self.doc = self.sent = self.lead = np.zeros(0, np.int64)
             self.hash = np.zeros(0, np.uint64)
             return
-        places, hashes, owner = block_strings(offsets, data)
-        keys, where = np.unique(hashes, return_inverse=True)
-        hot = shared[where] == 2 if len(keys) else np.zeros(0, bool)
         self.start = np.flatnonzero(np.append(hot, False)[owner])
         self.hash = np.zeros(len(self.start), np.uint64)
         self.lead = np.arange(len(self.start))
@@ -305,13 +324,13 @@ def send_contexts(blocks: DataFrame, bits: int) -> DataFrame:
         names = ["range", "block", "hot", "anchor", "doc", "most", "least", "around"]
         for batch in batches:
             for k, (block, ids, offsets, data) in enumerate(bl.opened(batch)):
-                told = bl.answers_of(batch, k, "u1")
-                c = Contexts(ids, offsets, data, told)
+                found = anchored(offsets, data, bl.answers_of(batch, k, "u1"))
+                c = Contexts(ids, offsets, data, found)
                 rows = []
                 for r, a, b in bl.cuts(c.hash[c.sent], bits):
                     w = c.sent[a:b]
                     rows.append((r, block, False, c.hash[w].tobytes(), c.doc[w].tobytes(), c.most[w].astype("u1").tobytes(), c.least[w].astype("u1").tobytes(), c.bytes[w].tobytes()))
-                c = Strings(ids, offsets, data, told)
+                c = Strings(ids, offsets, data, found)
                 for r, a, b in bl.cuts(c.hash[c.sent], bits):
                     w = c.sent[a:b]
                     rows.append((r, block, True, b"", c.doc[w].tobytes(), b"", b"", c.texts(w).tobytes()))
@@ -347,15 +366,24 @@ def settle(contexts: DataFrame) -> DataFrame:
         most, least = column(rows, "most", np.uint8), column(rows, "least", np.uint8)
         around = column(rows, "around", np.uint8).reshape(-1, 2 * SIDE + GRAM)
         masks = np.zeros(len(anchor), np.uint32)
-        # Anchors by anchors: bounded parts, never cutting one anchor's contexts apart.
-        order = np.argsort(anchor, kind="stable")
-        edges = np.flatnonzero(np.r_[True, anchor[order][1:] != anchor[order][:-1], True]) if len(anchor) else np.zeros(1, np.int64)
+        # Blocks that hold one passage send one context; only anchors with several are refined,
+        # in bounded parts that never cut an anchor's contexts apart.
+        lead = leads(anchor, doc, most, least, around)
+        ones = np.flatnonzero(lead == np.arange(len(lead)))
+        ones = ones[np.argsort(anchor[ones], kind="stable")]
+        edges = np.flatnonzero(np.r_[True, anchor[ones][1:] != anchor[ones][:-1], True]) if len(ones) else np.zeros(1, np.int64)
+        company = np.repeat(np.diff(edges) > 1, np.diff(edges))
+        ones = ones[company]
+        edges = np.flatnonzero(np.r_[True, anchor[ones][1:] != anchor[ones][:-1], True]) if len(ones) else np.zeros(1, np.int64)
         start = 0
         while start < len(edges) - 1:
             end = max(start + 1, int(np.searchsorted(edges, edges[start] + TOGETHER, "right")) - 1)
-            part = order[edges[start] : edges[end]]
+            part = ones[edges[start] : edges[end]]
             masks[part] = repeated(doc[part], most[part].astype(np.int64), least[part].astype(np.int64), around[part])
             start = end
+        masks = masks[lead]
+        later = doc > doc[lead]
+        masks[later] |= whole_masks(most[later], least[later])
         say(rows, masks, "<u4")
         rows = np.flatnonzero(hot).tolist()
         doc = column(rows, "doc", np.int64)
@@ -383,7 +411,8 @@ def cut(blocks: DataFrame) -> DataFrame:
         for batch in batches:
             settled, hot = (pa.RecordBatch.from_arrays([batch.column(n)], ["answers"]) for n in ("settled", "hot"))
             for k, (_, ids, offsets, data) in enumerate(bl.opened(batch)):
-                c = Contexts(ids, offsets, data, bl.answers_of(batch, k, "u1"))
+                found = anchored(offsets, data, bl.answers_of(batch, k, "u1"))
+                c = Contexts(ids, offsets, data, found)
                 told = bl.answers_of(settled, k, "<u4")
                 masks = np.zeros(len(c.anchor), np.uint32)
                 masks[c.sent] = told
@@ -391,14 +420,13 @@ def cut(blocks: DataFrame) -> DataFrame:
                 masks = masks[c.lead]
                 # Strings of a context that follows a smaller document's are repeated, all of them.
                 later = follow & (c.doc > c.doc[c.lead])
-                for a in range(SPAN):
-                    masks[later & (c.least <= a) & (a <= c.most)] |= np.uint32(1 << a)
+                masks[later] |= whole_masks(c.most[later], c.least[later])
                 gone = np.zeros(len(data) + 1, np.int32)
                 for a in range(SPAN):
                     s = c.anchor[(masks >> np.uint32(a)) & np.uint32(1) == 1] - a
                     np.add.at(gone, s, 1)
                     np.add.at(gone, s + LENGTH, -1)
-                one = Strings(ids, offsets, data, bl.answers_of(batch, k, "u1"))
+                one = Strings(ids, offsets, data, found)
                 flags = np.zeros(len(one.start), bool)
                 flags[one.sent] = bl.answers_of(hot, k, "u1").astype(bool)
                 flags = flags[one.lead] | (one.doc > one.doc[one.lead])
