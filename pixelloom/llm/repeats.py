@@ -48,6 +48,8 @@ SIDE = LENGTH - GRAM  # bytes a string may have on either side of its anchor
 TOP = np.uint64(0xFFFFFFFFFFFFFFFF)
 #: Places of an anchor beyond which its strings are dealt one by one.
 HOT = 2000
+#: Bytes of a block whose anchors are looked for at once: arrays of some 1 MB, which caches hold.
+SLICE = 1 << 17
 #: Contexts that are refined at once, unless an anchor has more.
 TOGETHER = 20_000
 
@@ -68,8 +70,7 @@ def strings_of(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.nd
     of_string = np.full(n, -1, np.int32)
     if n < LENGTH:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64), of_string
-    starts = np.arange(n - GRAM + 1)
-    h = tn.SpanHasher(data)(starts, starts + GRAM)
+    h = tn.SpanHasher(data).all_of(GRAM)
     low = sliding(h, SPAN, np.minimum)  # per string place
     real = np.ones(len(low), bool)
     # Strings that would cross a text's end aren't strings.
@@ -83,21 +84,27 @@ def strings_of(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.nd
     anchors = np.flatnonzero(sliding(wide, SPAN, np.maximum)[: len(h)] == h)
     if not len(anchors):
         return anchors, h[anchors], of_string
-    # The first gram with the least hash: walk places of anchors from the string's start.
-    at = np.searchsorted(anchors, np.arange(len(low)))
-    want = np.flatnonzero(real)
-    k = at[want]
-    while len(want):
-        found = h[anchors[np.minimum(k, len(anchors) - 1)]] == low[want]
-        of_string[want[found]] = k[found]
-        want, k = want[~found], k[~found] + 1
+    # The first gram with the least hash. It stays the same until the least hash changes or the
+    # string's start passes it, so it is looked for where that happens: walk anchors from there.
+    passed = np.zeros(len(low), bool)
+    passed[anchors[anchors < len(low) - 1] + 1] = True
+    passed[1:] |= (low[1:] != low[:-1]) | (real[1:] != real[:-1])
+    passed[0] = True
+    heads = np.flatnonzero(passed)
+    least = low[heads]
+    k = np.minimum(np.searchsorted(anchors, heads), len(anchors) - 1)
+    todo = np.flatnonzero(real[heads])
+    while len(todo):
+        todo = todo[h[anchors[k[todo]]] != least[todo]]
+        k[todo] += 1
+    of_string[: len(low)] = np.repeat(np.where(real[heads], k, -1), np.diff(np.r_[heads, len(low)]))
     return anchors, h[anchors], of_string
 
 
 def block_strings(offsets: np.ndarray, data: np.ndarray):
     """``strings_of`` for a whole block, in slices that bound memory: places are the block's."""
     places, hashes, owners, base = [], [], [], 0
-    for a, b in bl.slices(offsets):
+    for a, b in bl.slices(offsets, SLICE):
         p, h, o = strings_of(offsets[a : b + 1] - offsets[a], data[offsets[a] : offsets[b]])
         places.append(p + offsets[a])
         hashes.append(h)
@@ -113,7 +120,7 @@ def keys_of(ids: np.ndarray, offsets: np.ndarray, data: np.ndarray):
     """A block's distinct anchors: twice their number of places, and 1 more if several of its documents have one."""
     places, hashes, _ = block_strings(offsets, data)
     doc = np.searchsorted(offsets, places, "right") - 1
-    order = np.lexsort((doc, hashes))
+    order = np.argsort(hashes, kind="stable")  # places ascend, and documents with them
     hashes, doc = hashes[order], doc[order]
     heads = np.flatnonzero(np.r_[True, hashes[1:] != hashes[:-1]]) if len(hashes) else np.zeros(0, np.int64)
     tails = np.r_[heads[1:], len(hashes)] - 1

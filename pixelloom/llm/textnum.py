@@ -119,6 +119,11 @@ class SpanHasher:
         h = (self.total[ends] - self.total[starts]) * self.inverse[starts]
         return mix(h + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
+    def all_of(self, size: int) -> np.ndarray:
+        """The hash of every span of ``size`` bytes, by its start."""
+        h = (self.total[size:] - self.total[:-size]) * self.inverse[: len(self.total) - size]
+        return mix(h + np.uint64(size * 0xD6E8FEB86659FD93 & (1 << 64) - 1))
+
 
 #: By number of bytes, the mask of a little-endian word that holds them.
 LANE = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
