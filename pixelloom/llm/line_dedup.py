@@ -11,7 +11,7 @@ where a segment of such a line can reappear (shifts limited by the edits before
 after it). Segments and probes are hashed spans of one buffer, so a block's keys
 take a dozen array operations; blocks ask (``blocks``) which keys different lines
 share, and only lines with such a key become rows. Groups of lines that share a key
-go to ``linking``; pairs are verified by a banded bit-parallel edit distance.
+go to ``linking``; what it can't settle meets again by two segments of t + 2 and like counts of characters. Pairs are verified by a banded bit-parallel edit distance.
 
 Equal lines are one node from the start, by a keyed 128-bit BLAKE2b of their bytes, so a
 line that a third of all documents hold is one row per block until the last step, where
@@ -31,6 +31,8 @@ empty table gives none. A null id is held as the smallest 64-bit number in the o
 
 from __future__ import annotations
 
+from itertools import combinations, product
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -70,47 +72,63 @@ class Lines:
         self.doc, self.number, self.start, self.end = self.doc[on], self.number[on], starts[on], ends[on]
 
 
-def segment_keys(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(line number, key) of every segment and probe of the lines data[start:end]."""
+def shifts(t: int, gap: int, chosen: tuple[int, ...]) -> list[tuple[int, ...]]:
+    """Where untouched segments can reappear in a line longer by ``gap``: the edits before the first, between
+    two and after the last move them, and are ``t`` together. A lone segment i has at most i before it and
+    t - i after it, or an earlier or a later one is untouched as well."""
+    reach = range(-MOST_EDITS, MOST_EDITS + 1)
+    if len(chosen) == 1:
+        i = chosen[0]
+        return [(s,) for s in reach if abs(s) <= i and abs(gap - s) <= t - i]
+    return [s for s in product(reach, repeat=len(chosen)) if sum(abs(y - x) for x, y in zip((0, *s), (*s, gap))) <= t]
+
+
+def segment_keys(data: np.ndarray, start: np.ndarray, end: np.ndarray, chosen: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(line number, key, whether it is a probe alone) of every ``chosen`` segments and probes of the lines data[start:end].
+
+    A line allowed t edits is cut into t + ``chosen`` segments, of which t edits leave ``chosen`` whole.
+    """
     heads = np.flatnonzero((data & 0xC0) != 0x80)
     place = np.concatenate([heads, [len(data)]])
     s = np.searchsorted(heads, start)
     size = np.searchsorted(heads, end) - s
     hashed = tn.SpanHasher(data)
-    out_line, out_key = [], []
-
-    def emit(line, at, length, tag):
-        if len(line):
-            a, b = place[s[line] + at], place[s[line] + at + length]
-            out_line.append(line)
-            out_key.append(tn.mix(hashed(a, b) * np.uint64(3) + tag.astype(np.uint64)))
+    out_line, out_key, out_probe = [], [], []
 
     lines = np.arange(len(start))
     for gap in range(MOST_EDITS + 1):
-        indexed = size - gap  # the length of the line that holds the segment
+        indexed = size - gap  # the length of the line that holds the segments
         edits = np.where(indexed > 0, allowed(np.maximum(indexed, 0)), 0)
         for t in range(max(gap, 1), MOST_EDITS + 1):
             mine = lines[(edits == t) & (indexed > 0)]
             if not len(mine):
                 continue
-            n, short = indexed[mine], indexed[mine] // (t + 1)
-            long_ones = n - short * (t + 1)
-            at = np.zeros(len(mine), np.int64)
-            for i in range(t + 1):
-                length = short + (i >= t + 1 - long_ones)
-                tag = (n * 8 + t) * 8 + i
-                if gap == 0:
-                    emit(mine, at, length, tag)
-                low = np.maximum(np.maximum(at - i, at + gap - (t - i)), 0)
-                high = np.minimum(np.minimum(at + i, at + gap + (t - i)), size[mine] - length)
-                for shift in range(-MOST_EDITS, 2 * MOST_EDITS + 1):
-                    p = at + shift
-                    ok = (low <= p) & (p <= high) & ((gap > 0) | (shift != 0))
-                    emit(mine[ok], p[ok], length[ok], tag[ok])
-                at = at + length
+            n, parts = indexed[mine], t + chosen
+            short, long_ones = n // parts, n % parts
+            # The last segments are longer by one if the length is no multiple.
+            length = [short + (i >= parts - long_ones) for i in range(parts)]
+            at = np.cumsum([np.zeros(len(mine), np.int64), *length[:-1]], axis=0)
+            for some in combinations(range(parts), chosen):
+                tag = n * 8 + t
+                for i in some:
+                    tag = tag * 8 + i
+                for moved in shifts(t, gap, some):
+                    ok = np.ones(len(mine), bool)
+                    for i, by in zip(some, moved):
+                        ok &= (at[i] + by >= 0) & (at[i] + by + length[i] <= size[mine])
+                    line = mine[ok]
+                    if not len(line):
+                        continue
+                    key = tag[ok].astype(np.uint64)
+                    for i, by in zip(some, moved):
+                        p = s[line] + at[i][ok] + by
+                        key = tn.mix(hashed(place[p], place[p + length[i][ok]]) * np.uint64(3) + key)
+                    out_line.append(line)
+                    out_key.append(key)
+                    out_probe.append(np.full(len(line), gap > 0 or any(moved)))
     if not out_line:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    return np.concatenate(out_line), np.concatenate(out_key)
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, bool)
+    return np.concatenate(out_line), np.concatenate(out_key), np.concatenate(out_probe)
 
 
 def distinct_keys(offsets: np.ndarray, data: np.ndarray):
@@ -120,7 +138,7 @@ def distinct_keys(offsets: np.ndarray, data: np.ndarray):
         part = data[offsets[a] : offsets[b]]
         found = Lines(offsets[a : b + 1] - offsets[a], part)
         _, at = tn.interned(part, found.start, found.end)
-        line, key = segment_keys(part, found.start[at], found.end[at])
+        line, key, _ = segment_keys(part, found.start[at], found.end[at])
         names.append(tn.digests(part, found.start[at], found.end[at]))
         starts.append(found.start[at] + offsets[a])
         ends.append(found.end[at] + offsets[a])
@@ -181,33 +199,47 @@ def sharing_lines(blocks: DataFrame) -> DataFrame:
                         pa.array([n.tobytes() for n in names[mine]], pa.binary()),
                         pa.array(texts, pa.string()),
                         pa.array(groups, pa.list_(pa.int64())),
-                        pa.array([histogram(t).astype(np.int32) for t in texts], pa.list_(pa.int32())),
+                        pa.array([histogram(t) for t in texts], pa.list_(pa.int8())),
                     ],
                     ["name", "text", "grps", "histogram"],
                 )
 
-    return blocks.mapInArrow(run, "name binary, text string, grps array<long>, histogram array<int>")
+    return blocks.mapInArrow(run, "name binary, text string, grps array<long>, histogram array<tinyint>")
 
 
 def may_be_alike(x, y):
     """An edit changes a histogram of characters by 2 at most, so alike lines differ by 2 x ``MOST_EDITS``."""
-    apart = F.aggregate(F.zip_with(x, y, lambda a, b: F.abs(a - b)), F.lit(0), lambda s, v: s + v)
+    apart = F.aggregate(F.zip_with(x, y, lambda a, b: F.abs(a.cast("int") - b.cast("int"))), F.lit(0), lambda s, v: s + v)
     return apart <= 2 * MOST_EDITS
 
 
-def by_histogram(now: DataFrame) -> DataFrame:
-    """Rows (grp, node, comp, sketch) under finer keys: an edit changes two classes of a histogram by one at most,
-    so of 2 x ``MOST_EDITS`` + 1 parts two alike lines agree in one, and meet under it."""
-    parts = 2 * MOST_EDITS + 1
-    cuts = [32 * k // parts for k in range(parts + 1)]
-    keys = F.array(*(F.xxhash64("grp", F.lit(k), F.slice("sketch", a + 1, b - a)) for k, (a, b) in enumerate(zip(cuts, cuts[1:]))))
-    return now.select(F.explode(keys).alias("key"), "node", "comp", "sketch")
+def by_two_segments(now: DataFrame, texts: DataFrame) -> DataFrame:
+    """Pairs (a, b) of rows (grp, node, comp, sketch) that are in different classes and share two segments.
+
+    Cut into one segment more, a line has two that the edits leave whole, so no alike pair is lost.
+    """
+
+    def run(batches):
+        for batch in batches:
+            for part in tn.parts_of(batch, 2):
+                data, offsets = tn.utf8(part.column(2))
+                line, key, probe = segment_keys(data, offsets[:-1], offsets[1:], 2)
+                line = pa.array(line)
+                columns = [part.column(k).take(line) for k in (0, 1, 3)]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(key.view(np.int64)), pa.array(probe)], ["node", "comp", "sketch", "key", "probe"])
+
+    lines = now.select("node", "comp", "sketch").dropDuplicates(["node"]).join(texts, "node").select("node", "comp", "text", "sketch")
+    keyed = stage(lines.mapInArrow(run, "node long, comp long, sketch array<tinyint>, key long, probe boolean"), "two-segments")
+    held = keyed.where("not probe").select("key", F.col("node").alias("other"), F.col("comp").alias("other_comp"), F.col("sketch").alias("seen"))
+    # Lines of one length hold the same key unmoved, and meet once.
+    once = (F.col("comp") != F.col("other_comp")) & (F.col("probe") | (F.col("node") < F.col("other")))
+    return keyed.join(held, "key").where(once & may_be_alike(F.col("sketch"), F.col("seen"))).select("node", "other")
 
 
 def histogram(text: str) -> np.ndarray:
-    """How many of its characters fall in each of 32 classes."""
+    """How many of its characters fall in each of 32 classes, 127 standing for more; that brings counts no further apart."""
     codes = np.frombuffer(text.encode("utf-32-le"), np.uint32)
-    return np.bincount((codes * np.uint32(2654435761)) >> np.uint32(27), minlength=32)
+    return np.minimum(np.bincount((codes * np.uint32(2654435761)) >> np.uint32(27), minlength=32), 127).astype(np.int8)
 
 
 def edit_distance(a: str, b: str, most: int) -> int:
@@ -304,7 +336,9 @@ def line_classes(df: DataFrame, key: str, text: str, block_bytes: int = BLOCK_BY
     discard(answers, sharing, blocks)
     members = named.select("node", F.explode("grps").alias("grp"))
     texts = named.select("node", "text")
-    labels = link(members, lambda pairs: verified(pairs, texts), by_histogram, named.select("node", "sketch"), may_be_alike)
+    labels = link(
+        members, lambda pairs: verified(pairs, texts), lambda now: by_two_segments(now, texts), named.select("node", "sketch"), may_be_alike
+    )
     return named.select("name", "node").join(labels, "node").select("name", "comp")
 
 

@@ -6,9 +6,10 @@ compared with every other one (a star) and classes are joined. Then members outs
 the group's largest class are compared with some of that class, drawn by a hash: 16,
 then 64. A family whose members are alike with some probability collapses so in
 rounds of linear size. What is left, members whose group still holds other classes,
-is compared across classes, so no link between classes is lost: pair by pair, under finer
-keys of which alike members of a group share one (``narrow``), or, in large groups, by
-``settle``. A link is the same thing on either way.
+is compared across classes, so no link between classes is lost: pair by pair, of which
+``narrow`` may choose those that can be alike, or, in large groups, by ``settle``. A link
+is the same thing on either way. Where ``narrow`` chooses, rounds end as soon as one
+brings little.
 """
 
 from __future__ import annotations
@@ -30,6 +31,8 @@ EDGES_PER_TASK = 1_000_000
 LARGE = 64
 #: Rounds go on while the pairs left outnumber the members left by this factor.
 PAIRS_PER_MEMBER = 4
+#: Before ``narrow``, they also end after one that leaves more than this share of the pairs.
+STILL_LEFT = 0.9
 
 
 def forest(edges: DataFrame) -> DataFrame:
@@ -108,9 +111,9 @@ def link(
 
     ``verify`` takes distinct pairs (a, b), a < b, and returns those that are alike.
     ``close`` may tell by two sketches, of ``sketches`` (node, sketch), that a pair can't
-    be; it is part of the join condition, so such pairs are never rows. ``narrow`` turns
-    rows (grp, node, comp, sketch) to rows (key, node, comp, sketch): two alike members of
-    a group share a key; without it they meet by their group. ``settle`` takes what is left of
+    be; it is part of the join condition, so such pairs are never rows. ``narrow`` takes
+    rows (grp, node, comp, sketch) and gives pairs (node, other) across classes, among them all that
+    are alike; without it members meet by their group. ``settle`` takes what is left of
     groups of more than ``LARGE`` members, (grp, node, comp), and gives links, by the same rule as
     ``verify``, that join all their classes that have any.
     """
@@ -120,7 +123,7 @@ def link(
     kept = members.join(sizes, "grp")
     popular = kept.groupBy("node").agg(F.sum("n").alias("pop"))
     left = stage(kept.select("grp", "node").join(popular, "node"), "members")
-    labels, links, tested, settled, done = None, None, None, None, []
+    labels, links, tested, settled, before, done = None, None, None, None, None, []
     for turn in range(len(delegates) + 1):
         if labels is None:
             now = left.withColumn("comp", F.col("node"))
@@ -144,6 +147,8 @@ def link(
         if not total[0]:
             break
         last = turn == len(delegates) or total[1] <= PAIRS_PER_MEMBER * total[0]
+        last |= narrow is not None and before is not None and total[1] > STILL_LEFT * before
+        before = total[1]
         if last and settle is not None:
             big = now.where(F.col("n") > LARGE).select("grp", "node", "comp")
             if not big.isEmpty():
@@ -151,21 +156,23 @@ def link(
                 links = settled if links is None else links.unionByName(settled)
             now = now.where(F.col("n") <= LARGE)
         if last:
-            mine = now.select("grp", "node", "comp", "sketch")
-            keyed = mine.withColumnRenamed("grp", "key") if narrow is None else narrow(mine)
-            rest = keyed.select("key", F.col("node").alias("other"), F.col("comp").alias("other_comp"), F.col("sketch").alias("seen"))
-            pairs = keyed.join(rest, "key").where(F.col("comp") < F.col("other_comp"))
+            if narrow is not None:
+                pairs = narrow(now.select("grp", "node", "comp", "sketch"))
+            else:
+                rest = now.select("grp", F.col("node").alias("other"), F.col("comp").alias("other_comp"), F.col("sketch").alias("seen"))
+                pairs = now.join(rest, "grp").where((F.col("comp") < F.col("other_comp")) & close(F.col("sketch"), F.col("seen")))
         elif turn == 0:
             best = F.max(F.struct("pop", (-F.col("node")).alias("m"), "sketch"))
             leaders = now.groupBy("grp").agg((-best["m"]).alias("other"), best["sketch"].alias("seen"))
-            pairs = now.join(leaders, "grp").where("node <> other")
+            pairs = now.join(leaders, "grp").where("node <> other").where(close(F.col("sketch"), F.col("seen")))
         else:
             # The limit on the rank is applied before the shuffle too, so a class is never sorted whole.
             drawn = Window.partitionBy("grp").orderBy(F.xxhash64("node", F.lit(turn)))
             some = now.where("comp = main").withColumn("place", F.row_number().over(drawn)).where(F.col("place") <= delegates[turn])
             outside = now.where("comp <> main").select("grp", "node", "sketch")
             pairs = outside.join(some.select("grp", F.col("node").alias("other"), F.col("sketch").alias("seen")), "grp")
-        pairs = pairs.where(close(F.col("sketch"), F.col("seen"))).select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
+            pairs = pairs.where(close(F.col("sketch"), F.col("seen")))
+        pairs = pairs.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = stage(pairs, "pairs")

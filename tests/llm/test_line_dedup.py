@@ -3,6 +3,7 @@ from __future__ import annotations
 import random
 from collections import defaultdict
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -82,6 +83,33 @@ def test_lines_match_brute_force(spark, kind):
     assert got[0].node == 7
 
 
+def test_pairs_of_a_family_that_shares_segments(spark):
+    """Lines that share a half and are alike in pairs only, so the star brings little and the rest meets by two segments."""
+    rnd = random.Random(9)
+    half = "the half that every line of this family has "
+    ends = ["".join(rnd.choice("abcdefghij") for _ in range(30)) for _ in range(90)]
+    rows = [(i, half + e) for i, e in enumerate(ends)] + [(100 + i, half + e[:7] + "Q" + e[8:20] + e[21:]) for i, e in enumerate(ends)]
+    got = line_dedup.line_dedup(frame(spark, rows), block_bytes=1000).collect()
+    assert {r.doc_id: (r.text, r.n_lines, r.n_dropped) for r in got} == expected(rows)
+    assert sum(r.n_dropped for r in got) >= 90
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text("abé", min_size=10, max_size=45), st.lists(st.tuples(st.integers(0, 44), st.sampled_from("idr")), max_size=2), st.integers(1, 2))
+def test_alike_lines_share_keys(a, edits, chosen):
+    b = a
+    for p, kind in edits:
+        b = b[:p] + "c" + b[p:] if kind == "i" else b[:p] + b[p + 1 :] if kind == "d" else b[:p] + "c" + b[p + 1 :]
+    most = min(len(a), len(b)) // 10
+    if a == b or most == 0 or brute.edit_distance(a, b) > min(2, most):
+        return
+    x, y = a.encode(), b.encode()
+    data = np.frombuffer(x + y, np.uint8)
+    line, key, probe = line_dedup.segment_keys(data, np.array([0, len(x)]), np.array([len(x), len(data)]), chosen)
+    sides = [(set(key[(line == k) & ~probe].tolist()), set(key[line == k].tolist())) for k in (0, 1)]
+    assert sides[0][0] & sides[1][1] or sides[1][0] & sides[0][1]
+
+
 def test_equal_rows_and_none(spark):
     got = line_dedup.line_dedup(frame(spark, [(1, "a line"), (1, "a line"), (2, "a line")])).collect()
     assert sorted((r.doc_id, r.text) for r in got) == [(1, "a line"), (1, "a line"), (2, "")]
