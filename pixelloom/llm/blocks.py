@@ -92,6 +92,7 @@ def opened(batch: pa.RecordBatch):
             np.concatenate([[0], ends]),
             np.frombuffer(press.decompress(batch.column("data")[k].as_buffer()), np.uint8),
         )
+    tn.trim()
 
 
 def slices(offsets: np.ndarray, most_bytes: int = 1 << 19):

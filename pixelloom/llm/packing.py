@@ -20,7 +20,7 @@ from __future__ import annotations
 from bisect import bisect_left, insort
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pixelloom.llm.common import stage
@@ -122,10 +122,16 @@ def plan_best_fit(counts: dict[int, int], capacity: int = CAPACITY) -> list[tupl
     return slots
 
 
+def local_table(spark: SparkSession, rows: list[tuple], kinds: dict[str, pa.DataType]) -> DataFrame:
+    """A DataFrame of the driver's rows by way of Arrow; from a list executors would start three more Python processes each."""
+    columns = zip(*rows) if rows else [[]] * len(kinds)
+    return spark.createDataFrame(pa.table([pa.array(c, t) for c, t in zip(columns, kinds.values())], names=list(kinds)))
+
+
 def ranked_by(df: DataFrame, column: str, order: list[str], counts: dict[int, int]) -> DataFrame:
     """``df`` with ``rank``, 0.. within each value of ``column``, without a task per value; ``counts`` has the rows of each."""
     each = max(SALTED, sum(counts.values()) // MOST_SALTS)
-    salts = df.sparkSession.createDataFrame([(int(v), -(-n // each)) for v, n in counts.items()], "__value long, __salts int")
+    salts = local_table(df.sparkSession, [(int(v), -(-n // each)) for v, n in counts.items()], {"__value": pa.int64(), "__salts": pa.int32()})
     # A row for each value, of which there are at most as many as lengths.
     salted = df.join(F.broadcast(salts), F.col(column) == F.col("__value")).withColumn("__salt", F.pmod(F.xxhash64(*order), F.col("__salts")).cast("int"))
     sizes = salted.groupBy(column, "__salt").agg(F.count(F.lit(1)).alias("__n"))
@@ -147,15 +153,8 @@ def place(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     slots = plan_best_fit(histogram, capacity)
     # The plan grows with the number of distinct lengths (at most ``capacity``), not with the pieces.
-    plan = spark.createDataFrame(
-        pa.table(
-            [pa.array(c, pa.int64()) for c in (zip(*slots) if slots else [[]] * 5)],
-            names=["slot_length", "first_rank", "number", "first_sequence", "offset"],
-        ).to_pandas()
-        if not slots
-        else [tuple(map(int, s)) for s in slots],
-        "slot_length long, first_rank long, number long, first_sequence long, offset long",
-    )
+    names = ["slot_length", "first_rank", "number", "first_sequence", "offset"]
+    plan = local_table(spark, slots, dict.fromkeys(names, pa.int64()))
     ranked = ranked_by(pieces, "length", ["doc_id", "piece", "tie"], histogram)
     hit = (
         (F.col("length") == F.col("slot_length"))

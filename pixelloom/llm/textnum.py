@@ -33,7 +33,8 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def trim() -> None:
-    """Return freed memory to the system."""
+    """Return freed memory to the system: Arrow's, which has an allocator of its own, and the C library's."""
+    pa.default_memory_pool().release_unused()
     if _LIBC is not None:
         _LIBC.malloc_trim(0)
 
@@ -69,6 +70,7 @@ def parts_of(batch: pa.RecordBatch, text: int, most_bytes: int = 1 << 20):
         end = max(start + 1, int(np.searchsorted(upto, done + most_bytes, "right")))
         yield batch.slice(start, end - start)
         start = end
+    trim()  # a worker that waits for its next task holds no freed memory
 
 
 _TABLES: dict[int, np.ndarray] = {}

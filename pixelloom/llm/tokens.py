@@ -25,8 +25,8 @@ SETTLED = "\t\n\r -~¡-¬®-ɏΑ-ΡΣ-ωА-яぁ-ゖァ-ヺ一-龥"
 #: Latin text, whose letters a character class of the faster ``re`` module can name.
 LATIN = "\t\n\r -~¡-©«¬®-±´¶-¸»¿-ſ"
 LATIN_PATTERN = r" ?[A-Za-zÀ-ÖØ-öø-ſ]+|'(?:s|t|re|ve|m|ll|d)| ?[0-9]+| ?[^\sA-Za-z0-9À-ÖØ-öø-ſ]+|\s+(?!\S)|\s+"
-#: Pieces a worker keeps (some 170 MB). Once full, the cache stays: frequent pieces came early.
-CACHED = 1_000_000
+#: Pieces a worker keeps (some 50 MB). Once full, the cache stays: frequent pieces came early.
+CACHED = 300_000
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:

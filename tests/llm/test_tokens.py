@@ -155,3 +155,41 @@ def test_null_and_repeated_ids(spark):
     assert sorted((r.doc_id is None, r.doc_id or 0, r.length) for r in got) == [(False, 3, 3), (False, 3, 3), (True, 0, 1), (True, 0, 3)]
     kept = token_store.token_store(frame(spark, rows)).orderBy("start").collect()
     assert [r.doc_id for r in kept] == [None, None, 3, 3] and sum(r.n_tokens for r in kept) == 10 and kept[-1].start == 7
+
+
+def test_plan_needs_no_python_on_executors(spark, monkeypatch):
+    """Rows of a list would pass Python workers, whose processes count against an executor that encodes."""
+    pieces = spark.createDataFrame(packing.pa.table({"doc_id": [1, 2], "piece": [0, 0], "length": [5, 5], "tie": [1, 2]}))
+    made, make = [], type(spark).createDataFrame
+    monkeypatch.setattr(type(spark), "createDataFrame", lambda self, *a, **b: made.append(make(self, *a, **b)) or made[-1])
+    assert sorted((r.sequence_id, r.offset) for r in packing.place(pieces).collect()) == [(0, 0), (0, 5)]
+    assert packing.place(pieces.where("piece > 0")).count() == 0
+    lineage = [df._jdf.queryExecution().toRdd().toDebugString() for df in made]
+    assert len(lineage) == 4 and not any("PythonRDD" in x for x in lineage)
+
+
+def test_workers_hold_little():
+    """A cache that is full holds some 50 MB, and freed memory of Arrow goes back to the system."""
+    import re
+    import sys
+    from pathlib import Path
+
+    from pixelloom.llm import tokens
+    from pixelloom.llm.textnum import trim
+
+    e = Encoder(tokenizer_path())
+    for k in range(0, 500_000, 20_000):
+        e.encode([" ".join(f"{x}" for x in range(k, k + 20_000))])
+    assert 200_000 < len(e.pieces) <= tokens.CACHED
+    assert sys.getsizeof(e.pieces) + sum(sys.getsizeof(k) + sys.getsizeof(v) for k, v in e.pieces.items()) < 64e6
+
+    def held():
+        return int(re.search(r"\nPss_Anon:\s+(\d+)", Path("/proc/self/smaps_rollup").read_text())[1]) / 1024
+
+    trim()
+    before = held()
+    parts = [packing.pa.array(np.ones(20_000, np.int64)).take(packing.pa.array(np.arange(20_000))) for _ in range(1500)]
+    full = held()
+    del parts
+    trim()
+    assert full - before > 150 and held() - before < 0.25 * (full - before)
