@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 
 from pixelloom.llm import blocks as bl
 from pixelloom.llm import textnum as tn
-from pixelloom.llm.common import digest_of, discard, even_join, let, stage
+from pixelloom.llm.common import digest_of, discard, even_join, filter_bits, let, stage
 from pixelloom.llm.linking import link
 
 MOST_EDITS = 2
@@ -83,10 +83,11 @@ def shifts(t: int, gap: int, chosen: tuple[int, ...]) -> list[tuple[int, ...]]:
     return [s for s in product(reach, repeat=len(chosen)) if sum(abs(y - x) for x, y in zip((0, *s), (*s, gap))) <= t]
 
 
-def segment_keys(data: np.ndarray, start: np.ndarray, end: np.ndarray, chosen: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def segment_keys(data: np.ndarray, start: np.ndarray, end: np.ndarray, chosen: int = 1, probes: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(line number, key, whether it is a probe alone) of every ``chosen`` segments and probes of the lines data[start:end].
 
     A line allowed t edits is cut into t + ``chosen`` segments, of which t edits leave ``chosen`` whole.
+    Without ``probes`` only what lines hold themselves is returned.
     """
     heads = np.flatnonzero((data & 0xC0) != 0x80)
     place = np.concatenate([heads, [len(data)]])
@@ -96,7 +97,7 @@ def segment_keys(data: np.ndarray, start: np.ndarray, end: np.ndarray, chosen: i
     out_line, out_key, out_probe = [], [], []
 
     lines = np.arange(len(start))
-    for gap in range(MOST_EDITS + 1):
+    for gap in range(MOST_EDITS + 1 if probes else 1):
         indexed = size - gap  # the length of the line that holds the segments
         edits = np.where(indexed > 0, allowed(np.maximum(indexed, 0)), 0)
         for t in range(max(gap, 1), MOST_EDITS + 1):
@@ -112,7 +113,7 @@ def segment_keys(data: np.ndarray, start: np.ndarray, end: np.ndarray, chosen: i
                 tag = n * 8 + t
                 for i in some:
                     tag = tag * 8 + i
-                for moved in shifts(t, gap, some):
+                for moved in shifts(t, gap, some) if probes else [(0,) * chosen]:
                     ok = np.ones(len(mine), bool)
                     for i, by in zip(some, moved):
                         ok &= (at[i] + by >= 0) & (at[i] + by + length[i] <= size[mine])
@@ -132,30 +133,30 @@ def segment_keys(data: np.ndarray, start: np.ndarray, end: np.ndarray, chosen: i
 
 
 def distinct_keys(offsets: np.ndarray, data: np.ndarray):
-    """Distinct lines of a block and their keys: (name of 128 bits, start, end, line of each key, key)."""
-    names, starts, ends, lines, keys, base = [], [], [], [], [], 0
+    """Distinct lines of a block's slices and their keys: (start, end, line of each key, key)."""
+    starts, ends, lines, keys, base = [], [], [], [], 0
     for a, b in bl.slices(offsets):
         part = data[offsets[a] : offsets[b]]
         found = Lines(offsets[a : b + 1] - offsets[a], part)
         _, at = tn.interned(part, found.start, found.end)
         line, key, _ = segment_keys(part, found.start[at], found.end[at])
-        names.append(tn.digests(part, found.start[at], found.end[at]))
         starts.append(found.start[at] + offsets[a])
         ends.append(found.end[at] + offsets[a])
         lines.append(line + base)
         keys.append(key)
         base += len(at)
-    if not names:
+    if not starts:
         none = np.zeros(0, np.int64)
-        return np.zeros((0, 2), np.uint64), none, none, none, none.astype(np.uint64)
-    return tuple(map(np.concatenate, (names, starts, ends, lines, keys)))
+        return none, none, none, none.astype(np.uint64)
+    return tuple(map(np.concatenate, (starts, ends, lines, keys)))
 
 
 def keys_of(ids: np.ndarray, offsets: np.ndarray, data: np.ndarray):
     """A block's distinct keys, each with half the name of its line, or 0 if several lines have it."""
-    names, _, _, line, key = distinct_keys(offsets, data)
-    order = np.argsort(key, kind="stable")
-    key, who = key[order], names[line, 0][order]
+    start, end, line, key = distinct_keys(offsets, data)
+    names = tn.digests(data, start, end)[:, 0]
+    order = np.argsort(key)
+    key, who = key[order], names[line[order]]
     if not len(key):
         return key, who
     heads = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
@@ -182,7 +183,7 @@ def sharing_lines(blocks: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             for k, (_, _, offsets, data) in enumerate(bl.opened(batch)):
-                names, start, end, line, key = distinct_keys(offsets, data)
+                start, end, line, key = distinct_keys(offsets, data)
                 told = bl.answers_of(batch, k, "u1")
                 keys, where = np.unique(key, return_inverse=True)
                 assert len(keys) == len(told), "answers don't match the questions"
@@ -192,11 +193,12 @@ def sharing_lines(blocks: DataFrame) -> DataFrame:
                 line, key = line[order], key[order]
                 heads = np.flatnonzero(np.r_[True, line[1:] != line[:-1]]) if len(line) else np.zeros(0, np.int64)
                 raw, mine = data.tobytes(), line[heads]
+                names = tn.digests(data, start[mine], end[mine])
                 groups = [np.unique(g) for g in np.split(key, heads[1:])] if len(heads) else []
                 texts = [raw[a:b].decode() for a, b in zip(start[mine].tolist(), end[mine].tolist())]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array([n.tobytes() for n in names[mine]], pa.binary()),
+                        pa.array([n.tobytes() for n in names], pa.binary()),
                         pa.array(texts, pa.string()),
                         pa.array(groups, pa.list_(pa.int64())),
                         pa.array([histogram(t) for t in texts], pa.list_(pa.int8())),
@@ -213,27 +215,48 @@ def may_be_alike(x, y):
     return apart <= 2 * MOST_EDITS
 
 
+def bits_of(keys: DataFrame, bits: int) -> np.ndarray:
+    """A filter of 2 ** ``bits`` cells of column ``key``, by its upper bits: at most 8 MB, whatever the input."""
+    cell = F.shiftrightunsigned("key", 64 - bits) + 1
+    rows = keys.groupBy(F.bitmap_bucket_number(cell).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(cell)).alias("bitmap")).collect()
+    out = np.zeros((1 << bits - 15, 4096), np.uint8)
+    for r in rows:
+        out[r["bucket"] - 1] = np.frombuffer(r["bitmap"], np.uint8)
+    return out.reshape(-1)
+
+
 def by_two_segments(now: DataFrame, texts: DataFrame) -> DataFrame:
     """Pairs (a, b) of rows (grp, node, comp, sketch) that are in different classes and share two segments.
 
-    Cut into one segment more, a line has two that the edits leave whole, so no alike pair is lost.
+    Cut into one segment more, a line has two that the edits leave whole, so no alike pair is lost. What lines
+    hold is written; a line's probes, some eleven times as many, become rows if a filter may hold their key.
     """
 
-    def run(batches):
-        for batch in batches:
-            for part in tn.parts_of(batch, 2):
-                data, offsets = tn.utf8(part.column(2))
-                line, key, probe = segment_keys(data, offsets[:-1], offsets[1:], 2)
-                line = pa.array(line)
-                columns = [part.column(k).take(line) for k in (0, 1, 3)]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(key.view(np.int64)), pa.array(probe)], ["node", "comp", "sketch", "key", "probe"])
+    def keyed(given: np.ndarray | None, bits: int = 0):
+        def run(batches):
+            for batch in batches:
+                for part in tn.parts_of(batch, 2):
+                    data, offsets = tn.utf8(part.column(2))
+                    line, key, probe = segment_keys(data, offsets[:-1], offsets[1:], 2, given is not None)
+                    if given is not None:
+                        cell = (key >> np.uint64(64 - bits)).astype(np.int64)
+                        on = given[cell >> 3] >> (cell & 7).astype(np.uint8) & 1 == 1
+                        line, key, probe = line[on], key[on], probe[on]
+                    line = pa.array(line)
+                    columns = [part.column(k).take(line) for k in (0, 1, 3)]
+                    yield pa.RecordBatch.from_arrays([*columns, pa.array(key.view(np.int64)), pa.array(probe)], ["node", "comp", "sketch", "key", "probe"])
+
+        return lines.mapInArrow(run, "node long, comp long, sketch array<tinyint>, key long, probe boolean")
 
     lines = now.select("node", "comp", "sketch").dropDuplicates(["node"]).join(texts, "node").select("node", "comp", "text", "sketch")
-    keyed = stage(lines.mapInArrow(run, "node long, comp long, sketch array<tinyint>, key long, probe boolean"), "two-segments")
-    held = keyed.where("not probe").select("key", F.col("node").alias("other"), F.col("comp").alias("other_comp"), F.col("sketch").alias("seen"))
+    lines = stage(lines, "open-lines")
+    held = stage(keyed(None).drop("probe"), "two-segments")
+    bits = filter_bits(held.count())
+    asked = keyed(bits_of(held, bits), bits)
+    held = held.select("key", F.col("node").alias("other"), F.col("comp").alias("other_comp"), F.col("sketch").alias("seen"))
     # Lines of one length hold the same key unmoved, and meet once.
     once = (F.col("comp") != F.col("other_comp")) & (F.col("probe") | (F.col("node") < F.col("other")))
-    return keyed.join(held, "key").where(once & may_be_alike(F.col("sketch"), F.col("seen"))).select("node", "other")
+    return asked.join(held, "key").where(once & may_be_alike(F.col("sketch"), F.col("seen"))).select("node", "other")
 
 
 def histogram(text: str) -> np.ndarray:
@@ -370,9 +393,11 @@ def tag_of(body):
 
 def without_lines(text, drops):
     """A text without the lines of these numbers, in time that follows its length."""
-    lines = F.split(text, "\n")
-    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), drops)
-    return let(lines, lambda x: F.array_join(F.transform(kept, lambda k: F.get(x, k)), "\n"))
+
+    def left(lines):
+        return F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), drops), lambda k: F.get(lines, k))
+
+    return let(F.split(text, "\n"), lambda lines: F.array_join(left(lines), "\n"))
 
 
 def line_dedup(

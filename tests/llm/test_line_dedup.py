@@ -94,6 +94,19 @@ def test_pairs_of_a_family_that_shares_segments(spark):
     assert sum(r.n_dropped for r in got) >= 90
 
 
+def test_two_segments_write_what_lines_hold(spark, monkeypatch):
+    """Six keys a line; its probes, some eleven times as many, become rows only if a line may hold them."""
+    rnd = random.Random(3)
+    lines = ["".join(rnd.choice("abcdefghij") for _ in range(40)) for _ in range(300)]
+    lines += [x[:5] + "Q" + x[6:30] + x[31:] for x in lines[:60]]
+    nodes = spark.createDataFrame([(1, n, n, [int(c) for c in line_dedup.histogram(x)], x) for n, x in enumerate(lines)], "grp long, node long, comp long, sketch array<tinyint>, text string")
+    written, write = {}, line_dedup.stage
+    monkeypatch.setattr(line_dedup, "stage", lambda df, name: written.setdefault(name, write(df, name)))
+    pairs = {tuple(sorted(r)) for r in line_dedup.by_two_segments(nodes.drop("text"), nodes.select("node", "text")).collect()}
+    assert pairs >= {(n, 300 + n) for n in range(60)}
+    assert written["two-segments"].count() == 6 * len(lines)
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.text("abé", min_size=10, max_size=45), st.lists(st.tuples(st.integers(0, 44), st.sampled_from("idr")), max_size=2), st.integers(1, 2))
 def test_alike_lines_share_keys(a, edits, chosen):
